@@ -34,6 +34,28 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton's method with halved steps; the last column is the constant.
+
+    The other columns are scaled to unit variance first.
+    """
+    scale = np.maximum(x.std(0), 1e-9)
+    scale[-1] = 1.0
+    z, w = x / scale, np.zeros(x.shape[1])
+    loss = lambda w: np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).sum() + ridge / 2 * (w @ w)
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+        part = 1.0
+        while part > 1e-6 and (new := loss(w + part * step)) > now:
+            part /= 2
+        if part <= 1e-6 or now - new < 1e-9:
+            break
+        w, now = w + part * step, new
+    return w / scale
+
+
 # ---------------------------------------------------------------------------------------------------
 # Hashes of words, for whole batches of texts at once.
 

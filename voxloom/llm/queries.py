@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import language_id, quality, toxicity
+from .common import fold, table
 from .exact_dedup import exact_dedup
 from .sharding import shard
 from .url_filter import PathRule, judge
@@ -25,6 +26,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 5) == 0
+    profiles = language_id.fit(docs.filter(~held_out))
+    return language_id.identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "quality")
+    return quality.score(docs, quality.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op9_exact_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op5_language_id, op6_quality, op9_exact_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
