@@ -29,6 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes up to which lookup() broadcasts.
+BROADCAST_BYTES = 24 << 20
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``big`` joined to ``small`` (key, array of int) on ``key``.
+
+    ``small`` is computed and its size taken; up to ``most`` bytes it is broadcast, so that the rows of ``big`` stay
+    where they are. Beyond, both sides are shuffled.
+    """
+    small = cut(small)
+    listed = [c for c in small.columns if c != key]
+    size = small.agg(F.coalesce(F.sum(F.lit(32) + sum((F.size(c) * 4 for c in listed), F.lit(0))), F.lit(0))).first()[0]
+    return big.join(F.broadcast(small) if size <= most else small.hint("shuffle_merge"), key, how)
+
+
 def fold(id_col: str, folds: int):
     """The part of a row: crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from . import language_id, line_dedup, near_dedup, quality, toxicity
 from .common import fold, table
 from .exact_dedup import exact_dedup
 from .sharding import shard
@@ -33,6 +34,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "dropped_lines", F.octet_length("text").alias("bytes_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_join(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 5) == 0
@@ -56,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op5_language_id, op6_quality, op9_exact_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_quality, op9_exact_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
