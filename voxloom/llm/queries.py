@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, near_dedup, quality, toxicity
+from . import decontaminate, language_id, line_dedup, near_dedup, quality, toxicity
 from .common import fold, table
 from .exact_dedup import exact_dedup
+from .sentencepiece_wfst import decode, encode, read_model
 from .sharding import shard
 from .url_filter import PathRule, judge
 
@@ -23,6 +24,10 @@ URL_RULES = [
 ]
 
 
+#: Where the vocabulary file lies on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "dropped_lines", F.octet_length("text").alias("bytes_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return line_dedup.dedup_lines(docs).select("doc_id", "dropped_lines", "text")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +62,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = read_model(model_path)
+    both = decode(encode(docs, model), model)
+    return both.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return held.select("doc_id", F.explode("matches").alias("match")).select("doc_id", "match.*")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,7 +84,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_quality, op9_exact_dedup, op10_url_filter)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_quality, op7_sentencepiece, op8_decontamination, op9_exact_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
