@@ -1,9 +1,16 @@
 """Registered queries of the spatial operators, and the SQL that they are held against."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import voxel_queries
+from .registry import Query
 
+_ALL = (voxel_queries.REGISTRY,)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {name: f for r in _ALL for name, f in r.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s for r in _ALL for name, s in r.sql.items()}
