@@ -18,6 +18,7 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")
+_SLICE = 2 << 20  # characters whose stretches are sorted together
 
 
 class Transducer:
@@ -30,10 +31,12 @@ class Transducer:
     such a pair is what merging gives, so its path is the only one of finite weight.
 
     Shortest paths are taken by stretch: no piece crosses the bounds between a blank and what stands before it, and
-    none holds a character that is only bytes. Stretches that occur again are remembered, up to ``remembered`` of them.
+    none holds a character that is only bytes. The path to a place depends only on what stands before it, so new
+    stretches are taken in sorted order and each goes on from the prefix that it shares with the one before. Frequent
+    stretches are remembered until there are ``remembered`` of them.
     """
 
-    def __init__(self, model: bytes, remembered: int = 200_000):
+    def __init__(self, model: bytes, remembered: int = 60_000):
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         normaliser, trainer = proto.normalizer_spec, proto.trainer_spec
@@ -68,8 +71,10 @@ class Transducer:
         alone = "" if "\n" in letters else "\n"
         self.stretches = re.compile(f"{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+|{alone or '(?!)'}" if not inner else r"(?s).+").findall
         self.remembered, self.memo = remembered, {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self._spines = lru_cache(maxsize=100_000)(self._derive)
+        self.pieces = [p.piece for p in proto.pieces]
+        self.raw = [np.int32(i).tobytes() for i in range(len(self.pieces))]
+        self.pairs: dict[int, bool] = {}  # by left id * number of pieces + right id
+        self._spines = lru_cache(maxsize=20_000)(self._derive)
 
     # -- the pair transducer of a BPE model
 
@@ -111,79 +116,122 @@ class Transducer:
             else:
                 j += 1
 
-    def _fits(self, a: str, b: str) -> bool:
-        if len(self.pairs) > 1_000_000:
+    def _fits(self, key: int) -> bool:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
-        got = self.pairs[a, b] = self._pair(a, b)
+        a, b = divmod(key, len(self.pieces))
+        got = self.pairs[key] = self._pair(self.pieces[a], self.pieces[b])
         return got
 
     # -- the shortest path
 
-    def _path(self, s: str) -> list[int]:
-        """Ids of the least-weight path through one stretch."""
-        back = self._back_bpe(s) if self.bpe else self._back_unigram(s)
-        out: list[int] = []
-        end = len(s)
-        while end:
-            start = back[end]
-            piece = self.ids.get(s[start:end])
-            if piece is not None:
-                out.append(piece)
-            else:
-                raw = [self.byte_ids[b] for b in s[start:end].encode("utf-8", "replace")]
-                out += reversed(raw) if min(raw) >= 0 else [self.unknown]
-            end = start
-        return out[::-1]
+    def _bytes(self, char: str) -> bytes:
+        ids = [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
+        return b"".join([self.raw[i] for i in ids]) if min(ids) >= 0 else self.raw[self.unknown]
 
-    def _back_bpe(self, s: str) -> list[int]:
-        """By place, where the last arc of the path of finite weight starts; -1 for none.
+    def _paths(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of the least-weight paths through stretches, which are sorted.
 
-        Only one path to a place has finite weight, so it names the pair transducer's state there, and the first arc
-        that fits is the last one of the shortest path.
+        Only one path of a BPE model to a place has finite weight, so ``state`` has the pair transducer's state at each
+        place (a piece, or -1 after bytes and at the start, where anything may follow), and the first arc that fits is
+        the last one of the shortest path.
         """
-        ids, pairs = self.ids, self.pairs
-        state: list[str | None] = [None] * (len(s) + 1)  # None: the start, or after bytes; anything may follow
-        back = [-1] * (len(s) + 1)
-        for end in range(1, len(s) + 1):
-            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
-                if start and back[start] < 0:
-                    continue
-                piece = s[start:end]
-                if piece in ids:
-                    left = state[start]
-                    if left is not None:
-                        fits = pairs.get((left, piece))
-                        if not (self._fits(left, piece) if fits is None else fits):
-                            continue
-                    state[end] = piece
-                elif end - start > 1:
-                    continue
-                back[end] = start
-                break
-        return back
-
-    def _back_unigram(self, s: str) -> list[int]:
+        if not self.bpe:
+            return {s: self._long(s) for s in stretches}
+        out, piece_of, fits_of, fits, raw = {}, self.ids.get, self.pairs.get, self._fits, self.raw
+        n, longest = len(self.pieces), self.longest
+        before, state, done = "", [-1], [b""]
+        for s in stretches:
+            size = len(s)
+            if size > 256:  # would keep too many beginnings of its path
+                out[s] = self._long(s)
+                continue
+            same = 0
+            for x, y in zip(before, s):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
+            del state[same + 1 :], done[same + 1 :]
+            for end in range(same + 1, size + 1):
+                start = end - 1
+                low = end - longest
+                while True:
+                    piece = piece_of(s[start:end])
+                    if piece is None:
+                        if start == end - 1:
+                            state.append(-1)
+                            done.append(done[start] + self._bytes(s[start]))
+                            break
+                    else:
+                        left = state[start]
+                        ok = True
+                        if left >= 0:
+                            ok = fits_of(left * n + piece)
+                            if ok is None:
+                                ok = fits(left * n + piece)
+                        if ok:
+                            state.append(piece)
+                            done.append(done[start] + raw[piece])
+                            break
+                    start -= 1
+                    if start < 0 or start < low:
+                        raise AssertionError(f"no path to place {end} of {s!r}")
+            out[s] = done[-1]
+            before = s
+        return out
+
+    def _long(self, s: str) -> bytes:
+        """As _paths() for one stretch, which keeps where arcs start in place of the beginnings of the path."""
+        back, state, n = [0], [-1], len(self.pieces)
         weight = [0.0] + [_INF] * len(s)
-        back = [-1] * (len(s) + 1)
         for end in range(1, len(s) + 1):
+            back.append(-1)
+            state.append(-1)
             for start in range(max(0, end - self.longest), end):
-                own = self.score.get(s[start:end], self.fallback if end - start == 1 else None)
-                if own is not None and weight[start] - own < weight[end]:
-                    weight[end], back[end] = weight[start] - own, start
-        return back
-
-    def _remember(self, s: str) -> bytes:
-        if len(self.memo) >= self.remembered:
-            self.memo.clear()
-        got = self.memo[s] = np.array(self._path(s), np.int32).tobytes()
-        return got
+                piece = self.ids.get(s[start:end], -1)
+                if weight[start] == _INF or (piece < 0 and end - start > 1):
+                    continue
+                if self.bpe and piece >= 0 and state[start] >= 0:
+                    key = state[start] * n + piece
+                    if not (self.pairs[key] if key in self.pairs else self._fits(key)):
+                        continue
+                own = weight[start] - (self.fallback if piece < 0 else self.score[s[start:end]])
+                if own < weight[end]:
+                    weight[end], back[end], state[end] = own, start, piece
+        out, end = [], len(s)
+        while end:
+            start = back[end]
+            out.append(self.raw[state[end]] if state[end] >= 0 else self._bytes(s[start:end]))
+            end = start
+        return b"".join(reversed(out))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        cut = [self.stretches(self.prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
+        memo, new = self.memo, set()
+        for c in cut:
+            new.update(c)
+        new.difference_update(memo)
+        fresh = self._paths(sorted(new))
+        found = memo | fresh
+        if len(memo) < self.remembered:  # those that occur again in these texts
+            seen: set[str] = set()
+            again = seen.add
+            for c in cut:
+                for s in c:
+                    if s in fresh:
+                        if s in seen:
+                            memo[s] = fresh[s]
+                        else:
+                            again(s)
+        return [b"".join([found[s] for s in c]) for c in cut]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        memo, remember = self.memo, self._remember
-        return b"".join([memo.get(s) or remember(s) for s in self.stretches(self.prefix + text.replace(" ", BLANK))])
+        return self.encode_all([text])[0]
+
+    def forget(self) -> None:
+        """Frees the remembered stretches."""
+        self.memo.clear()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary the unknown sign."""
@@ -198,7 +246,7 @@ _compiled: dict[bytes, Transducer] = {}
 
 
 def compiled(model: bytes) -> Transducer:
-    """One transducer for each model and process, so that what it remembers serves later tasks."""
+    """One transducer for each model and process."""
     if model not in _compiled:
         _compiled.clear()
         _compiled[model] = Transducer(model)
@@ -220,6 +268,7 @@ def _mapped(docs: DataFrame, model: bytes, added: str, kind: str, values: Callab
         for batch in batches:
             for at, n, column in values(own, batch):
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, column], [*batch.schema.names, added])
+        own.forget()  # the worker may go on to other work
 
     return docs.mapInArrow(run, schema)
 
@@ -232,8 +281,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
     """
 
     def values(own: Transducer, batch: pa.RecordBatch):
-        for at, texts in slices(batch, text_col):
-            rows = [own.encode(t) for t in texts]
+        for at, texts in slices(batch, text_col, _SLICE):
+            rows = own.encode_all(texts)
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
             yield at, len(texts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
