@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from voxloom.camera import Camera
 
-from .splats import P, RGB, S, _clean, _total, _with_rotation, view_colour
+from .splats import P, RGB, S, _clean, _total, _with_rotation, settled, view_colour
 
 #: Fixed values of the renderer.
 LOW_PASS = 0.3
@@ -38,16 +38,17 @@ def project(df: DataFrame, camera: Camera) -> DataFrame:
     df = df.withColumns({f"__j{i}{k}": a * F.lit(float(w[axis][k])) + b * F.lit(float(w[2][k])) for i, (a, b, axis) in enumerate(rows) for k in range(3)})
     df = df.withColumns({f"__b{i}{k}": _total([F.col(f"__j{i}{m}") * r[m][k] for m in range(3)]) * F.col(S[k]) for i in range(2) for k in range(3)})
     dot = lambda i, j: _total([F.col(f"__b{i}{k}") * F.col(f"__b{j}{k}") for k in range(3)])
+    df = settled(df)
     df = df.withColumns({"__a": dot(0, 0) + LOW_PASS, "__b": dot(0, 1), "__d": dot(1, 1) + LOW_PASS})
     a, b, d = F.col("__a"), F.col("__b"), F.col("__d")
-    df = df.withColumns({"__det": a * d - b * b, "u": camera.fx * F.col("__tx") + camera.cx, "v": camera.fy * F.col("__ty") + camera.cy})
+    df = settled(df.withColumns({"__u": camera.fx * F.col("__tx") + camera.cx, "__v": camera.fy * F.col("__ty") + camera.cy, "__det": a * d - b * b}))
     det, mid = F.col("__det"), 0.5 * (a + d)
-    df = df.withColumn("radius", F.ceil(3 * F.sqrt(mid + F.sqrt(F.greatest(mid * mid - det, F.lit(0.1))))).cast("double"))
+    df = settled(df.withColumn("__radius", F.ceil(3 * F.sqrt(mid + F.sqrt(F.greatest(mid * mid - det, F.lit(0.1))))).cast("double")))
     inverse = 1 / F.greatest(det, F.lit(1e-12))
     seen = (F.col("__c2") > camera.near) & (det > 1e-12) & (F.col("opacity") >= LEAST_ALPHA)
-    for c, size in (("u", camera.width), ("v", camera.height)):
-        seen = seen & (F.col(c) + F.col("radius") >= 0) & (F.col(c) - F.col("radius") < size)
-    return df.filter(seen).select("gid", "u", "v", (d * inverse).alias("ka"), (-b * inverse).alias("kb"), (a * inverse).alias("kc"), "opacity", F.col("__c2").alias("depth"), *RGB, "radius")
+    for c, size in (("__u", camera.width), ("__v", camera.height)):
+        seen = seen & (F.col(c) + F.col("__radius") >= 0) & (F.col(c) - F.col("__radius") < size)
+    return df.filter(seen).select("gid", F.col("__u").alias("u"), F.col("__v").alias("v"), (d * inverse).alias("ka"), (-b * inverse).alias("kb"), (a * inverse).alias("kc"), "opacity", F.col("__c2").alias("depth"), *RGB, F.col("__radius").alias("radius"))
 
 
 def tiles(screen: DataFrame, camera: Camera, tile: int = 16) -> DataFrame:

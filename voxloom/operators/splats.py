@@ -80,11 +80,22 @@ def rotation(q: Sequence[Column]) -> Matrix:
     ]
 
 
+def settled(df: DataFrame, prefix: str = "__") -> DataFrame:
+    """``df`` with its columns of that prefix as they are: later filters and projections refer to them.
+
+    Without this the optimiser would put each column's expression wherever the column is used, again and again, and
+    the plan would grow beyond all bounds. A generator of one row stops that and stays in generated code.
+    """
+    own = [c for c in df.columns if c.startswith(prefix)]
+    rest = [c for c in df.columns if not c.startswith(prefix)]
+    return df.select(*rest, F.explode(F.array(F.struct(*own))).alias("__s")).select(*rest, *(F.col(f"__s.{c}").alias(c) for c in own))
+
+
 def _with_rotation(df: DataFrame) -> tuple[DataFrame, Matrix]:
     """The rotation as nine columns, so that expressions refer to them instead of growing."""
     df = df.withColumns({f"__u{i}": c for i, c in enumerate(unit_quaternion(_cols(Q)))})
     matrix = rotation([F.col(f"__u{i}") for i in range(4)])
-    df = df.withColumns({f"__r{i}{j}": matrix[i][j] for i in range(3) for j in range(3)})
+    df = settled(df.withColumns({f"__r{i}{j}": matrix[i][j] for i in range(3) for j in range(3)}))
     return df, [[F.col(f"__r{i}{j}") for j in range(3)] for i in range(3)]
 
 
@@ -121,8 +132,8 @@ def with_mahalanobis(df: DataFrame, point: Sequence[Column | float], name: str =
 
 
 def with_density(df: DataFrame, point: Sequence[Column | float], name: str = "density") -> DataFrame:
-    df = with_mahalanobis(df, point, "__m")
-    return _clean(df.withColumn(name, F.exp(-0.5 * F.col("__m")) / F.sqrt(F.lit((2 * math.pi) ** 3) * determinant())))
+    df = with_mahalanobis(df, point, "mahalanobis2")
+    return df.withColumn(name, F.exp(-0.5 * F.col("mahalanobis2")) / F.sqrt(F.lit((2 * math.pi) ** 3) * determinant())).drop("mahalanobis2")
 
 
 def overlap_integrals(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
