@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,38 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows in a batch that goes to Python: whole texts are long, and two of a task's batches are held at a time.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches for Python to BATCH_ROWS, unless they are smaller.
+
+    Queries and pipeline stages call this; operators leave the session as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after which the worker gives freed memory back to the system.
+
+    Workers are used again by later stages, and each would otherwise keep the most it ever held.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

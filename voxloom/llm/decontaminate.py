@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import mix, released, slices
 
 _Q = 12  # two overlapping words of 8 bytes
 _FLAGS = 22  # bits of a q-gram's hash that index the first filter
@@ -207,7 +207,7 @@ def _match_block(docs: DataFrame, index: Index, text_col: str, matches_col: str)
             rows = [b + [{"item_id": i, "distance": d, "end": e} for i, d, e in f] for b, f in zip(before, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], [*names, matches_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK_BYTES, slices
+from .common import CHUNK_BYTES, released, slices
 
 _GAP = 0x20
 _letters: np.ndarray | None = None
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     n = np.bincount(i, np.concatenate([n for _, n in got]), len(u)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u), pa.array(n)], ["lang", "code", "n"])
 
-    sums = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(released(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
     rows = sums.withColumn("rank", rank).filter(F.col("rank") < profile).select("lang", "code", "rank").collect()
     return Profiles.of([tuple(r) for r in rows], profile)
@@ -145,4 +145,4 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_c
             got = [profiles.predict(t) for _, texts in slices(batch, text_col) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, pred_col, score_col])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(released(run), out)

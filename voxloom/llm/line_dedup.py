@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, mix, slices
+from .common import cut, lookup, mix, released, slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -143,7 +143,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
     4. The edit distance of every candidate pair is verified on the words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(_lines(least_words), f"row long, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
+    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines(least_words)), f"row long, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
     lines = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest")).alias("x")).select("row", "doc_id", "x.line", "x.digest")
     place = F.struct("doc_id", "row", "line")
     full = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest", "a", "b", "c", "d")).alias("x")).select("row", "doc_id", "x.*")
@@ -156,7 +156,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
     busy = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     left = halves.join(busy, "key", "left_semi").select("first.*").distinct()
     wanted = left.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
-    words = lookup(docs.select("row", "doc_id", "text"), wanted, "row").mapInArrow(_words_of_lines, f"row long, doc_id {kind}, line int, words array<string>, keys array<long>")
+    words = lookup(docs.select("row", "doc_id", "text"), wanted, "row").mapInArrow(released(_words_of_lines), f"row long, doc_id {kind}, line int, words array<string>, keys array<long>")
     # sorted by place over all partitions, so that the numbers are in the order of the places
     words = cut(words.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
 
@@ -170,7 +170,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
     replaced = variants.join(same_place, ["key", "lacks"]).select("id", "earlier")
     pairs = inserted.union(replaced).filter("earlier < id").distinct()
     pairs = pairs.join(words.select("id", "row", "line", "words"), "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier")
-    near = pairs.select("row", "line", "words", "other").mapInArrow(_checked, "row long, line int")
+    near = pairs.select("row", "line", "words", "other").mapInArrow(released(_checked), "row long, line int")
     return equal.union(near).distinct().groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
@@ -200,4 +200,4 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             columns = [pa.array(new, pa.string()) if new and c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], [*names, dropped_col])
 
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(released(rebuild), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, released, slices
 from .components import components
 from .shingles import MinHash, band_keys, shingle_sets
 
@@ -232,7 +232,7 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
     texts = docs.select(row.alias("row"), doc_id.alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    prints = cut(texts.mapInArrow(_prints(minhash, bands, width), f"row long, doc_id {id_type}, key binary, n int, sig binary, bands array<long>"))
+    prints = cut(texts.mapInArrow(released(_prints(minhash, bands, width)), f"row long, doc_id {id_type}, key binary, n int, sig binary, bands array<long>"))
 
     nodes = prints.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -242,7 +242,7 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
     members = banded.join(busy, "band").join(nodes.select("node", "sig"), "node")
     least = least_matches(bands * rows_per_band, 2 * rows_per_band, threshold, tolerance)
     candidates = _blocks(members, "band", F.col("size"), block).select("band", "lo", "hi", "left", "node", "sig")
-    clusters = components(candidates.mapInArrow(_prune(least), "a long, b long"))
+    clusters = components(candidates.mapInArrow(released(_prune(least)), "a long, b long"))
     clusters = cut(clusters.withColumnRenamed("root", "cluster"))
 
     # exact verification on the shingles of one row of each node
@@ -255,9 +255,9 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
                 part = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("copies"), pa.array([s.tobytes() for s in shingle_sets(some, width)], pa.binary())], ["node", "cluster", "copies", "shingles"])
 
-    found = texts.select("row", "key", "text").join(wanted, ["row", "key"]).select("node", "cluster", "copies", "text").mapInArrow(shingles, "node long, cluster long, copies long, shingles binary")
+    found = texts.select("row", "key", "text").join(wanted, ["row", "key"]).select("node", "cluster", "copies", "text").mapInArrow(released(shingles), "node long, cluster long, copies long, shingles binary")
     found = _blocks(found.join(sizes, "cluster"), "cluster", F.col("size"), block).select("cluster", "lo", "hi", "left", "node", "copies", "shingles")
-    checked = cut(found.mapInArrow(_verify(threshold), "node long, root long, links long, texts long"))
+    checked = cut(found.mapInArrow(released(_verify(threshold)), "node long, root long, links long, texts long"))
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
     classes = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
 

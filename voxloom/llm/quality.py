@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, logistic, mix, slices, word_hashes
+from .common import SPACES, logistic, mix, released, slices, word_hashes
 
 _PIECE = 1 << 18
 
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found = features(rows, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), pa.array((y[at : at + len(rows)] == 1).astype(np.int32))], ["x", "y"])
 
-    got = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "y").mapInArrow(extract, "x binary, y int").toArrow()
+    got = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "y").mapInArrow(released(extract), "x binary, y int").toArrow()
     y = got["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None
@@ -152,4 +152,4 @@ def score(docs: DataFrame, model: NaiveBayesSvm | None, text_col: str = "text",
                     s[at : at + len(texts)] = model.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, score_col, predicted_col])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(released(run), out)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import slices
+from .common import released, slices
 
 #: Fixed values of the format: the sign for a blank, model types and piece types.
 BLANK = "▁"
@@ -270,7 +270,7 @@ def _mapped(docs: DataFrame, model: bytes, added: str, kind: str, values: Callab
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, column], [*batch.schema.names, added])
         own.forget()  # the worker may go on to other work
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
