@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that the vectorised helpers take in at a time; longer texts are cut between words.
@@ -83,6 +83,15 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most:
     return big.join(F.broadcast(small) if size <= most else small.hint("shuffle_merge"), key, how)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A digest of id and text that names a row.
+
+    Unlike a row number it is the same whenever the row is computed again, after whatever shuffle. Rows of the same id
+    and text have the same key.
+    """
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("\0")), F.lit("\1"), F.coalesce(text.cast("string"), F.lit("\0"))).cast("binary")))
+
+
 def fold(id_col: str, folds: int):
     """The part of a row: crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def _digest(text):
     """SHA-256 (32 bytes), then an unrelated 64-bit hash and the length, which every merge verifies too."""
@@ -20,13 +22,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread over all runs. Going up the tree, each round merges ``fan_in`` neighbouring runs; equal digests
     (SHA-256, a second hash and the length must agree) leave one entry with the largest id and the count.
     Going down, the root's entries return to the runs that hold the digest and meet the run's own rows there.
-    No round moves a text, and no task gathers a group.
+    No round moves a text, and no task gathers a group. The texts are read once, when the digests are written.
 
     Texts are equal when their bytes are; null counts as empty. The largest id of a group stays (a null id is
     smaller than any); of repeated rows with that id exactly one stays. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int"))
+    rows = cut(rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int")))
     sorted_runs = rows.repartition("run", "digest").sortWithinPartitions("run", "digest")
 
     leaf = sorted_runs.groupBy("run", "digest").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("n"))

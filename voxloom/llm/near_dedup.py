@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released, slices
+from .common import cut, released, row_key, slices
 from .components import components
 from .shingles import MinHash, band_keys, shingle_sets
 
@@ -134,7 +134,7 @@ def _prints(minhash: MinHash, bands: int, width: int) -> Callable:
                     sigs.append((v >> np.uint32(16)).astype(np.uint16).tobytes())
                     keys.append(band_keys(v, bands).view(np.int64))
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("key"), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "key", "n", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("key"), part.column("row_key"), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "key", "row_key", "n", "sig", "bands"])
 
     return run
 
@@ -190,6 +190,13 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches, ["cluster", "lo", "hi"]):
+            n = t["node"].to_numpy()
+            once = np.ones(len(n), bool)  # a row that its table holds twice has come twice
+            once[1:] = n[1:] != n[:-1]
+            once[starts] = True
+            if not once.all():
+                starts = np.searchsorted(np.flatnonzero(once), starts)
+                t = t.filter(pa.array(once))
             node, copies, left = t["node"].to_numpy(), t["copies"].to_numpy(), t["left"].to_numpy()
             crossed = t["lo"].to_numpy() != t["hi"].to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
@@ -210,10 +217,10 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
-def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, threshold: float = 0.8, width: int = 5, bands: int = 20, rows_per_band: int = 5, tolerance: float = 1e-3, block: int = 256) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, class_id, class_size, links, linked_texts, kept.
+def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8, width: int = 5, bands: int = 20, rows_per_band: int = 5, tolerance: float = 1e-3, block: int = 256) -> DataFrame:
+    """One row per row of ``docs``: row_key, doc_id, class_id, class_size, links, linked_texts, kept.
 
-    ``row`` identifies rows (ids may repeat or be null). The steps:
+    The steps:
 
     1. Rows of equal text become one node, by digest. A node has ``bands * rows_per_band`` MinHash values.
     2. Nodes that share a band are candidates. Within each band's groups their values are compared step by step; a
@@ -229,12 +236,13 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
     Null, empty and blank texts have no shingle: each is a class of its own and stays.
     """
     minhash = MinHash(bands * rows_per_band)
-    texts = docs.select(row.alias("row"), doc_id.alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), row_key(F.col(id_col), text).alias("row_key"))
+    texts = texts.withColumns({"key": F.unhex(F.md5(F.col("text").cast("binary"))), "row": F.monotonically_increasing_id()})
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    prints = cut(texts.mapInArrow(released(_prints(minhash, bands, width)), f"row long, doc_id {id_type}, key binary, n int, sig binary, bands array<long>"))
+    prints = cut(texts.mapInArrow(released(_prints(minhash, bands, width)), f"row long, doc_id {id_type}, key binary, row_key binary, n int, sig binary, bands array<long>"))
 
-    nodes = prints.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = prints.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "row_key", "row")).alias("top"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -246,7 +254,7 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
     clusters = cut(clusters.withColumnRenamed("root", "cluster"))
 
     # exact verification on the shingles of one row of each node
-    wanted = clusters.join(nodes.select("node", "key", "copies", "top"), "node").select("node", "cluster", "copies", "key", F.col("top.row").alias("row"))
+    wanted = clusters.join(nodes.select("node", "key", "copies", "top"), "node").select("node", "cluster", "copies", F.col("top.row_key").alias("row_key"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +263,7 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
                 part = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("copies"), pa.array([s.tobytes() for s in shingle_sets(some, width)], pa.binary())], ["node", "cluster", "copies", "shingles"])
 
-    found = texts.select("row", "key", "text").join(wanted, ["row", "key"]).select("node", "cluster", "copies", "text").mapInArrow(released(shingles), "node long, cluster long, copies long, shingles binary")
+    found = texts.select("row_key", "text").join(wanted, "row_key").select("node", "cluster", "copies", "text").mapInArrow(released(shingles), "node long, cluster long, copies long, shingles binary")
     found = _blocks(found.join(sizes, "cluster"), "cluster", F.col("size"), block).select("cluster", "lo", "hi", "left", "node", "copies", "shingles")
     checked = cut(found.mapInArrow(released(_verify(threshold)), "node long, root long, links long, texts long"))
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
@@ -266,21 +274,23 @@ def near_classes(docs: DataFrame, text: Column, doc_id: Column, row: Column, thr
     placed = cut(placed)
     best = placed.groupBy("class").agg(F.min("top").alias("best"), F.sum("copies").alias("class_size"))
     placed = placed.join(best, "class").select("key", "best", "class_size", (F.col("links") + F.col("copies") - 1).alias("links"), "linked_texts")
-    own = prints.select("row", "doc_id", "key", "n")
-    out = own.filter("n > 0").join(placed, "key").select("row", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "links", "linked_texts", (F.col("row") == F.col("best.row")).alias("kept"))
-    alone = own.filter("n = 0").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(True))
+    own = prints.select("row", "row_key", "doc_id", "key", "n")
+    out = own.filter("n > 0").join(placed, "key").select("row_key", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "links", "linked_texts", (F.col("row") == F.col("best.row")).alias("kept"))
+    alone = own.filter("n = 0").select("row_key", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(True))
     return out.union(alone)
 
 
 def near_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **parameters) -> DataFrame:
-    """near_classes() of a table, without the row numbers."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    return near_classes(base, F.col("text"), F.col("doc_id"), F.col("row"), **parameters).drop("row")
+    """near_classes() without the row keys."""
+    return near_classes(docs, text_col, id_col, **parameters).drop("row_key")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **parameters) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    number = "__row"
-    base = docs.withColumn(number, F.monotonically_increasing_id())
-    kept = near_classes(base, F.col(text_col), F.col(id_col), F.col(number), **parameters).filter("kept").select(F.col("row").alias(number))
-    return base.join(kept, number, "left_semi").drop(number)
+    key = "__row_key"
+    base = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    classes = cut(near_classes(docs, text_col, id_col, **parameters).select(F.col("row_key").alias(key), "kept"))
+    out = base.join(classes.filter("kept").select(key).distinct(), key, "left_semi")
+    if classes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).filter("n > kept and kept > 0").limit(1).count():
+        out = out.dropDuplicates([key])  # rows of the same id and text: one of each that is kept
+    return out.drop(key)

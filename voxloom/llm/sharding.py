@@ -34,8 +34,9 @@ def _draw(rows: DataFrame, rate, seed: int) -> list[tuple[float, float]]:
 
 
 def _ranged(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """``rows`` with ``bucket``, the number of cuts up to their key (keys are below 2 ** 52)."""
     inf = float("inf")
-    return Bucketizer(splits=[-inf, *cuts, inf], inputCol="key", outputCol="range").transform(rows).withColumn("bucket", F.col("range").cast("int")).drop("range")
+    return Bucketizer(splits=[-inf, *(cuts or [2.0**53]), inf], inputCol="key", outputCol="range").transform(rows).withColumn("bucket", F.col("range").cast("int")).drop("range")
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 64, samples: int = 16384, heavy: float = 0.01, rounds: int = 6) -> DataFrame:
@@ -88,7 +89,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             cuts += _weighted_cuts(own, max(r.bytes / unit, 2)) if own else []
         cuts = sorted(set(cuts))
 
-    base, first = {}, len(cuts) + 1
+    base, first = {}, len(cuts) + 2
     for key, n in subs.items():
         base[key], first = first, first + n
     own = spark.createDataFrame([(k, float(b)) for k, b in base.items()] or [(-1.0, 0.0)], "key double, base double")
