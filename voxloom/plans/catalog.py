@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import octree_queries, splat_queries, voxel_queries
+from . import octree_queries, source_queries, splat_queries, voxel_queries
 from .registry import Query
 
-_ALL = (voxel_queries.REGISTRY, octree_queries.REGISTRY, splat_queries.REGISTRY)
+_ALL = (voxel_queries.REGISTRY, octree_queries.REGISTRY, splat_queries.REGISTRY, source_queries.REGISTRY)
 
 
 def queries() -> dict[str, Query]:
