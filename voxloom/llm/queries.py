@@ -91,6 +91,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # all pairs that share a shingle, so without candidates; only for tables of this size
+        "op4_ngram_jaccard_join": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(trim(lower(coalesce(text, '')), E' \t\n\r\f\v'), '\s+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE w[1] <> '')),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+            reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+            class AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM reach GROUP BY a),
+            found AS (SELECT a AS doc_id, count(*) AS links, count(DISTINCT CASE WHEN x.text <> y.text THEN md5(y.text) END) AS linked_texts FROM link JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b GROUP BY a)
+            SELECT doc_id, class_id, class_size, coalesce(links, 0) AS links, coalesce(linked_texts, 0) AS linked_texts, doc_id = class_id AS kept
+            FROM class LEFT JOIN found USING (doc_id)""",
         "op9_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
