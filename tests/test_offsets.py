@@ -26,3 +26,13 @@ def test_kernel_checks():
             bad.taps(2)
     with pytest.raises(ValueError):
         Kernel((3, 3)).taps(3)
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 150"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0

@@ -436,31 +436,38 @@ query("linear", f"WITH {_HALVES} SELECT b, x, y, z, f * 2 + 1 AS f0, f * -4 + 0.
 
 # -- losses; of halves, so sums are exact
 
-_X, _Y = F.col("f"), F.floor(F.col("f") / 2)
+def _x():
+    return F.col("f")
+
+
+def _y():
+    return F.floor(F.col("f") / 2)
+
+
 for _name, _loss, _sql in (
-    ("loss_mse", lambda: losses.mse(_X, _Y), "(f - floor(f / 2)) * (f - floor(f / 2))"),
-    ("loss_l1", lambda: losses.l1(_X, _Y), "abs(f - floor(f / 2))"),
-    ("loss_smooth_l1", lambda: losses.smooth_l1(_X, _Y), "CASE WHEN abs(f - floor(f / 2)) < 1 THEN 0.5 * (f - floor(f / 2)) * (f - floor(f / 2)) ELSE abs(f - floor(f / 2)) - 0.5 END"),
-    ("loss_hinge_embedding", lambda: losses.hinge_embedding(_X, F.when(_X > 1, 1).otherwise(-1)), "CASE WHEN f > 1 THEN f ELSE greatest(0, 1 - f) END"),
-    ("loss_multi_margin", lambda: losses.multi_margin([_X, _X / 2, F.lit(1.0), -_X], F.pmod(F.col("x"), F.lit(4))), "(CASE WHEN x % 4 = 0 THEN 0 ELSE greatest(0, 1 - own + f) END + CASE WHEN x % 4 = 1 THEN 0 ELSE greatest(0, 1 - own + f / 2) END + CASE WHEN x % 4 = 2 THEN 0 ELSE greatest(0, 1 - own + 1) END + CASE WHEN x % 4 = 3 THEN 0 ELSE greatest(0, 1 - own - f) END) / 4"),
+    ("loss_mse", lambda: losses.mse(_x(), _y()), "(f - floor(f / 2)) * (f - floor(f / 2))"),
+    ("loss_l1", lambda: losses.l1(_x(), _y()), "abs(f - floor(f / 2))"),
+    ("loss_smooth_l1", lambda: losses.smooth_l1(_x(), _y()), "CASE WHEN abs(f - floor(f / 2)) < 1 THEN 0.5 * (f - floor(f / 2)) * (f - floor(f / 2)) ELSE abs(f - floor(f / 2)) - 0.5 END"),
+    ("loss_hinge_embedding", lambda: losses.hinge_embedding(_x(), F.when(_x() > 1, 1).otherwise(-1)), "CASE WHEN f > 1 THEN f ELSE greatest(0, 1 - f) END"),
+    ("loss_multi_margin", lambda: losses.multi_margin([_x(), _x() / 2, F.lit(1.0), -_x()], F.pmod(F.col("x"), F.lit(4))), "(CASE WHEN x % 4 = 0 THEN 0 ELSE greatest(0, 1 - own + f) END + CASE WHEN x % 4 = 1 THEN 0 ELSE greatest(0, 1 - own + f / 2) END + CASE WHEN x % 4 = 2 THEN 0 ELSE greatest(0, 1 - own + 1) END + CASE WHEN x % 4 = 3 THEN 0 ELSE greatest(0, 1 - own - f) END) / 4"),
 ):
     _full = f"WITH {_HALVES}, own AS (SELECT *, CASE x % 4 WHEN 0 THEN f WHEN 1 THEN f / 2 WHEN 2 THEN 1 ELSE -f END AS own FROM half) SELECT CAST(sum(CAST({_sql} AS DOUBLE)) AS DOUBLE) AS loss FROM own"
     query(_name, _full)(lambda s, d, f=_loss: losses.total_of(_halves(s, d).df, f().cast("double")))
 
 for _name, _loss in {
-    "loss_bce": lambda: losses.binary_cross_entropy(channels.sigmoid(_X), (_X > 0).cast("double")),
-    "loss_bce_logits": lambda: losses.binary_cross_entropy_with_logits(_X, (_X > 0).cast("double"), 2.0),
-    "loss_cross_entropy": lambda: losses.cross_entropy([_X, _X / 2, F.lit(1.0)], F.pmod(F.col("x"), F.lit(3))),
-    "loss_nll": lambda: losses.nll([-F.abs(_X), F.lit(-1.0)], F.pmod(F.col("x"), F.lit(2))),
-    "loss_kl_div": lambda: losses.kl_div(-F.abs(_X), channels.sigmoid(_X)),
-    "loss_poisson_nll": lambda: losses.poisson_nll(_X, F.abs(_X), full=True),
-    "loss_multilabel_margin": lambda: losses.multilabel_margin([_X, _X / 2, F.lit(1.0)], F.array(F.pmod(F.col("x"), F.lit(3)).cast("int"), F.lit(-1), F.lit(0))),
-    "loss_multilabel_soft_margin": lambda: losses.multilabel_soft_margin([_X, -_X], [(_X > 0).cast("double"), F.lit(1.0)]),
-    "loss_soft_margin": lambda: losses.soft_margin(_X, F.when(_X > 0, 1.0).otherwise(-1.0)),
+    "loss_bce": lambda: losses.binary_cross_entropy(channels.sigmoid(_x()), (_x() > 0).cast("double")),
+    "loss_bce_logits": lambda: losses.binary_cross_entropy_with_logits(_x(), (_x() > 0).cast("double"), 2.0),
+    "loss_cross_entropy": lambda: losses.cross_entropy([_x(), _x() / 2, F.lit(1.0)], F.pmod(F.col("x"), F.lit(3))),
+    "loss_nll": lambda: losses.nll([-F.abs(_x()), F.lit(-1.0)], F.pmod(F.col("x"), F.lit(2))),
+    "loss_kl_div": lambda: losses.kl_div(-F.abs(_x()), channels.sigmoid(_x())),
+    "loss_poisson_nll": lambda: losses.poisson_nll(_x(), F.abs(_x()), full=True),
+    "loss_multilabel_margin": lambda: losses.multilabel_margin([_x(), _x() / 2, F.lit(1.0)], F.array(F.pmod(F.col("x"), F.lit(3)).cast("int"), F.lit(-1), F.lit(0))),
+    "loss_multilabel_soft_margin": lambda: losses.multilabel_soft_margin([_x(), -_x()], [(_x() > 0).cast("double"), F.lit(1.0)]),
+    "loss_soft_margin": lambda: losses.soft_margin(_x(), F.when(_x() > 0, 1.0).otherwise(-1.0)),
 }.items():
     query(_name)(lambda s, d, f=_loss: losses.mean_of(_halves(s, d).df, f()))
 
-query("loss_weighted_cross_entropy")(lambda s, d: losses.mean_of(_halves(s, d).df, losses.cross_entropy([_X, F.lit(1.0)], F.pmod(F.col("x"), F.lit(2))), losses.class_weight([1.0, 3.0], F.pmod(F.col("x"), F.lit(2)))))
+query("loss_weighted_cross_entropy")(lambda s, d: losses.mean_of(_halves(s, d).df, losses.cross_entropy([_x(), F.lit(1.0)], F.pmod(F.col("x"), F.lit(2))), losses.class_weight([1.0, 3.0], F.pmod(F.col("x"), F.lit(2)))))
 
 
 # -- interpolation at half cells: the weights are powers of two
