@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.offsets import Kernel, per_axis
+from voxloom.functions.offsets import Kernel, corners, per_axis
 from voxloom.model import Points, Voxels
 
 from . import coords
@@ -47,7 +47,7 @@ def sparse(p: Points, stride: int | Sequence[int] = 1, mode: str = "average", or
 
 def _corners(p: Points, stride: Sequence[int]) -> DataFrame:
     """Each point once for every corner of its cell, with the multilinear weight ``w``; weights of 0 go."""
-    cells = F.array(*(F.struct(*(F.lit(v).alias(f"o{a}") for a, v in enumerate(off))) for off in _unit_corners(len(p.axes))))
+    cells = F.array(*(F.struct(*(F.lit(v).alias(f"o{a}") for a, v in enumerate(off))) for off in corners(len(p.axes))))
     out = p.df.withColumn("__c", F.explode(cells))
     weight, moved = F.lit(1.0), {}
     for i, (a, s) in enumerate(zip(p.axes, stride, strict=True)):
@@ -58,12 +58,6 @@ def _corners(p: Points, stride: Sequence[int]) -> DataFrame:
     return out.withColumn(p.batch, F.round(F.col(p.batch)).cast("int")).drop("__c")
 
 
-def _unit_corners(dim: int):
-    from voxloom.functions.offsets import corners
-
-    return corners(dim)
-
-
 def splat(p: Points, stride: int | Sequence[int] = 1) -> Voxels:
     """Spreads each point over the corners of its cell by multilinear weights, and sums."""
     steps = per_axis(stride, len(p.axes), "stride")
@@ -113,11 +107,9 @@ def max_pool_with_source(v: Voxels, kernel: Kernel, stride: int | Sequence[int]
     """Max pooling of the first channel and the coordinates (``in_<axis>``) it came from; of equals the smallest."""
     step = per_axis(stride, v.dim, "stride")
     out = v if set(step) == {1} else coords.stride(v, step)
-    place = F.struct(*(F.col(f"__in_{a}") for a in v.axes))
     kept = v.with_df(v.df.withColumns({f"__in_{a}": F.col(a) for a in v.axes}))
     f = v.feats[0]
     best = F.max(F.struct(F.col(f), F.struct(*((-F.col(f"__in_{a}")).alias(a) for a in v.axes)).alias("place"))).alias("best")
-    del place
     df = gathered(kept, kernel, out, False, lambda k: [best])
     return df.select(*v.keys, F.col(f"best.{f}").alias(f), *((-F.col(f"best.place.{a}")).alias(f"in_{a}") for a in v.axes))
 

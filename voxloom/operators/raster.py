@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,8 +152,6 @@ def ssim(a: DataFrame, b: DataFrame, window: int = 11, sigma: float = 1.5) -> Da
     """
     if window < 1 or window % 2 == 0:
         raise ValueError("the window must be odd")
-    import math
-
     half = window // 2
     weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-half, half + 1)]
     weights = [w / sum(weights) for w in weights]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxloom.camera import Camera
 from voxloom.functions.spherical import C0
+from voxloom.lineage import cut
 from voxloom.operators import raster, splats
 
 Arrays = dict[str, np.ndarray]
@@ -240,7 +241,7 @@ class SplatTrainer:
 
     def _set(self, df: DataFrame) -> None:
         """Cuts the lineage, which would grow with every step, by a table in the checkpoint folder."""
-        self.raw = df.checkpoint(eager=True)
+        self.raw = cut(df)
 
     def densify_and_prune(self, seed: int = 0) -> tuple[int, int]:
         """Clones small and splits large Gaussians whose mean screen gradient is high; drops faint and huge ones.
