@@ -71,16 +71,17 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 24 << 20
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
-    """``big`` joined to ``small`` (key, array of int) on ``key``.
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``big`` joined to ``small`` (keys, arrays of int) on ``keys``, where nulls are equal.
 
     ``small`` is computed and its size taken; up to ``most`` bytes it is broadcast, so that the rows of ``big`` stay
     where they are. Beyond, both sides are shuffled.
     """
-    small = cut(small)
-    listed = [c for c in small.columns if c != key]
-    size = small.agg(F.coalesce(F.sum(F.lit(32) + sum((F.size(c) * 4 for c in listed), F.lit(0))), F.lit(0))).first()[0]
-    return big.join(F.broadcast(small) if size <= most else small.hint("shuffle_merge"), key, how)
+    small = cut(small.toDF(*(f"__small_{c}" if c in keys else c for c in small.columns)))
+    listed = [c for c in small.columns if not c.startswith("__small_")]
+    size = small.agg(F.coalesce(F.sum(F.lit(48) + sum((F.size(c) * 4 for c in listed), F.lit(0))), F.lit(0))).first()[0]
+    on = [F.col(k).eqNullSafe(F.col(f"__small_{k}")) for k in keys]
+    return big.join(F.broadcast(small) if size <= most else small.hint("shuffle_merge"), on, how).drop(*(f"__small_{k}" for k in keys))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

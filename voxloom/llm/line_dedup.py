@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, mix, released, row_key, slices
+from .common import cut, lookup, mix, released, slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -123,13 +123,14 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("words").to_pylist(), batch.column("other").to_pylist()
         keep = [within_one(x, y) for x, y in zip(a, b, strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["row", "line"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["row", "doc_id", "line"])
 
 
 def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
-    """(row, lines): which lines of each row of ``docs`` (row, doc_id, text) have an earlier equal.
+    """(row, doc_id, lines): which lines of each row of ``docs`` (row, doc_id, text) have an earlier equal.
 
-    ``row`` is a row_key(): rows of the same id and text are one, so all of them keep what the first one keeps.
+    ``row`` is a hash of the text, so with the id it names a row however often that is computed. Rows of the same id and
+    text are one: all of them keep what the first one keeps.
     Lines are what newlines separate, compared without the white space around them; blank lines have no equal.
     Earlier is by (doc_id, row, number of the line). A line goes if an earlier line is the same or, where both have
     ``least_words`` words or more, within an edit distance of one word. The distance is not carried on: what
@@ -144,22 +145,22 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
     4. The edit distance of every candidate pair is verified on the words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines(least_words)), f"row binary, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
+    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines(least_words)), f"row long, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
     lines = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest")).alias("x")).select("row", "doc_id", "x.line", "x.digest")
     place = F.struct("doc_id", "row", "line")
     full = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest", "a", "b", "c", "d")).alias("x")).select("row", "doc_id", "x.*")
     distinct = full.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.array("a", "b", "c", "d")).alias("halves"))
     distinct = cut(distinct.withColumn("halves", F.when(F.col("halves")[0].isNotNull(), F.col("halves"))))
 
-    equal = lines.join(distinct.select("digest", "first"), "digest").filter("row <> first.row or line <> first.line").select("row", "line")
+    equal = lines.join(distinct.select("digest", "first"), "digest").filter("row <> first.row or line <> first.line or not doc_id <=> first.doc_id").select("row", "doc_id", "line")
 
     halves = distinct.filter("halves is not null").select("first", F.explode("halves").alias("key"))
     busy = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     left = halves.join(busy, "key", "left_semi").select("first.*").distinct()
-    wanted = left.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
-    words = lookup(docs.select("row", "doc_id", "text"), wanted, "row").mapInArrow(released(_words_of_lines), f"row binary, doc_id {kind}, line int, words array<string>, keys array<long>")
+    wanted = left.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
+    words = lookup(docs.select("row", "doc_id", "text"), wanted, ["row", "doc_id"]).mapInArrow(released(_words_of_lines), f"row long, doc_id {kind}, line int, words array<string>, keys array<long>")
     # sorted by place over all partitions, so that the numbers are in the order of the places
-    words = words.dropDuplicates(["row", "line"])  # rows of the same id and text have the same key
+    words = words.dropDuplicates(["row", "doc_id", "line"])  # rows of the same id and text have the same key
     words = cut(words.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
 
     variants = words.select("id", F.posexplode("keys").alias("lacks", "key"))
@@ -171,9 +172,9 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
     same_place = variants.filter("lacks > 0").groupBy("key", "lacks").agg(F.min("id").alias("earlier"))
     replaced = variants.join(same_place, ["key", "lacks"]).select("id", "earlier")
     pairs = inserted.union(replaced).filter("earlier < id").distinct()
-    pairs = pairs.join(words.select("id", "row", "line", "words"), "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier")
-    near = pairs.select("row", "line", "words", "other").mapInArrow(released(_checked), "row binary, line int")
-    return equal.union(near).distinct().groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    pairs = pairs.join(words.select("id", "row", "doc_id", "line", "words"), "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier")
+    near = pairs.select("row", "doc_id", "line", "words", "other").mapInArrow(released(_checked), f"row long, doc_id {kind}, line int")
+    return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropped_col: str = "dropped_lines", least_words: int = 10) -> DataFrame:
@@ -183,10 +184,10 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     null and a text without repeated lines is not touched. A column named ``dropped_col`` is replaced.
     """
     number, lost = "__row", "__lost"
-    base = docs.drop(dropped_col).withColumn(number, row_key(F.col(id_col), F.col(text_col)))
+    base = docs.drop(dropped_col).withColumn(number, F.xxhash64(F.col(text_col).cast("string")))
     found = repeated_lines(base.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least_words)
-    found = found.select(F.col("row").alias(number), F.col("lines").alias(lost))
-    joined = lookup(base, found, number, "left").drop(number)
+    found = found.select(F.col("row").alias(number), F.col("doc_id").alias(id_col), F.col("lines").alias(lost))
+    joined = lookup(base, found, [number, id_col], "left").drop(number)
     names = [c for c in joined.columns if c != lost]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema if f.name != lost) + f"`{dropped_col}` int"
 
