@@ -160,8 +160,9 @@ class Index:
         return [(self.ids[i], d, at) for i, (d, at) in sorted(found.items())]
 
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_chars: int = 32 << 20) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``most_chars`` characters, so that what is broadcast at a time has a bound."""
+def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_chars: int = 2 << 20) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``most_chars`` characters, so that what is broadcast at a time has a bound (some 30
+    bytes a character)."""
     items = benchmark.select(F.col(id_col), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     block: list[tuple[int, str]] = []
     held = 0

@@ -69,13 +69,14 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lif
     return rules.join(covered.select("antecedent").distinct(), "antecedent", "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, max_rules: int = 4096) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_pages: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5, max_rules: int = 4096) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, confidence.
 
     The longest of ``rules`` that fits decides. Where none does, mined rules decide: the pages that ``labels``
     covers (same id) are baskets of URL tokens, bad where quality is 0 or toxic is 1; association rules that lead
     to bad labels are matched through an inverted index that files each rule under its rarest token, so a token
-    that all URLs share brings up no candidates unless the rule has no other. The verdict is ``block`` if a rule
+    that all URLs share brings up no candidates unless the rule has no other. A rule rests on ``min_support`` of the
+    labelled pages and on ``min_pages`` at least, so that a few pages make none. The verdict is ``block`` if a rule
     matches, with the highest confidence, else ``allow``.
 
     A null or odd url has an empty host and path, no token, no rule, and the verdict ``allow``. Null labels and
@@ -96,7 +97,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: st
     if not counts.bad:
         return decided.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
 
-    mined = cut(mine(labelled, min_support, min_confidence, min_lift, max_rules))
+    mined = cut(mine(labelled, min(max(min_support, min_pages / counts.n), 1.0), min_confidence, min_lift, max_rules))
     seen = labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     least = F.min(F.struct("n", "item")).alias("least")
     anchored = mined.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(seen, "item").groupBy("antecedent", "confidence").agg(least)
