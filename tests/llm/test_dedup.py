@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import near_dedup
 from voxloom.llm.exact_dedup import exact_dedup
-from voxloom.llm.line_dedup import dedup_lines, half_keys, neighbourhood, within_one, word_codes
+from voxloom.llm.line_dedup import dedup_lines, half_keys, neighbourhood, within, within_one, word_codes
 from voxloom.llm.near_dedup import keep_one, least_matches, near_join
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -105,6 +105,45 @@ def test_lines(spark, seed):
         assert len(got[i].text.split("\n")) == max(len(text.split("\n")) - want[i], 1)
 
 
+def test_line_bound_grows_with_the_line(spark):
+    rng = np.random.default_rng(5)
+    rows, drop, earlier = [], [], []
+    for n in (12, 29, 30, 44, 46, 75, 200, 4, 6, 8):
+        for edits in (0, 1, 2, 3, 5, 13, 14):
+            if edits == 0:
+                base = words(rng, n) if n >= 10 else list("".join(f"{rng.integers(10**9)}" for _ in range(n)))
+            own = list(base)
+            for at in sorted(rng.permutation(len(own))[:edits], reverse=True):
+                own[at : at + 1] = [["new"], [], [own[at], "more"]][rng.integers(3)] if n >= 10 else ["x"]
+            line = (" " if n >= 10 else "").join(own)
+            own = own if n >= 10 else list(line)
+            per = 15 if n >= 10 else 20
+
+            def distance(a, b):
+                last = list(range(len(b) + 1))
+                for i, x in enumerate(a, 1):
+                    now = [i]
+                    for j, y in enumerate(b, 1):
+                        now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+                    last = now
+                return last[-1]
+
+            near = [w for p, w in earlier if p == per and abs(len(w) - len(own)) <= 14]
+            bounds = [(max(1, min(len(w), len(own)) // per), w) for w in near if min(len(w), len(own)) >= (10 if per == 15 else 20)]
+            hit = False
+            for most, w in bounds:
+                close = distance(w, own) <= most
+                assert within(w, own, most) == close
+                hit |= close
+            rows.append((len(rows), line, "en"))
+            drop.append(int(hit or any(w == own for _, w in earlier)))
+            earlier.append((per, own))
+    got = {r.doc_id: r.dropped_lines for r in dedup_lines(docs(spark, rows), words_per_edit=15, chars_per_edit=20).collect()}
+    assert [got[i] for i in range(len(rows))] == drop
+    old = {r.doc_id: r.dropped_lines for r in dedup_lines(docs(spark, rows)).collect()}
+    assert sum(drop) > sum(old.values()) + 10
+
+
 def test_line_odd_rows(spark):
     rows = [r for r in ODD if r[0] is not None] + [(7, "a\n\nx\n", "en"), (8, "one two three four five six seven eight nine ten", "en"), (9, "one two three four FIVE six seven eight nine ten", "en"), (10, "one two three four six seven eight nine ten eleven twelve", "en")]
     got = dedup_lines(docs(spark, rows).withColumns({c: F.lit(0) for c in ("row", "line", "lines", "wanted")})).collect()

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, mix, released, slices
+from .common import SPACES, cut, lookup, mix, released, slices, word_hashes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
+#: The bounds of the query and of the pipeline.
+WORDS_PER_EDIT, CHARS_PER_EDIT = 15, 20
+#: Lines of a key that are compared with the others in one task.
+BLOCK = 256
+#: Stands before each token of a line that is compared by characters; no word holds a newline.
+_CHAR = "\n"
+
 
 def _key(*parts: bytes | str) -> int:
     h = xxhash.xxh3_64()
@@ -76,8 +84,91 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return max(len(a), len(b)) - front - back <= 1
 
 
-def _lines(least_words: int) -> Callable:
-    """By text: numbers and digests of its lines that aren't blank, and the half keys of long ones."""
+def tokens(line: str, least_words: int, chars_per_edit: int | None) -> list[str]:
+    """What edits of a line are counted in: words from ``least_words`` on, else characters; none if only equality counts."""
+    words = line.split()
+    if len(words) >= least_words:
+        return words
+    return [_CHAR + c for c in line] if chars_per_edit and len(line) >= chars_per_edit else []
+
+
+def most_edits(n: int, per_edit: int | None) -> int:
+    """The bound of a pair whose shorter line has ``n`` tokens."""
+    return max(1, n // per_edit) if per_edit else 1
+
+
+def within(a: list[str], b: list[str], most: int) -> bool:
+    """Whether ``most`` inserted, deleted or replaced tokens at most turn ``a`` into ``b``.
+
+    Furthest places on each diagonal, edit by edit, so the cost grows with the edits and not with the length.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    if most == 1:
+        return within_one(a, b)
+    if max(len(a), len(b)) - (Counter(a) & Counter(b)).total() > most:
+        return False
+    goal = len(b) - len(a)
+    front: dict[int, int] = {}
+    for edits in range(most + 1):
+        new = {}
+        for d in range(max(-edits, -len(a)), min(edits, len(b)) + 1):
+            i = max(front.get(d, -2) + 1, front.get(d - 1, -1), front.get(d + 1, -2) + 1) if edits else 0
+            i = min(i, len(a), len(b) - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            new[d] = i
+        if new.get(goal, -1) >= len(a):
+            return True
+        front = new
+    return False
+
+
+def run_sizes(per_edit: int) -> tuple[int, int]:
+    """Tokens of a gram, and grams of a window, of which lines within two or more edits share at least one.
+
+    ``k`` edits leave one of the ``k + 1`` stretches between them with (n - k) / (k + 1) tokens or more, and n is at
+    least ``k * per_edit``. That is least for two edits.
+    """
+    run = -(-(2 * per_edit - 2) // 3)
+    gram = max(1, run * 7 // 10)
+    return gram, run - gram + 1
+
+
+def shared_keys(n: Column, edits: Column, per_edit: int) -> Column:
+    """Places of keys that lines within ``edits`` share at least, if the shorter has ``n`` tokens.
+
+    A stretch of r tokens holds r - gram - window + 2 whole windows, and one place is the least of ``window`` of them
+    at most; the ``edits + 1`` stretches have n - edits tokens together.
+    """
+    gram, window = run_sizes(per_edit)
+    return F.greatest(F.lit(1), F.ceil((n - edits - (gram + window - 2) * (edits + 1)) / window))
+
+
+def run_keys(codes: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of the least gram of each window of ``window`` grams; lines are ``codes[offsets[i]:offsets[i + 1]]``.
+
+    Two lines that share a stretch of ``gram + window - 1`` tokens, at whatever places, share the key of its window.
+    """
+    rows = len(codes) - gram - window + 2
+    if rows <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    powers = np.multiply.accumulate(np.full(gram, _BASE, np.uint64))
+    whole = np.zeros(len(codes) - gram + 1, np.uint64)
+    for k in range(gram):
+        whole += codes[k : k + len(whole)] * powers[k]
+    whole = mix(whole)
+    line = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = line[:rows] == line[gram + window - 2 :]
+    at = np.arange(rows) + np.lib.stride_tricks.sliding_window_view(whole, window).argmin(1)
+    at = np.unique(at[inside])
+    return line[at], whole[at].view(np.int64)
+
+
+def _lines(least_words: int, chars_per_edit: int | None) -> Callable:
+    """By text: numbers and digests of its lines that aren't blank, and the half keys of those with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,8 +179,8 @@ def _lines(least_words: int) -> Callable:
                     found = [(i, line) for i, line in found if line]
                     number.append([i for i, _ in found])
                     digest.append([xxhash.xxh3_128_digest(line.encode("utf-8", "replace")) for _, line in found])
-                    words = [line.split() for _, line in found]
-                    halves.append([half_keys(w) if len(w) >= least_words else (None,) * 4 for w in words])
+                    own = [tokens(line, least_words, chars_per_edit) for _, line in found]
+                    halves.append([half_keys(w) if w else (None,) * 4 for w in own])
                 part = batch.slice(at, len(texts))
                 long = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -100,41 +191,99 @@ def _lines(least_words: int) -> Callable:
     return run
 
 
-def _words_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and neighbourhoods of the wanted lines of each text."""
-    for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
-        for at, texts in slices(batch, "text"):
-            of, number, words, keys = [], [], [], []
-            for k, text in enumerate(texts):
-                lines = text.split("\n")
-                for i in wanted[at + k]:
-                    w = lines[i].split()
-                    own, less = neighbourhood(word_codes(w))
-                    of.append(at + k)
-                    number.append(i)
-                    words.append(w)
-                    keys.append(np.concatenate([[np.int64(own)], less]))
-            part = batch.select(["row", "doc_id"]).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(number, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "line", "words", "keys"])
-
-
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("words").to_pylist(), batch.column("other").to_pylist()
-        keep = [within_one(x, y) for x, y in zip(a, b, strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["row", "doc_id", "line"])
-
-
-def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
+def _runs(least_words: int, words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
+    """Digest and run keys of each line that is long enough for two edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                found: dict[bool, list[tuple[str, list[str]]]] = {False: [], True: []}
+                for line in {line.strip() for text in texts for line in text.split("\n")}:
+                    if line:
+                        words = line.split()
+                        by_chars = len(words) < least_words
+                        per = chars_per_edit if by_chars else words_per_edit
+                        if per and (len(line) if by_chars else len(words)) >= 2 * per:
+                            found[by_chars].append((line, words))
+                for by_chars, own in found.items():
+                    if not own:
+                        continue
+                    if by_chars:
+                        codes = mix(np.frombuffer("".join(line for line, _ in own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+                        offsets = np.concatenate([[0], np.cumsum([len(line) for line, _ in own])])
+                    else:
+                        codes, offsets = word_hashes([" ".join(w).encode("utf-8", "replace") for _, w in own], SPACES)
+                    line, keys = run_keys(codes, offsets, *run_sizes(chars_per_edit if by_chars else words_per_edit))
+                    held = np.bincount(line, minlength=len(own))
+                    digests = pa.array([xxhash.xxh3_128_digest(line.encode("utf-8", "replace")) for line, _ in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(keys))], ["digest", "keys"])
+
+    return run
+
+
+def _words_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
+    """Digests, tokens and neighbourhoods of the wanted lines of each text.
+
+    A wanted line is twice its number, and one more if its neighbourhood is wanted too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("wanted").to_pylist()
+            for at, texts in slices(batch, "text"):
+                of, number, digest, words, keys = [], [], [], [], []
+                for k, text in enumerate(texts):
+                    lines = text.split("\n")
+                    for i in wanted[at + k]:
+                        line = lines[i >> 1].strip()
+                        w = tokens(line, least_words, chars_per_edit)
+                        of.append(at + k)
+                        number.append(i >> 1)
+                        digest.append(xxhash.xxh3_128_digest(line.encode("utf-8", "replace")))
+                        words.append(w)
+                        if i & 1:
+                            own, less = neighbourhood(word_codes(w))
+                            keys.append(np.concatenate([[np.int64(own)], less]))
+                        else:
+                            keys.append(())
+                part = batch.select(["row", "doc_id"]).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "line", "digest", "words", "keys"],
+                )
+
+    return run
+
+
+def _checked(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
+    """Pairs within the bound of the shorter line."""
+
+    def near(x: list[str], y: list[str]) -> bool:
+        by_chars = x[0].startswith(_CHAR)
+        if by_chars != y[0].startswith(_CHAR):
+            return False
+        return within(x, y, most_edits(min(len(x), len(y)), chars_per_edit if by_chars else words_per_edit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("words").to_pylist(), batch.column("other").to_pylist()
+            keep = [near(x, y) for x, y in zip(a, b, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["id", "row", "doc_id", "line"])
+
+    return run
+
+
+def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
     """(row, doc_id, lines): which lines of each row of ``docs`` (row, doc_id, text) have an earlier equal.
 
     ``row`` is a hash of the text, so with the id it names a row however often that is computed. Rows of the same id and
     text are one: all of them keep what the first one keeps.
     Lines are what newlines separate, compared without the white space around them; blank lines have no equal.
     Earlier is by (doc_id, row, number of the line). A line goes if an earlier line is the same or, where both have
-    ``least_words`` words or more, within an edit distance of one word. The distance is not carried on: what
-    counts is the earlier line itself, whether or not that one stays.
+    ``least_words`` words or more, within an edit distance of one word for each ``words_per_edit`` words of the shorter
+    line, one at least (one for all if None). Where both have fewer words, and ``chars_per_edit`` characters or more,
+    it is one character for each ``chars_per_edit`` (None: such lines need to be equal). The distance is not
+    carried on: what counts is the earlier line itself, whether or not that one stays.
 
     1. Equal lines become one by a 128-bit digest, with the earliest place.
     2. Distinct lines that share no half with another (see half_keys) are within no edit of any and are done.
@@ -142,10 +291,13 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
        word. Two lines are one replacement apart if variants that lack the same place are equal, and one insertion
        apart if one line equals a variant of the other. Each key needs its earliest line only, so a key that
        many lines share gives each of them one candidate, not all pairs.
-    4. The edit distance of every candidate pair is verified on the words.
+    4. Lines of two edits or more that are within their bound share a stretch without an edit (see run_sizes), so they
+       share the least gram of a window in it (see run_keys). Pairs that share fewer keys than their
+       bound calls for (see shared_keys) are dropped. First each line meets the earliest line of each of its keys; lines that this doesn't settle meet all earlier lines of their keys, in blocks.
+    5. The edit distance of every candidate pair is verified on the words or characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines(least_words)), f"row long, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
+    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines(least_words, chars_per_edit)), f"row long, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
     lines = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest")).alias("x")).select("row", "doc_id", "x.line", "x.digest")
     place = F.struct("doc_id", "row", "line")
     full = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest", "a", "b", "c", "d")).alias("x")).select("row", "doc_id", "x.*")
@@ -156,9 +308,17 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
 
     halves = distinct.filter("halves is not null").select("first", F.explode("halves").alias("key"))
     busy = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    left = halves.join(busy, "key", "left_semi").select("first.*").distinct()
-    wanted = left.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
-    words = lookup(docs.select("row", "doc_id", "text"), wanted, ["row", "doc_id"]).mapInArrow(released(_words_of_lines), f"row long, doc_id {kind}, line int, words array<string>, keys array<long>")
+    left = halves.join(busy, "key", "left_semi").select("first.*").distinct().withColumn("half", F.lit(1))
+    name = F.xxhash64("digest")
+    scaled = bool(words_per_edit or chars_per_edit)
+    if scaled:
+        runs = docs.select("text").mapInArrow(released(_runs(least_words, words_per_edit, chars_per_edit)), "digest binary, keys array<long>")
+        runs = runs.select(name.alias("name"), F.explode("keys").alias("key")).repartition("key").groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"))
+        runs = cut(runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
+        left = left.unionByName(distinct.select(name.alias("name"), "first").join(runs.select("name").distinct(), "name", "left_semi").select("first.*", F.lit(0).alias("half")))
+        left = left.groupBy("row", "doc_id", "line").agg(F.max("half").alias("half"))
+    wanted = left.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list((F.col("line") * 2 + F.col("half")).cast("int"))).alias("wanted"))
+    words = lookup(docs.select("row", "doc_id", "text"), wanted, ["row", "doc_id"]).mapInArrow(released(_words_of_lines(least_words, chars_per_edit)), f"row long, doc_id {kind}, line int, digest binary, words array<string>, keys array<long>")
     # sorted by place over all partitions, so that the numbers are in the order of the places
     words = words.dropDuplicates(["row", "doc_id", "line"])  # rows of the same id and text have the same key
     words = cut(words.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
@@ -171,13 +331,41 @@ def repeated_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
     inserted = variants.join(ends, "key").select("id", F.when(F.col("lacks") == 0, F.col("variant_id")).otherwise(F.col("line_id")).alias("earlier"))
     same_place = variants.filter("lacks > 0").groupBy("key", "lacks").agg(F.min("id").alias("earlier"))
     replaced = variants.join(same_place, ["key", "lacks"]).select("id", "earlier")
-    pairs = inserted.union(replaced).filter("earlier < id").distinct()
-    pairs = pairs.join(words.select("id", "row", "doc_id", "line", "words"), "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier")
-    near = pairs.select("row", "doc_id", "line", "words", "other").mapInArrow(released(_checked), f"row long, doc_id {kind}, line int")
-    return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropped_col: str = "dropped_lines", least_words: int = 10) -> DataFrame:
+    def shared(met: DataFrame) -> DataFrame:
+        """Pairs (id, earlier) that have as many keys in common as their bound calls for (see shared_keys)."""
+        m = F.least("size", "other_size")
+        bound = lambda per: (m, F.greatest(F.lit(1), F.floor(m / per)), per)
+        need, room = F.lit(1), F.lit(1)
+        for by_chars, per in ((False, words_per_edit), (True, chars_per_edit)):
+            if per:
+                need = F.when(F.col("chars") == by_chars, shared_keys(*bound(per))).otherwise(need)
+                room = F.when(F.col("chars") == by_chars, bound(per)[1]).otherwise(room)
+        met = met.withColumns({"need": need, "room": room}).filter("earlier < id and abs(size - other_size) <= room")
+        return met.groupBy("id", "earlier").agg(F.sum(F.least("times", "other_times")).alias("times"), F.first("need").alias("need")).filter("times >= need").select("id", "earlier")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(words.select("id", "row", "doc_id", "line", "words"), "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier")
+        return pairs.select("id", "row", "doc_id", "line", "words", "other").mapInArrow(released(_checked(words_per_edit, chars_per_edit)), f"id long, row long, doc_id {kind}, line int")
+
+    pairs = inserted.union(replaced)
+    if scaled:
+        ids = words.select(name.alias("name"), "id", F.size("words").alias("size"), F.col("words")[0].startswith(_CHAR).alias("chars"))
+        held = cut(runs.join(ids, "name").select("key", "times", "id", "size", "chars"))
+        first = F.min(F.struct("id", "times", "size")).over(Window.partitionBy("key", "chars"))
+        pairs = pairs.union(shared(held.select("id", "times", "size", "chars", first.alias("f")).select("id", "times", "size", "chars", F.col("f.id").alias("earlier"), F.col("f.times").alias("other_times"), F.col("f.size").alias("other_size"))))
+    near = verified(pairs.filter("earlier < id").distinct())
+    if scaled:
+        near = cut(near)
+        left = held.join(near.select("id").distinct(), "id", "left_anti")
+        blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        left = left.join(blocks, "key").select("key", "chars", "id", "times", "size", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+        others = held.join(blocks, "key").select("key", "chars", F.col("id").alias("earlier"), F.col("times").alias("other_times"), F.col("size").alias("other_size"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        near = near.union(verified(shared(left.join(others, ["key", "chars", "block"]))))
+    return equal.union(near.select("row", "doc_id", "line")).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropped_col: str = "dropped_lines", least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
     """``docs`` without the lines that repeated_lines() finds, and how many each row lost (0 or more).
 
     Rows stay, also those that lose all their lines; their text is then what blank lines leave. A null text stays
@@ -185,7 +373,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     number, lost = "__row", "__lost"
     base = docs.drop(dropped_col).withColumn(number, F.xxhash64(F.col(text_col).cast("string")))
-    found = repeated_lines(base.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least_words)
+    found = repeated_lines(base.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least_words, words_per_edit, chars_per_edit)
     found = found.select(F.col("row").alias(number), F.col("doc_id").alias(id_col), F.col("lines").alias(lost))
     joined = lookup(base, found, [number, id_col], "left").drop(number)
     names = [c for c in joined.columns if c != lost]

@@ -41,7 +41,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "dropped_lines", "text")
+    return line_dedup.dedup_lines(docs, words_per_edit=line_dedup.WORDS_PER_EDIT, chars_per_edit=line_dedup.CHARS_PER_EDIT).select("doc_id", "dropped_lines", "text")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
