@@ -234,3 +234,27 @@ def test_view_colour_by_harmonics(spark):
     sh = F.array(*(F.array(*(F.lit(v),) * 3) for v in (0.0, 1.0, 0.0)))
     got = splats.view_colour(raw.withColumn("rest", sh), (0, 0, 0), 1).first().r
     assert got == pytest.approx(0.5 + 0.28209479177387814 * 0.25 + 0.4886025119029199)
+
+
+def test_queries_take_all_gaussians(spark, tmp_path):
+    from voxloom.plans import catalog
+    from voxloom.plans.splat_queries import CAMERA, gaussians
+
+    rng = np.random.default_rng(9)
+    rows = [(i * 7, [float(v) for v in rng.normal(0, 0.15, 64)]) for i in range(600)]  # ids with gaps, beyond 500
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = catalog.queries()
+    df = gaussians(spark, str(tmp_path))
+    pairs = {(r.gid_a, r.gid_b) for r in q["overlap_integrals"](spark, str(tmp_path)).select("gid_a", "gid_b").collect()}
+    assert pairs == {(i * 7, (i + 1) % 600 * 7) for i in range(600)}
+    got = q["knn_all"](spark, str(tmp_path)).collect()
+    x = np.array([[r.px, r.py, r.pz] for r in df.orderBy("gid").select(*splats.P).collect()])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert {(r.gid, r.other) for r in got} == {(i * 7, int(j) * 7) for i in range(600) for j in np.argsort(d[i], kind="stable")[:3]}
+    # the image of all differs from that of a few, and is what render gives for all
+    image = lambda f: {(r.x, r.y): (r.r, r.g, r.b) for r in f.collect()}
+    whole, few = image(q["render"](spark, str(tmp_path))), image(raster.render(df.filter("gid < 64"), CAMERA, (0.1, 0.2, 0.3)))
+    want = image(raster.render(df, CAMERA, (0.1, 0.2, 0.3)))
+    assert whole.keys() == want.keys() and all(np.allclose(whole[k], want[k]) for k in want)
+    assert not all(np.allclose(whole[k], few[k], atol=1e-3) for k in few)
