@@ -77,6 +77,18 @@ def test_mined_rules_against_brute_force(spark):
     assert twice.count() == 800
 
 
+@pytest.mark.parametrize("most", [4096, 0])
+def test_rules_of_one_host_leave_those_of_others(spark, most):
+    path = "/".join("abcdefghij")  # 13 tokens that stand together: 8,191 rules of confidence 1
+    urls = [f"http://evil.bad/{path}" for _ in range(20)] + [f"http://mixed.org/x{i % 2}" for i in range(20)] + [f"http://fine{i % 5}.com/y" for i in range(100)]
+    bad = [i < 20 or (i < 40 and i % 5 > 0) for i in range(140)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, labels, [], max_rules=most).orderBy("page_id").collect()
+    assert [r.verdict == "block" for r in got] == [i < 40 for i in range(140)]
+    assert all(r.confidence == (1.0 if r.page_id < 20 else 0.8) for r in got[:40])
+
+
 # -- decontamination
 
 

@@ -46,27 +46,28 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(place("s:", F.array(scheme)), place("h:", F.split(host, r"[.:@]")), place("p:", F.split(F.lower(path), r"[/.]")), place("q:", keys)))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float, max_rules: int) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
     """Rules (antecedent, confidence, support) that lead to BLOCKED.
 
     ``labelled`` has ``items`` (distinct tokens) and ``bad``. Support-pruned by FP-growth; then a rule goes if its
-    confidence or lift is too low, or if a more general rule has no lower confidence. At most ``max_rules`` stay,
-    the most confident first: a bound of the model, not of the rows that it judges.
+    confidence or lift is too low, or if a more general rule has no lower confidence. All others stay.
+
+    Every part of a frequent antecedent is frequent, so the most confident of all more general rules is found size by
+    size from the antecedents that lack one item.
     """
     baskets = labelled.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BLOCKED)))).otherwise(F.col("items")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = found.filter((F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    rules = cut(rules.orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), F.col("antecedent").cast("string")).limit(max_rules))
-    # each rule against those that share its items, by an inverted index
-    short = rules.select("antecedent", F.col("confidence").alias("c"), F.col("antecedent").alias("general"), F.explode("antecedent").alias("item")).drop("antecedent")
-    wide = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item"))
-    covered = (
-        wide.join(short, "item")
-        .groupBy("antecedent", "confidence", "general", "c")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .filter((F.col("shared") == F.size("general")) & (F.size("general") < F.size("antecedent")) & (F.col("c") >= F.col("confidence")))
-    )
-    return rules.join(covered.select("antecedent").distinct(), "antecedent", "left_anti")
+    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets).associationRules
+    found = cut(found.filter(F.col("consequent")[0] == BLOCKED).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
+    largest = found.agg(F.coalesce(F.max(F.size("antecedent")), F.lit(0))).first()[0]
+    level = cut(found.filter(F.size("antecedent") == 1).withColumns({"above": F.lit(None).cast("double"), "top": F.col("confidence")}))
+    rules = level
+    for size in range(2, largest + 1):
+        own = found.filter(F.size("antecedent") == size)
+        shorter = own.select("antecedent", F.explode("antecedent").alias("item")).select("antecedent", F.array_remove("antecedent", F.col("item")).alias("general"))
+        above = shorter.join(level.select(F.col("antecedent").alias("general"), "top"), "general").groupBy("antecedent").agg(F.max("top").alias("above"))
+        level = cut(own.join(above, "antecedent", "left").withColumn("top", F.greatest("confidence", "above")))
+        rules = rules.unionByName(level)
+    return rules.filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift) & (F.col("above").isNull() | (F.col("above") < F.col("confidence")))).select("antecedent", "confidence", "support")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_pages: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5, max_rules: int = 4096) -> DataFrame:
@@ -81,7 +82,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: st
 
     A null or odd url has an empty host and path, no token, no rule, and the verdict ``allow``. Null labels and
     labels of no page are left out; repeated labels count as bad if one is. Repeated pages are rows of their own.
-    Without labelled pages no rule is mined. At most ``max_rules`` mined rules are broadcast.
+    Without labelled pages no rule is mined. Up to ``max_rules`` mined rules are broadcast; more are matched by a shuffle.
     """
     url = F.col("url")
     host, path = host_and_path(url)
@@ -97,7 +98,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: st
     if not counts.bad:
         return decided.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
 
-    mined = cut(mine(labelled, min(max(min_support, min_pages / counts.n), 1.0), min_confidence, min_lift, max_rules))
+    mined = cut(mine(labelled, min(max(min_support, min_pages / counts.n), 1.0), min_confidence, min_lift))
     seen = labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     least = F.min(F.struct("n", "item")).alias("least")
     anchored = mined.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(seen, "item").groupBy("antecedent", "confidence").agg(least)
@@ -105,7 +106,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[PathRule], id_col: st
     fitting = F.filter("rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("items"))) == 0)
     matched = (
         rows.select("row", "items", F.explode("items").alias("item"))
-        .join(F.broadcast(index), "item")
+        .join(F.broadcast(index) if mined.count() <= max_rules else index.hint("shuffle_merge"), "item")
         .select("row", F.array_max(F.transform(fitting, lambda r: r["confidence"])).alias("confidence"))
         .filter("confidence is not null")
         .groupBy("row")
