@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -67,19 +68,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so after a garbage collection of the driver, which may be long in coming while the files pile up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes up to which lookup() broadcasts.
 BROADCAST_BYTES = 24 << 20
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
-    """``big`` joined to ``small`` (keys, arrays of int) on ``keys``, where nulls are equal.
+    """``big`` joined to ``small`` (keys, arrays of numbers) on ``keys``, where nulls are equal.
 
     ``small`` is computed and its size taken; up to ``most`` bytes it is broadcast, so that the rows of ``big`` stay
     where they are. Beyond, both sides are shuffled.
     """
     small = cut(small.toDF(*(f"__small_{c}" if c in keys else c for c in small.columns)))
     listed = [c for c in small.columns if not c.startswith("__small_")]
-    size = small.agg(F.coalesce(F.sum(F.lit(48) + sum((F.size(c) * 4 for c in listed), F.lit(0))), F.lit(0))).first()[0]
+    size = small.agg(F.coalesce(F.sum(F.lit(48) + sum((F.size(c) * 8 for c in listed), F.lit(0))), F.lit(0))).first()[0]
     on = [F.col(k).eqNullSafe(F.col(f"__small_{k}")) for k in keys]
     return big.join(F.broadcast(small) if size <= most else small.hint("shuffle_merge"), on, how).drop(*(f"__small_{k}" for k in keys))
 

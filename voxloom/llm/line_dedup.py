@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, lookup, mix, released, slices, word_hashes
+from .common import SPACES, cut, lookup, mix, release, released, slices, word_hashes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -19,32 +19,39 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORDS_PER_EDIT, CHARS_PER_EDIT = 15, 20
 #: Lines of a key that are compared with the others in one task.
 BLOCK = 256
+#: Keys that a task holds before it deals them out or sifts them.
+KEYS_HELD = 1 << 20
 #: Stands before each token of a line that is compared by characters; no word holds a newline.
 _CHAR = "\n"
 
 
-def _key(*parts: bytes | str) -> int:
-    h = xxhash.xxh3_64()
-    for p in parts:
-        h.update(p if isinstance(p, bytes) else p.encode("utf-8", "replace"))
-        h.update(b"\x00")
-    return h.intdigest() - (1 << 63)
+def line_name(line: str) -> tuple[int, int]:
+    """A 128-bit digest as two 64-bit numbers; the first names the line where its keys are joined."""
+    both = xxhash.xxh3_128_intdigest(line.encode("utf-8", "replace"))
+    return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
 
 
-def half_keys(words: list[str]) -> list[int]:
-    """Keys of which two lines within one edit of a word share at least one.
+def half_keys(codes: np.ndarray, offsets: np.ndarray, by_chars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of four halves of each line, of which two lines within one edit share at least one.
 
-    The edit lies in the first or in the second half of the shorter line, so the other half is the same in both. A
-    line is halved as the shorter one (or one of equal length) and as the longer one, whose second half starts
-    one word later.
+    Lines are ``codes[offsets[i]:offsets[i + 1]]``. The edit lies in the first or in the second half of the shorter line,
+    so the other half is the same in both. A line is halved as the shorter one (or one of equal length) and as the
+    longer one, whose second half starts one token later. A half's key is a polynomial in the places from its start on.
     """
-    n = len(words)
-    out = []
+    n, at = np.diff(offsets), offsets[:-1]
+    powers = np.full(max(n.max(initial=0), 1) + 1, _BASE, np.uint64)
+    back = np.full(len(powers), pow(int(_BASE), -1, 1 << 64), np.uint64)
+    powers[0] = back[0] = 1
+    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    run = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes) * powers[np.arange(len(codes)) - np.repeat(at, n)], out=run[1:])
+    keys = []
     for shorter, shift in ((n, 0), (n - 1, 1)):
         half = shorter // 2
-        out.append(_key(f"a{shorter}", "\x01".join(words[:half])))
-        out.append(_key(f"b{shorter}", "\x01".join(words[half + shift :])))
-    return out
+        for second, start, end in ((0, np.zeros_like(n), half), (1, half + shift, n)):
+            value = (run[at + end] - run[at + start]) * back[start]
+            keys.append(mix(value + mix(shorter.astype(np.uint64) * np.uint64(4) + np.uint64(2 * second + by_chars))))
+    return np.tile(np.arange(len(n)), 4), np.concatenate(keys).view(np.int64)
 
 
 def word_codes(words: list[str]) -> np.ndarray:
@@ -167,108 +174,166 @@ def run_keys(codes: np.ndarray, offsets: np.ndarray, gram: int, window: int) ->
     return line[at], whole[at].view(np.int64)
 
 
-def _lines(least_words: int, chars_per_edit: int | None) -> Callable:
-    """By text: numbers and digests of its lines that aren't blank, and the half keys of those with tokens."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By text: numbers and digests of its lines that aren't blank."""
+    for batch in batches:
+        for at, texts in slices(batch, "text"):
+            number, name, check = [], [], []
+            for text in texts:
+                found = [(i, line) for i, line in enumerate(map(str.strip, text.split("\n"))) if line]
+                both = [line_name(line) for _, line in found]
+                number.append([i for i, _ in found])
+                name.append([x for x, _ in both])
+                check.append([x for _, x in both])
+            part, long = batch.slice(at, len(texts)), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(number, pa.list_(pa.int32())), pa.array(name, long), pa.array(check, long)], ["row", "doc_id", "line", "name", "check"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in slices(batch, "text"):
-                number, digest, halves = [], [], []
-                for text in texts:
-                    found = [(i, line.strip()) for i, line in enumerate(text.split("\n"))]
-                    found = [(i, line) for i, line in found if line]
-                    number.append([i for i, _ in found])
-                    digest.append([xxhash.xxh3_128_digest(line.encode("utf-8", "replace")) for _, line in found])
-                    own = [tokens(line, least_words, chars_per_edit) for _, line in found]
-                    halves.append([half_keys(w) if w else (None,) * 4 for w in own])
-                part = batch.slice(at, len(texts))
-                long = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(number, pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.binary())), *(pa.array([[h[k] for h in own] for own in halves], long) for k in range(4))],
-                    ["row", "doc_id", "line", "digest", "a", "b", "c", "d"],
-                )
 
-    return run
+def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | None, buckets: int) -> Callable:
+    """Keys of the lines, dealt over ``buckets`` by their size: (bucket, keys, names, times), sorted by key.
 
+    A half key is even, a run key odd; the latter come from lines that are long enough for two edits.
+    """
 
-def _runs(least_words: int, words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
-    """Digest and run keys of each line that is long enough for two edits."""
+    def of(texts: list[str]) -> Iterator[np.ndarray]:
+        found: dict[bool, list[tuple[str, list[str]]]] = {False: [], True: []}
+        for line in {line.strip() for text in texts for line in text.split("\n")}:
+            words = line.split()
+            if len(words) >= least_words:
+                found[False].append((line, words))
+            elif chars_per_edit and len(line) >= chars_per_edit:
+                found[True].append((line, words))
+        for by_chars, own in found.items():
+            if not own:
+                continue
+            per = chars_per_edit if by_chars else words_per_edit
+            if by_chars:
+                codes = mix(np.frombuffer("".join(line for line, _ in own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+                offsets = np.concatenate([[0], np.cumsum([len(line) for line, _ in own])])
+            else:
+                codes, offsets = word_hashes([" ".join(w).encode("utf-8", "replace") for _, w in own], SPACES)
+            names = np.array([line_name(line)[0] for line, _ in own], np.int64)
+            line, keys = half_keys(codes, offsets, by_chars)
+            yield np.stack([keys & ~np.int64(1), names[line], np.ones(len(keys), np.int64)])
+            if per:
+                twice = np.diff(offsets) >= 2 * per
+                line, keys = run_keys(codes, offsets, *run_sizes(per))
+                line, keys = line[twice[line]], keys[twice[line]] | np.int64(1)
+                order = np.lexsort((keys, line))
+                new = np.ones(len(order), bool)
+                new[1:] = (keys[order][1:] != keys[order][:-1]) | (line[order][1:] != line[order][:-1])
+                first = np.flatnonzero(new)
+                yield np.stack([keys[order][first], names[line[order][first]], np.diff(first, append=len(order))])
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, names, times = np.concatenate(held, 1)
+        order = np.argsort(keys)
+        keys, names, times = keys[order], names[order], times[order].astype(np.int32)
+        bucket = ((keys >> np.int64(32)) + np.int64(1 << 31)) * buckets >> np.int64(32)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        body = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(first, [*first[1:], len(v)], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), body(keys), body(names), body(times)], ["bucket", "keys", "names", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                found: dict[bool, list[tuple[str, list[str]]]] = {False: [], True: []}
-                for line in {line.strip() for text in texts for line in text.split("\n")}:
-                    if line:
-                        words = line.split()
-                        by_chars = len(words) < least_words
-                        per = chars_per_edit if by_chars else words_per_edit
-                        if per and (len(line) if by_chars else len(words)) >= 2 * per:
-                            found[by_chars].append((line, words))
-                for by_chars, own in found.items():
-                    if not own:
-                        continue
-                    if by_chars:
-                        codes = mix(np.frombuffer("".join(line for line, _ in own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
-                        offsets = np.concatenate([[0], np.cumsum([len(line) for line, _ in own])])
-                    else:
-                        codes, offsets = word_hashes([" ".join(w).encode("utf-8", "replace") for _, w in own], SPACES)
-                    line, keys = run_keys(codes, offsets, *run_sizes(chars_per_edit if by_chars else words_per_edit))
-                    held = np.bincount(line, minlength=len(own))
-                    digests = pa.array([xxhash.xxh3_128_digest(line.encode("utf-8", "replace")) for line, _ in own], pa.binary())
-                    yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(keys))], ["digest", "keys"])
+                held += of(texts)
+                if sum(x.shape[1] for x in held) >= KEYS_HELD:
+                    yield dealt(held)
+                    held = []
+        if held:
+            yield dealt(held)
 
     return run
 
 
-def _words_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
-    """Digests, tokens and neighbourhoods of the wanted lines of each text.
+def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, name, times) of the keys that two lines or more have.
+
+    Once KEYS_HELD entries are held, those of keys that are known to be shared go out, so that a key of many lines takes no
+    memory. An entry may then come twice.
+    """
+    empty = np.zeros(0, np.int64)
+    held, n, known = [np.stack([empty] * 3)], 0, empty
+
+    def sifted() -> tuple[np.ndarray, np.ndarray]:
+        all_ = np.concatenate(held, 1)
+        all_ = all_[:, np.lexsort(all_[::-1])]
+        last = np.ones(all_.shape[1], bool)  # of an entry that came several times the one with the most times
+        last[:-1] = (all_[:2, 1:] != all_[:2, :-1]).any(0)
+        all_ = all_[:, last]
+        same = all_[0, 1:] == all_[0, :-1]
+        shared = np.zeros(all_.shape[1], bool)
+        shared[1:] = same
+        shared[:-1] |= same
+        if len(known):
+            shared |= known[np.minimum(np.searchsorted(known, all_[0]), len(known) - 1)] == all_[0]
+        return all_[:, shared], all_[:, ~shared]
+
+    def out(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2].astype(np.int32))], ["key", "name", "times"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("keys", "names", "times")]
+        own = [np.frombuffer(b"".join(c), kind).astype(np.int64) for c, kind in zip(columns, (np.int64, np.int64, np.int32), strict=True)]
+        held.append(np.stack(own))
+        n += len(own[0])
+        if n >= 2 * KEYS_HELD:
+            shared, alone = sifted()
+            known = np.union1d(known, shared[0])
+            yield out(shared)
+            held, n = [alone], max(alone.shape[1] - KEYS_HELD, 0)
+    yield out(sifted()[0])
+
+
+def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
+    """The wanted lines of each text, their numbers of tokens and their neighbourhoods.
 
     A wanted line is twice its number, and one more if its neighbourhood is wanted too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("wanted").to_pylist()
+            wanted, ids = batch.column("wanted").to_pylist(), batch.column("ids").to_pylist()
             for at, texts in slices(batch, "text"):
-                of, number, digest, words, keys = [], [], [], [], []
+                own: list[int] = []
+                name, line, size, chars, keys = [], [], [], [], []
                 for k, text in enumerate(texts):
                     lines = text.split("\n")
+                    own += ids[at + k]
                     for i in wanted[at + k]:
-                        line = lines[i >> 1].strip()
-                        w = tokens(line, least_words, chars_per_edit)
-                        of.append(at + k)
-                        number.append(i >> 1)
-                        digest.append(xxhash.xxh3_128_digest(line.encode("utf-8", "replace")))
-                        words.append(w)
+                        line.append(lines[i >> 1].strip())
+                        name.append(line_name(line[-1])[0])
+                        w = tokens(line[-1], least_words, chars_per_edit)
+                        size.append(len(w))
+                        chars.append(bool(w) and w[0].startswith(_CHAR))
                         if i & 1:
-                            own, less = neighbourhood(word_codes(w))
-                            keys.append(np.concatenate([[np.int64(own)], less]))
+                            whole, less = neighbourhood(word_codes(w))
+                            keys.append(np.concatenate([[np.int64(whole)], less]))
                         else:
                             keys.append(())
-                part = batch.select(["row", "doc_id"]).take(pa.array(of, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "line", "digest", "words", "keys"],
-                )
+                columns = ((own, pa.int64()), (name, pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], ["id", "name", "text", "size", "chars", "keys"])
 
     return run
 
 
-def _checked(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
-    """Pairs within the bound of the shorter line."""
+def _checked(least_words: int, words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
+    """Lines that are within the bound of the shorter line of their pair."""
 
-    def near(x: list[str], y: list[str]) -> bool:
-        by_chars = x[0].startswith(_CHAR)
-        if by_chars != y[0].startswith(_CHAR):
+    def near(x: str, y: str) -> bool:
+        a, b = tokens(x, least_words, chars_per_edit), tokens(y, least_words, chars_per_edit)
+        by_chars = a[0].startswith(_CHAR)
+        if by_chars != b[0].startswith(_CHAR):
             return False
-        return within(x, y, most_edits(min(len(x), len(y)), chars_per_edit if by_chars else words_per_edit))
+        return within(a, b, most_edits(min(len(a), len(b)), chars_per_edit if by_chars else words_per_edit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("words").to_pylist(), batch.column("other").to_pylist()
+            a, b = batch.column("text").to_pylist(), batch.column("other").to_pylist()
             keep = [near(x, y) for x, y in zip(a, b, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["id", "row", "doc_id", "line"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["id"])
 
     return run
 
@@ -297,35 +362,33 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     5. The edit distance of every candidate pair is verified on the words or characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines(least_words, chars_per_edit)), f"row long, doc_id {kind}, line array<int>, digest array<binary>, a array<long>, b array<long>, c array<long>, d array<long>"))
-    lines = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest")).alias("x")).select("row", "doc_id", "x.line", "x.digest")
-    place = F.struct("doc_id", "row", "line")
-    full = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "digest", "a", "b", "c", "d")).alias("x")).select("row", "doc_id", "x.*")
-    distinct = full.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.array("a", "b", "c", "d")).alias("halves"))
-    distinct = cut(distinct.withColumn("halves", F.when(F.col("halves")[0].isNotNull(), F.col("halves"))))
-
-    equal = lines.join(distinct.select("digest", "first"), "digest").filter("row <> first.row or line <> first.line or not doc_id <=> first.doc_id").select("row", "doc_id", "line")
-
-    halves = distinct.filter("halves is not null").select("first", F.explode("halves").alias("key"))
-    busy = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    left = halves.join(busy, "key", "left_semi").select("first.*").distinct().withColumn("half", F.lit(1))
-    name = F.xxhash64("digest")
+    spark = docs.sparkSession
     scaled = bool(words_per_edit or chars_per_edit)
-    if scaled:
-        runs = docs.select("text").mapInArrow(released(_runs(least_words, words_per_edit, chars_per_edit)), "digest binary, keys array<long>")
-        runs = runs.select(name.alias("name"), F.explode("keys").alias("key")).repartition("key").groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"))
-        runs = cut(runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
-        left = left.unionByName(distinct.select(name.alias("name"), "first").join(runs.select("name").distinct(), "name", "left_semi").select("first.*", F.lit(0).alias("half")))
-        left = left.groupBy("row", "doc_id", "line").agg(F.max("half").alias("half"))
-    wanted = left.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list((F.col("line") * 2 + F.col("half")).cast("int"))).alias("wanted"))
-    words = lookup(docs.select("row", "doc_id", "text"), wanted, ["row", "doc_id"]).mapInArrow(released(_words_of_lines(least_words, chars_per_edit)), f"row long, doc_id {kind}, line int, digest binary, words array<string>, keys array<long>")
-    # sorted by place over all partitions, so that the numbers are in the order of the places
-    words = words.dropDuplicates(["row", "doc_id", "line"])  # rows of the same id and text have the same key
-    words = cut(words.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
+    prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines), f"row long, doc_id {kind}, line array<int>, name array<long>, check array<long>"))
+    lines = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "name", "check")).alias("x")).select("row", "doc_id", "x.*")
+    distinct = cut(lines.groupBy("name", "check").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
+    release(spark)
+
+    equal = lines.join(distinct.filter("n > 1").select("name", "check", "first"), ["name", "check"]).filter("row <> first.row or line <> first.line or not doc_id <=> first.doc_id").select("row", "doc_id", "line")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("text").mapInArrow(released(_keys(least_words, words_per_edit, chars_per_edit, 4 * parts)), "bucket int, keys binary, names binary, times binary")
+    busy = cut(dealt.repartition(parts, "bucket").mapInArrow(released(_busy), "key long, name long, times int"))
+    release(spark)
+    halved = (F.col("key") % 2 == 0).cast("int")
+    left = distinct.select("name", "first").join(busy.groupBy("name").agg(F.max(halved).alias("half")), "name").select("first.*", "half")
+    runs = busy.filter("key % 2 <> 0")
+    # places are sorted over all partitions, so that the numbers are in their order
+    left = cut(left.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
+    own = F.sort_array(F.collect_list(F.struct((F.col("line") * 2 + F.col("half")).cast("int").alias("wanted"), F.col("id").alias("ids"))))
+    wanted = left.groupBy("row", "doc_id").agg(own.alias("own")).select("row", "doc_id", "own.wanted", "own.ids")
+    words = lookup(docs.select("row", "doc_id", "text"), wanted, ["row", "doc_id"]).mapInArrow(released(_texts_of_lines(least_words, chars_per_edit)), "id long, name long, text string, size int, chars boolean, keys array<long>")
+    words = cut(words)
+    release(spark)
 
     variants = words.select("id", F.posexplode("keys").alias("lacks", "key"))
-    busy = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    variants = cut(variants.join(busy, "key", "left_semi"))
+    met = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    variants = cut(variants.join(met, "key", "left_semi"))
     # lacks = 0 is the line itself, else the place of the deleted word
     ends = variants.groupBy("key").agg(F.min(F.when(F.col("lacks") == 0, F.col("id"))).alias("line_id"), F.min(F.when(F.col("lacks") > 0, F.col("id"))).alias("variant_id"))
     inserted = variants.join(ends, "key").select("id", F.when(F.col("lacks") == 0, F.col("variant_id")).otherwise(F.col("line_id")).alias("earlier"))
@@ -345,24 +408,24 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
         return met.groupBy("id", "earlier").agg(F.sum(F.least("times", "other_times")).alias("times"), F.first("need").alias("need")).filter("times >= need").select("id", "earlier")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(words.select("id", "row", "doc_id", "line", "words"), "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier")
-        return pairs.select("id", "row", "doc_id", "line", "words", "other").mapInArrow(released(_checked(words_per_edit, chars_per_edit)), f"id long, row long, doc_id {kind}, line int")
+        both = pairs.join(words.select("id", "text"), "id").join(words.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
+        return both.select("id", "text", "other").mapInArrow(released(_checked(least_words, words_per_edit, chars_per_edit)), "id long")
 
     pairs = inserted.union(replaced)
     if scaled:
-        ids = words.select(name.alias("name"), "id", F.size("words").alias("size"), F.col("words")[0].startswith(_CHAR).alias("chars"))
-        held = cut(runs.join(ids, "name").select("key", "times", "id", "size", "chars"))
-        first = F.min(F.struct("id", "times", "size")).over(Window.partitionBy("key", "chars"))
-        pairs = pairs.union(shared(held.select("id", "times", "size", "chars", first.alias("f")).select("id", "times", "size", "chars", F.col("f.id").alias("earlier"), F.col("f.times").alias("other_times"), F.col("f.size").alias("other_size"))))
+        held = cut(runs.join(words.select("name", "id", "size", "chars"), "name").select("key", "times", "id", "size", "chars"))
+        first = held.groupBy("key", "chars").agg(F.min(F.struct("id", "times", "size")).alias("f"))
+        pairs = pairs.union(shared(held.join(first, ["key", "chars"]).select("id", "times", "size", "chars", F.col("f.id").alias("earlier"), F.col("f.times").alias("other_times"), F.col("f.size").alias("other_size"))))
     near = verified(pairs.filter("earlier < id").distinct())
     if scaled:
         near = cut(near)
-        left = held.join(near.select("id").distinct(), "id", "left_anti")
-        blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        left = left.join(blocks, "key").select("key", "chars", "id", "times", "size", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+        open_ = held.join(near.distinct(), "id", "left_anti")
+        blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        open_ = open_.join(blocks, "key").select("key", "chars", "id", "times", "size", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
         others = held.join(blocks, "key").select("key", "chars", F.col("id").alias("earlier"), F.col("times").alias("other_times"), F.col("size").alias("other_size"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        near = near.union(verified(shared(left.join(others, ["key", "chars", "block"]))))
-    return equal.union(near.select("row", "doc_id", "line")).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+        near = near.union(verified(shared(open_.join(others, ["key", "chars", "block"]))))
+    near = left.join(near.distinct(), "id").select("row", "doc_id", "line")
+    return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropped_col: str = "dropped_lines", least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
