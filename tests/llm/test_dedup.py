@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import near_dedup
 from voxloom.llm.exact_dedup import exact_dedup
-from voxloom.llm.line_dedup import dedup_lines, half_keys, neighbourhood, within, within_one, word_codes
+from voxloom.llm import line_dedup
+from voxloom.llm.common import SPACES, word_hashes
+from voxloom.llm.line_dedup import dedup_lines, half_keys, neighbourhood, within, within_one
 from voxloom.llm.near_dedup import keep_one, least_matches, near_join
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -105,7 +107,12 @@ def test_lines(spark, seed):
         assert len(got[i].text.split("\n")) == max(len(text.split("\n")) - want[i], 1)
 
 
-def test_line_bound_grows_with_the_line(spark):
+@pytest.mark.parametrize("few", [64, 1])
+def test_line_bound_grows_with_the_line(spark, monkeypatch, few):
+    """With keys of one line at most, all pairs come from the rarest tokens."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", 1024 if few > 1 else 4)
+    monkeypatch.setattr(line_dedup, "KEYS_HELD", 1 << 20 if few > 1 else 200)
     rng = np.random.default_rng(5)
     rows, drop, earlier = [], [], []
     for n in (12, 29, 30, 44, 46, 75, 200, 4, 6, 8):
@@ -154,6 +161,10 @@ def test_line_odd_rows(spark):
     assert dedup_lines(docs(spark, rows).limit(0)).count() == 0
 
 
+def word_codes(w):
+    return word_hashes([" ".join(w).encode()], SPACES)[0]
+
+
 def test_neighbourhoods_meet_within_one_edit():
     rng = np.random.default_rng(3)
     for _ in range(200):

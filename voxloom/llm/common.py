@@ -228,3 +228,83 @@ def slices(batch, column: int | str, most: int = 4 * CHUNK_BYTES) -> Iterator[tu
             at, rows, held = i + 1, [], 0
     if rows:
         yield at, rows
+
+
+# ---------------------------------------------------------------------------------------------------
+# Groups of rows whose pairs are looked at.
+
+_CELLS = 1 << 22  # entries of a dense block of indicators
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that are sorted by ``keys``: a table and where its groups start."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and v[0] != held[-1].column(k)[-1].as_py()
+        starts = np.flatnonzero(new)
+        if held and not len(starts):
+            held.append(batch)
+            continue
+        if held and len(starts):
+            t = pa.Table.from_batches([*held, batch.slice(0, starts[0])])
+            yield t, _starts(t, keys)
+            held = []
+            last = starts[-1]
+            if last > starts[0]:
+                t = pa.Table.from_batches([batch.slice(starts[0], last - starts[0])])
+                yield t, starts[:-1] - starts[0]
+        else:
+            last = starts[-1] if len(starts) else 0
+            if last:
+                t = pa.Table.from_batches([batch.slice(0, last)])
+                yield t, np.concatenate([[0], starts[:-1]])
+        held.append(batch.slice(last))
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, _starts(t, keys)
+
+
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.ones(t.num_rows, bool)
+    new[1:] = False
+    for k in keys:
+        v = t[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def blocks(rows: DataFrame, key: str, size: Column, block: int) -> DataFrame:
+    """Deals each group of ``size`` rows over pairs of blocks: (key, lo, hi, left) for every pair a row is in.
+
+    Up to ``block`` rows a group is one block. A larger one falls into ceil(size / block) blocks by a hash of its
+    nodes, and each two blocks meet once, so no task holds more than two of them and all pairs are seen.
+    """
+    rows = rows.withColumn("n_blocks", F.ceil(size / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return rows.select("*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left")).drop("own", "other").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "node")
+
+
+def overlaps(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """How many columns each two of ``n`` rows have in common; (row, column) are given once each."""
+    out = np.zeros((n, n), np.int64)
+    times = np.bincount(columns)
+    np.fill_diagonal(out, np.bincount(rows[times[columns] == 1], minlength=n))
+    common = times > 1  # a column of one row only is in no intersection
+    place = np.cumsum(common) - 1
+    use = common[columns]
+    rows, columns = rows[use], place[columns[use]]
+    step = max(_CELLS // n, 1)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for at in range(0, int(common.sum()), step):
+        a, b = np.searchsorted(columns, [at, at + step])
+        dense = np.zeros((n, step), np.float32)
+        dense[rows[a:b], columns[a:b] - at] = 1
+        out += np.rint(dense @ dense.T).astype(np.int64)
+    return out

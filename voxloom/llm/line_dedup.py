@@ -8,21 +8,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, lookup, mix, release, released, slices, word_hashes
+from .common import SPACES, blocks, cut, groups, lookup, mix, overlaps, release, released, slices, word_hashes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 #: The bounds of the query and of the pipeline.
 WORDS_PER_EDIT, CHARS_PER_EDIT = 15, 20
-#: Lines of a key that are compared with the others in one task.
-BLOCK = 256
+#: Lines of a key up to which all its pairs are made, and lines that are compared with others in one task.
+FEW, BLOCK = 64, 1024
 #: Keys that a task holds before it deals them out or sifts them.
 KEYS_HELD = 1 << 20
-#: Stands before each token of a line that is compared by characters; no word holds a newline.
-_CHAR = "\n"
 
 
 def line_name(line: str) -> tuple[int, int]:
@@ -54,10 +52,6 @@ def half_keys(codes: np.ndarray, offsets: np.ndarray, by_chars: bool) -> tuple[n
     return np.tile(np.arange(len(n)), 4), np.concatenate(keys).view(np.int64)
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
-
-
 def neighbourhood(codes: np.ndarray) -> tuple[int, np.ndarray]:
     """Key of a line and of each variant with one word deleted.
 
@@ -91,12 +85,30 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return max(len(a), len(b)) - front - back <= 1
 
 
-def tokens(line: str, least_words: int, chars_per_edit: int | None) -> list[str]:
-    """What edits of a line are counted in: words from ``least_words`` on, else characters; none if only equality counts."""
-    words = line.split()
+def tokens(line: str, least_words: int, chars_per_edit: int | None) -> list:
+    """What edits of a line are counted in: words from ``least_words`` on, else characters; none if only equality counts.
+
+    Words are what ASCII white space separates, as bytes; characters are strings.
+    """
+    words = line.encode("utf-8", "replace").split()
     if len(words) >= least_words:
         return words
-    return [_CHAR + c for c in line] if chars_per_edit and len(line) >= chars_per_edit else []
+    return list(line) if chars_per_edit and len(line) >= chars_per_edit else []
+
+
+def coded(lines: list[str], least_words: int, chars_per_edit: int | None) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of ``lines`` as numbers: whether they are characters, which lines, their codes, and offsets by line."""
+    data = [line.encode("utf-8", "replace") for line in lines]
+    codes, offsets = word_hashes(data, SPACES)
+    n = np.diff(offsets)
+    long = n >= least_words
+    if long.any():
+        yield False, np.flatnonzero(long), codes[np.repeat(long, n)], np.concatenate([[0], np.cumsum(n[long])])
+    if chars_per_edit:
+        own = np.array([i for i in np.flatnonzero(~long) if len(lines[i]) >= chars_per_edit], np.int64)
+        if len(own):
+            points = np.frombuffer("".join(lines[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+            yield True, own, mix(points.astype(np.uint64) + np.uint64(1)), np.concatenate([[0], np.cumsum([len(lines[i]) for i in own])])
 
 
 def most_edits(n: int, per_edit: int | None) -> int:
@@ -169,11 +181,30 @@ def run_keys(codes: np.ndarray, offsets: np.ndarray, gram: int, window: int) ->
     whole = mix(whole)
     line = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = line[:rows] == line[gram + window - 2 :]
-    at = np.arange(rows) + np.lib.stride_tricks.sliding_window_view(whole, window).argmin(1)
-    at = np.unique(at[inside])
+    least = whole[:rows].copy()
+    for k in range(1, window):
+        np.minimum(least, whole[k : k + rows], out=least)
+    chosen = np.zeros(len(whole), bool)
+    for k in range(window):
+        chosen[k : k + rows] |= inside & (whole[k : k + rows] == least)
+    at = np.flatnonzero(chosen)
     return line[at], whole[at].view(np.int64)
 
 
+def dealt(keys: np.ndarray, others: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Entries by the bucket of their key: one row for each bucket, with the keys and other numbers as bytes."""
+    bucket = (((keys >> np.int64(32)) + np.int64(1 << 31)) * buckets >> np.int64(32)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    body = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(first, [*first[1:], len(v)], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), body(keys[order]), *(body(v[order]) for v in others.values())], ["bucket", "keys", *others])
+
+
+def entries(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.int64)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By text: numbers and digests of its lines that aren't blank."""
     for batch in batches:
@@ -190,49 +221,22 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | None, buckets: int) -> Callable:
-    """Keys of the lines, dealt over ``buckets`` by their size: (bucket, keys, names, times), sorted by key.
+    """Keys of the lines and names of the lines, dealt over ``buckets``.
 
-    A half key is even, a run key odd; the latter come from lines that are long enough for two edits.
+    A half key is even, a run key odd; the latter come from lines that are long enough for two edits, once for each place.
     """
 
     def of(texts: list[str]) -> Iterator[np.ndarray]:
-        found: dict[bool, list[tuple[str, list[str]]]] = {False: [], True: []}
-        for line in {line.strip() for text in texts for line in text.split("\n")}:
-            words = line.split()
-            if len(words) >= least_words:
-                found[False].append((line, words))
-            elif chars_per_edit and len(line) >= chars_per_edit:
-                found[True].append((line, words))
-        for by_chars, own in found.items():
-            if not own:
-                continue
+        lines = list({line.strip() for text in texts for line in text.split("\n")})
+        for by_chars, which, codes, offsets in coded(lines, least_words, chars_per_edit):
             per = chars_per_edit if by_chars else words_per_edit
-            if by_chars:
-                codes = mix(np.frombuffer("".join(line for line, _ in own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
-                offsets = np.concatenate([[0], np.cumsum([len(line) for line, _ in own])])
-            else:
-                codes, offsets = word_hashes([" ".join(w).encode("utf-8", "replace") for _, w in own], SPACES)
-            names = np.array([line_name(line)[0] for line, _ in own], np.int64)
+            names = np.array([line_name(lines[i])[0] for i in which], np.int64)
             line, keys = half_keys(codes, offsets, by_chars)
-            yield np.stack([keys & ~np.int64(1), names[line], np.ones(len(keys), np.int64)])
+            yield np.stack([keys & ~np.int64(1), names[line]])
             if per:
-                twice = np.diff(offsets) >= 2 * per
                 line, keys = run_keys(codes, offsets, *run_sizes(per))
-                line, keys = line[twice[line]], keys[twice[line]] | np.int64(1)
-                order = np.lexsort((keys, line))
-                new = np.ones(len(order), bool)
-                new[1:] = (keys[order][1:] != keys[order][:-1]) | (line[order][1:] != line[order][:-1])
-                first = np.flatnonzero(new)
-                yield np.stack([keys[order][first], names[line[order][first]], np.diff(first, append=len(order))])
-
-    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, names, times = np.concatenate(held, 1)
-        order = np.argsort(keys)
-        keys, names, times = keys[order], names[order], times[order].astype(np.int32)
-        bucket = ((keys >> np.int64(32)) + np.int64(1 << 31)) * buckets >> np.int64(32)
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        body = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(first, [*first[1:], len(v)], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), body(keys), body(names), body(times)], ["bucket", "keys", "names", "times"])
+                twice = (np.diff(offsets) >= 2 * per)[line]
+                yield np.stack([keys[twice] | np.int64(1), names[line[twice]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -240,10 +244,12 @@ def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | No
             for _, texts in slices(batch, "text"):
                 held += of(texts)
                 if sum(x.shape[1] for x in held) >= KEYS_HELD:
-                    yield dealt(held)
+                    keys, names = np.concatenate(held, 1)
+                    yield dealt(keys, {"names": names}, buckets)
                     held = []
         if held:
-            yield dealt(held)
+            keys, names = np.concatenate(held, 1)
+            yield dealt(keys, {"names": names}, buckets)
 
     return run
 
@@ -252,39 +258,95 @@ def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, name, times) of the keys that two lines or more have.
 
     Once KEYS_HELD entries are held, those of keys that are known to be shared go out, so that a key of many lines takes no
-    memory. An entry may then come twice.
+    memory. An entry may then come several times, and a line that its table holds twice counts its places twice.
     """
-    empty = np.zeros(0, np.int64)
-    held, n, known = [np.stack([empty] * 3)], 0, empty
-
-    def sifted() -> tuple[np.ndarray, np.ndarray]:
-        all_ = np.concatenate(held, 1)
-        all_ = all_[:, np.lexsort(all_[::-1])]
-        last = np.ones(all_.shape[1], bool)  # of an entry that came several times the one with the most times
-        last[:-1] = (all_[:2, 1:] != all_[:2, :-1]).any(0)
-        all_ = all_[:, last]
-        same = all_[0, 1:] == all_[0, :-1]
-        shared = np.zeros(all_.shape[1], bool)
-        shared[1:] = same
-        shared[:-1] |= same
+    keys = names = known = np.zeros(0, np.int64)
+
+    def shared() -> np.ndarray:
+        order = np.argsort(keys)
+        k, n = keys[order], names[order]
+        first = np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
+        differ = np.minimum.reduceat(n, first) != np.maximum.reduceat(n, first) if len(first) else first > 0
         if len(known):
-            shared |= known[np.minimum(np.searchsorted(known, all_[0]), len(known) - 1)] == all_[0]
-        return all_[:, shared], all_[:, ~shared]
+            differ |= known[np.minimum(np.searchsorted(known, k[first]), len(known) - 1)] == k[first]
+        out = np.zeros(len(k), bool)
+        out[order] = np.repeat(differ, np.diff(first, append=len(k)))
+        return out
+
+    def out(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((n, k))
+        k, n = k[order], n[order]
+        first = np.flatnonzero((np.diff(k, prepend=k[:1] - 1) != 0) | (np.diff(n, prepend=n[:1] - 1) != 0))
+        return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(n[first]), pa.array(np.diff(first, append=len(k)).astype(np.int32))], ["key", "name", "times"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    room = KEYS_HELD
+    for batch in batches:
+        held.append((entries(batch, "keys"), entries(batch, "names")))
+        if sum(len(k) for k, _ in held) >= room:
+            keys, names = (np.concatenate([old, *new]) for old, new in zip((keys, names), zip(*held, strict=True), strict=True))
+            gone, held = shared(), []
+            known = np.union1d(known, keys[gone])
+            yield out(keys[gone], names[gone])
+            keys, names = keys[~gone], names[~gone]
+    keys, names = (np.concatenate([old, *new]) for old, new in zip((keys, names), zip(*held, strict=True) if held else ((), ()), strict=True))
+    gone = shared()
+    yield out(keys[gone], names[gone])
+
+
+def _variants(buckets: int) -> Callable:
+    """The deletion neighbourhoods, dealt over ``buckets``; the place that a variant lacks is ``lacks``, 0 for the line itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            if len(keys):
+                lacks = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+                yield dealt(keys, {"ids": np.repeat(batch.column("id").to_numpy(), n), "lacks": lacks}, buckets)
+
+    return run
+
 
-    def out(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2].astype(np.int32))], ["key", "name", "times"])
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (id, earlier) of lines whose neighbourhoods meet within one edit.
 
+    Two lines are one replacement apart if variants that lack the same place are equal, and one insertion apart if one
+    line equals a variant of the other. Of a key the earliest line and, by place, the earliest variant are held, so
+    each line gets one candidate of a key, whatever the number of its lines.
+    """
+    least = np.zeros((3, 0), np.int64)  # key, lacks, id
+
+    def pairs(all_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of entries sorted by key, lacks and id."""
+        key, lacks, ids = all_
+        for own in ((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(lacks, prepend=lacks[:1] - 1) != 0),):  # the same place
+            first = np.flatnonzero(own)
+            yield ids, np.repeat(ids[first], np.diff(first, append=len(ids)))
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(first, append=len(ids))
+        far = np.iinfo(np.int64).max
+        line = np.minimum.reduceat(np.where(lacks == 0, ids, far), first)
+        variant = np.minimum.reduceat(np.where(lacks > 0, ids, far), first)
+        yield ids, np.where(lacks == 0, np.repeat(variant, size), np.repeat(line, size))
+
+    def out(all_: np.ndarray) -> pa.RecordBatch:
+        later, earlier = (np.concatenate(x) for x in zip(*pairs(all_), strict=True))
+        both = np.unique(np.stack([later, earlier])[:, earlier < later], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["id", "earlier"])
+
+    held, n = [], 0
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("keys", "names", "times")]
-        own = [np.frombuffer(b"".join(c), kind).astype(np.int64) for c, kind in zip(columns, (np.int64, np.int64, np.int32), strict=True)]
-        held.append(np.stack(own))
-        n += len(own[0])
-        if n >= 2 * KEYS_HELD:
-            shared, alone = sifted()
-            known = np.union1d(known, shared[0])
-            yield out(shared)
-            held, n = [alone], max(alone.shape[1] - KEYS_HELD, 0)
-    yield out(sifted()[0])
+        held.append(np.stack([entries(batch, c) for c in ("keys", "lacks", "ids")]))
+        n += held[-1].shape[1]
+        if n >= KEYS_HELD:
+            all_ = np.concatenate([least, *held], 1)
+            all_ = all_[:, np.lexsort(all_[::-1])]
+            yield out(all_)
+            least, held, n = all_[:, (np.diff(all_[:2], prepend=all_[:2, :1] - 1) != 0).any(0)], [], 0
+    all_ = np.concatenate([least, *held], 1)
+    if all_.shape[1]:
+        yield out(all_[:, np.lexsort(all_[::-1])])
 
 
 def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
@@ -298,44 +360,92 @@ def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
             wanted, ids = batch.column("wanted").to_pylist(), batch.column("ids").to_pylist()
             for at, texts in slices(batch, "text"):
                 own: list[int] = []
-                name, line, size, chars, keys = [], [], [], [], []
+                line, half = [], []
                 for k, text in enumerate(texts):
                     lines = text.split("\n")
                     own += ids[at + k]
-                    for i in wanted[at + k]:
-                        line.append(lines[i >> 1].strip())
-                        name.append(line_name(line[-1])[0])
-                        w = tokens(line[-1], least_words, chars_per_edit)
-                        size.append(len(w))
-                        chars.append(bool(w) and w[0].startswith(_CHAR))
-                        if i & 1:
-                            whole, less = neighbourhood(word_codes(w))
-                            keys.append(np.concatenate([[np.int64(whole)], less]))
-                        else:
-                            keys.append(())
-                columns = ((own, pa.int64()), (name, pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
+                    line += [lines[i >> 1].strip() for i in wanted[at + k]]
+                    half += [i & 1 for i in wanted[at + k]]
+                size, chars, keys = np.zeros(len(line), np.int32), np.zeros(len(line), bool), [()] * len(line)
+                for by_chars, which, codes, offsets in coded(line, least_words, chars_per_edit):
+                    size[which], chars[which] = np.diff(offsets), by_chars
+                    for i, a, b in zip(which, offsets, offsets[1:]):  # noqa: B905
+                        if half[i]:
+                            whole, less = neighbourhood(codes[a:b])
+                            keys[i] = np.concatenate([[np.int64(whole)], less])
+                columns = ((own, pa.int64()), ([line_name(x)[0] for x in line], pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], ["id", "name", "text", "size", "chars", "keys"])
 
     return run
 
 
-def _checked(least_words: int, words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
-    """Lines that are within the bound of the shorter line of their pair."""
+class Bound:
+    """How many edits two lines may be apart."""
 
-    def near(x: str, y: str) -> bool:
-        a, b = tokens(x, least_words, chars_per_edit), tokens(y, least_words, chars_per_edit)
-        by_chars = a[0].startswith(_CHAR)
-        if by_chars != b[0].startswith(_CHAR):
-            return False
-        return within(a, b, most_edits(min(len(a), len(b)), chars_per_edit if by_chars else words_per_edit))
+    def __init__(self, least_words: int, words_per_edit: int | None, chars_per_edit: int | None):
+        self.least_words, self.words_per_edit, self.chars_per_edit = least_words, words_per_edit, chars_per_edit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(self, line: str) -> list:
+        return tokens(line, self.least_words, self.chars_per_edit)
+
+    def edits(self, shorter: list) -> int:
+        return most_edits(len(shorter), self.words_per_edit if isinstance(shorter[0], bytes) else self.chars_per_edit)
+
+    def near(self, a: list, b: list) -> bool:
+        return type(a[0]) is type(b[0]) and within(a, b, self.edits(min(a, b, key=len)))
+
+    def checked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of the lines that are within the bound of the other line of their pair."""
         for batch in batches:
             a, b = batch.column("text").to_pylist(), batch.column("other").to_pylist()
-            keep = [near(x, y) for x, y in zip(a, b, strict=True)]
+            keep = [self.near(self.tokens(x), self.tokens(y)) for x, y in zip(a, b, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["id"])
 
-    return run
+    def rare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of each line, numbered where they repeat, as hashes; and how many of them must be looked at."""
+        for batch in batches:
+            found, most = [], []
+            for line in batch.column("text").to_pylist():
+                own = self.tokens(line)
+                times: Counter = Counter()
+                hashes = []
+                for w in own:
+                    times[w] += 1
+                    hashes.append(xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-32-le", "surrogatepass"), times[w]) - (1 << 63))
+                found.append(hashes)
+                most.append(self.edits(own) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(most, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "most", "tokens"])
+
+    def compared(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of open lines that are near an earlier one of their block or pair of blocks."""
+        for t, starts in groups(batches, ["token", "lo", "hi"]):
+            node, left, open_, text = t["node"].to_numpy(), t["left"].to_numpy(), t["open"].to_numpy(), t["text"].to_pylist()
+            crossed = t["lo"].to_numpy() != t["hi"].to_numpy()
+            out = []
+            for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                _, once = np.unique(node[s:e], return_index=True)  # by id, so the earlier come first
+                once += s
+                own = [self.tokens(text[i]) for i in once]
+                numbers: dict = {}
+                rows, columns = [], []
+                for k, w in enumerate(own):
+                    times: Counter = Counter()
+                    for x in w:
+                        times[x] += 1
+                        rows.append(k)
+                        columns.append(numbers.setdefault((x, times[x]), len(numbers)))
+                common = overlaps(np.array(rows), np.array(columns), len(own))
+                size = np.array([len(w) for w in own])
+                per = np.array([(self.words_per_edit if isinstance(w[0], bytes) else self.chars_per_edit) or 0 for w in own])
+                short = np.minimum(size[:, None], size[None, :])
+                most = np.where(per > 0, np.maximum(1, short // np.maximum(per, 1)), 1)
+                maybe = np.tril(np.maximum(size[:, None], size[None, :]) - common <= most, -1) & open_[once][:, None]
+                if crossed[s]:
+                    maybe &= left[once][:, None] != left[once][None, :]
+                for i in np.flatnonzero(maybe.any(1)):
+                    if any(self.near(own[i], own[j]) for j in np.flatnonzero(maybe[i])):
+                        out.append(node[once[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
 
 
 def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
@@ -351,19 +461,22 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     carried on: what counts is the earlier line itself, whether or not that one stays.
 
     1. Equal lines become one by a 128-bit digest, with the earliest place.
-    2. Distinct lines that share no half with another (see half_keys) are within no edit of any and are done.
-    3. The others emit their deletion neighbourhood as hashed keys: the line itself and each variant without one
-       word. Two lines are one replacement apart if variants that lack the same place are equal, and one insertion
-       apart if one line equals a variant of the other. Each key needs its earliest line only, so a key that
-       many lines share gives each of them one candidate, not all pairs.
-    4. Lines of two edits or more that are within their bound share a stretch without an edit (see run_sizes), so they
-       share the least gram of a window in it (see run_keys). Pairs that share fewer keys than their
-       bound calls for (see shared_keys) are dropped. First each line meets the earliest line of each of its keys; lines that this doesn't settle meet all earlier lines of their keys, in blocks.
-    5. The edit distance of every candidate pair is verified on the words or characters.
+    2. Distinct lines give hashed keys of halves (see half_keys) and, if they are long enough for two edits, of the least
+       gram of each window (see run_keys). Lines that share none with another are within their bound of none.
+    3. Lines that share a half emit their deletion neighbourhood as hashed keys: the line itself and each variant without
+       one token. Equal variants are joined (see _met).
+    4. Lines of two edits or more that are within their bound share a stretch without an edit (see run_sizes), so they share
+       the least gram of a window in it. Pairs that share fewer keys than their bound calls for (see
+       shared_keys) are dropped. First each line meets the earliest line of each of its keys; lines that this doesn't
+       settle meet all earlier lines of their keys of up to FEW lines.
+    5. Pairs that share only keys of more lines have all but ``k`` tokens in common, where ``k`` is their bound, so they share one
+       of the ``k + 1`` rarest. Lines that share such a token are compared in blocks of BLOCK lines: no pair is written
+       down, yet a group of n lines that are nearly as far apart as the bound takes time in the square of n.
+    6. The edit distance of every candidate pair is verified on the words or characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    scaled = bool(words_per_edit or chars_per_edit)
+    bound = Bound(least_words, words_per_edit, chars_per_edit)
     prints = cut(docs.select("row", "doc_id", "text").mapInArrow(released(_lines), f"row long, doc_id {kind}, line array<int>, name array<long>, check array<long>"))
     lines = prints.select("row", "doc_id", F.explode(F.arrays_zip("line", "name", "check")).alias("x")).select("row", "doc_id", "x.*")
     distinct = cut(lines.groupBy("name", "check").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
@@ -372,13 +485,13 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     equal = lines.join(distinct.filter("n > 1").select("name", "check", "first"), ["name", "check"]).filter("row <> first.row or line <> first.line or not doc_id <=> first.doc_id").select("row", "doc_id", "line")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("text").mapInArrow(released(_keys(least_words, words_per_edit, chars_per_edit, 4 * parts)), "bucket int, keys binary, names binary, times binary")
-    busy = cut(dealt.repartition(parts, "bucket").mapInArrow(released(_busy), "key long, name long, times int"))
+    keys = docs.select("text").mapInArrow(released(_keys(least_words, words_per_edit, chars_per_edit, 4 * parts)), "bucket int, keys binary, names binary")
+    busy = cut(keys.repartition(parts, "bucket").mapInArrow(released(_busy), "key long, name long, times int"))
     release(spark)
-    halved = (F.col("key") % 2 == 0).cast("int")
-    left = distinct.select("name", "first").join(busy.groupBy("name").agg(F.max(halved).alias("half")), "name").select("first.*", "half")
-    runs = busy.filter("key % 2 <> 0")
+
     # places are sorted over all partitions, so that the numbers are in their order
+    half = F.max((F.col("key") % 2 == 0).cast("int")).alias("half")
+    left = distinct.select("name", "first").join(busy.groupBy("name").agg(half), "name").select("first.*", "half")
     left = cut(left.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
     own = F.sort_array(F.collect_list(F.struct((F.col("line") * 2 + F.col("half")).cast("int").alias("wanted"), F.col("id").alias("ids"))))
     wanted = left.groupBy("row", "doc_id").agg(own.alias("own")).select("row", "doc_id", "own.wanted", "own.ids")
@@ -386,44 +499,56 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     words = cut(words)
     release(spark)
 
-    variants = words.select("id", F.posexplode("keys").alias("lacks", "key"))
-    met = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    variants = cut(variants.join(met, "key", "left_semi"))
-    # lacks = 0 is the line itself, else the place of the deleted word
-    ends = variants.groupBy("key").agg(F.min(F.when(F.col("lacks") == 0, F.col("id"))).alias("line_id"), F.min(F.when(F.col("lacks") > 0, F.col("id"))).alias("variant_id"))
-    inserted = variants.join(ends, "key").select("id", F.when(F.col("lacks") == 0, F.col("variant_id")).otherwise(F.col("line_id")).alias("earlier"))
-    same_place = variants.filter("lacks > 0").groupBy("key", "lacks").agg(F.min("id").alias("earlier"))
-    replaced = variants.join(same_place, ["key", "lacks"]).select("id", "earlier")
-
-    def shared(met: DataFrame) -> DataFrame:
-        """Pairs (id, earlier) that have as many keys in common as their bound calls for (see shared_keys)."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(words.select("id", "text"), "id").join(words.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
+        return both.select("id", "text", "other").mapInArrow(released(bound.checked), "id long")
+
+    near_keys = words.filter(F.size("keys") > 0).select("id", "keys").mapInArrow(released(_variants(4 * parts)), "bucket int, keys binary, ids binary, lacks binary")
+    pairs = near_keys.repartition(parts, "bucket").mapInArrow(released(_met), "id long, earlier long")
+    if not words_per_edit and not chars_per_edit:
+        near = verified(pairs.distinct())
+    else:
+        held = busy.filter("key % 2 <> 0").join(words.select("name", "id", "size", "chars"), "name")
+        held = held.groupBy("key", "chars", "id", "size").agg(F.max("times").alias("times"))
+        groups_ = held.groupBy("key", "chars").agg(F.min(F.struct("id", "times", "size")).alias("f"), F.count(F.lit(1)).alias("n"))
+        held = cut(held.join(groups_, ["key", "chars"]).filter("n > 1"))
         m = F.least("size", "other_size")
-        bound = lambda per: (m, F.greatest(F.lit(1), F.floor(m / per)), per)
         need, room = F.lit(1), F.lit(1)
         for by_chars, per in ((False, words_per_edit), (True, chars_per_edit)):
             if per:
-                need = F.when(F.col("chars") == by_chars, shared_keys(*bound(per))).otherwise(need)
-                room = F.when(F.col("chars") == by_chars, bound(per)[1]).otherwise(room)
-        met = met.withColumns({"need": need, "room": room}).filter("earlier < id and abs(size - other_size) <= room")
-        return met.groupBy("id", "earlier").agg(F.sum(F.least("times", "other_times")).alias("times"), F.first("need").alias("need")).filter("times >= need").select("id", "earlier")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(words.select("id", "text"), "id").join(words.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
-        return both.select("id", "text", "other").mapInArrow(released(_checked(least_words, words_per_edit, chars_per_edit)), "id long")
-
-    pairs = inserted.union(replaced)
-    if scaled:
-        held = cut(runs.join(words.select("name", "id", "size", "chars"), "name").select("key", "times", "id", "size", "chars"))
-        first = held.groupBy("key", "chars").agg(F.min(F.struct("id", "times", "size")).alias("f"))
-        pairs = pairs.union(shared(held.join(first, ["key", "chars"]).select("id", "times", "size", "chars", F.col("f.id").alias("earlier"), F.col("f.times").alias("other_times"), F.col("f.size").alias("other_size"))))
-    near = verified(pairs.filter("earlier < id").distinct())
-    if scaled:
-        near = cut(near)
-        open_ = held.join(near.distinct(), "id", "left_anti")
-        blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        open_ = open_.join(blocks, "key").select("key", "chars", "id", "times", "size", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
-        others = held.join(blocks, "key").select("key", "chars", F.col("id").alias("earlier"), F.col("times").alias("other_times"), F.col("size").alias("other_size"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        near = near.union(verified(shared(open_.join(others, ["key", "chars", "block"]))))
+                edits = F.greatest(F.lit(1), F.floor(m / per))
+                need = F.when(F.col("chars") == by_chars, shared_keys(m, edits, per)).otherwise(need)
+                room = F.when(F.col("chars") == by_chars, edits).otherwise(room)
+
+        def enough(met: DataFrame) -> DataFrame:
+            """Pairs (id, earlier) that have as many keys in common as their bound calls for, but for ``less`` of them."""
+            met = met.withColumns({"need": need, "room": room}).filter("earlier < id and abs(size - other_size) <= room")
+            met = met.groupBy("id", "earlier").agg(F.sum(F.least("times", "other_times")).alias("times"), F.first(F.col("need") - F.col("less")).alias("need"))
+            return met.filter("times >= need").select("id", "earlier")
+
+        other = lambda x: (F.col(f"{x}id").alias("earlier"), F.col(f"{x}times").alias("other_times"), F.col(f"{x}size").alias("other_size"))
+        pairs = pairs.union(enough(held.select("id", "times", "size", "chars", F.lit(0).alias("less"), *other("f."))))
+        near = cut(verified(pairs.distinct()).distinct())
+
+        # lines that the earliest ones don't settle: all earlier lines of keys with few lines
+        hot = held.filter(F.col("n") > FEW).groupBy("id", "chars", "size").agg(F.sum("times").alias("less"))
+        few = held.filter(F.col("n") <= FEW)
+        undone = few.select("key", "chars", "id", "times", "size").join(near, "id", "left_anti").join(hot.select("id", "less"), "id", "left").fillna(0, ["less"])
+        more = verified(enough(undone.join(few.select("key", "chars", *other("")), ["key", "chars"])))
+
+        # pairs that share only keys of many lines: by the rarest tokens of those lines
+        hot = words.select("id", "text").join(hot.select("id"), "id").join(near.withColumn("done", F.lit(True)), "id", "left").select("id", "text", F.col("done").isNull().alias("open"))
+        hot = cut(hot.dropDuplicates(["id"]))
+        found = hot.select("id", "text").mapInArrow(released(bound.rare), "id long, most int, tokens array<long>").select("id", "most", F.explode("tokens").alias("token"))
+        common = found.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # tokens that no other line has are the rarest of all
+        alone = found.join(common, "token", "left").groupBy("id", "most").agg(F.count_if(F.col("size").isNull()).alias("alone"))
+        ranked = found.join(common, "token").join(alone.select("id", "alone"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("size", "token")) + F.col("alone"))
+        few_tokens = ranked.filter("rank <= most").select("token", "id")
+        few_tokens = cut(few_tokens.join(few_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "token"))
+        rows = few_tokens.join(hot, "id").select("token", "size", F.col("id").alias("node"), "text", "open")
+        compared = blocks(rows, "token", F.col("size"), BLOCK).select("token", "lo", "hi", "left", "node", "text", "open").mapInArrow(released(bound.compared), "id long")
+        near = near.union(more).union(compared)
     near = left.join(near.distinct(), "id").select("row", "doc_id", "line")
     return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 

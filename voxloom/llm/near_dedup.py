@@ -7,15 +7,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released, row_key, slices
+from .common import blocks, cut, groups, overlaps, released, row_key, slices
 from .components import components
 from .shingles import MinHash, band_keys, shingle_sets
 
 _COMPARED = 1 << 17  # pairs that are compared at a time
-_CELLS = 1 << 22  # entries of a dense block of shingle indicators
 
 
 def least_matches(values: int, step: int, threshold: float, tolerance: float) -> dict[int, int]:
@@ -31,49 +30,6 @@ def least_matches(values: int, step: int, threshold: float, tolerance: float) ->
     return {n: next((m for m in range(n + 1) if chance(m, n) >= tolerance), n) for n in range(step, values + 1, step)}
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole groups of rows that are sorted by ``keys``: a table and where its groups start."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            v = batch.column(k).to_numpy(zero_copy_only=False)
-            new[1:] |= v[1:] != v[:-1]
-            new[0] |= bool(held) and v[0] != held[-1].column(k)[-1].as_py()
-        starts = np.flatnonzero(new)
-        if held and not len(starts):
-            held.append(batch)
-            continue
-        if held and len(starts):
-            t = pa.Table.from_batches([*held, batch.slice(0, starts[0])])
-            yield t, _starts(t, keys)
-            held = []
-            last = starts[-1]
-            if last > starts[0]:
-                t = pa.Table.from_batches([batch.slice(starts[0], last - starts[0])])
-                yield t, starts[:-1] - starts[0]
-        else:
-            last = starts[-1] if len(starts) else 0
-            if last:
-                t = pa.Table.from_batches([batch.slice(0, last)])
-                yield t, np.concatenate([[0], starts[:-1]])
-        held.append(batch.slice(last))
-    if held:
-        t = pa.Table.from_batches(held)
-        yield t, _starts(t, keys)
-
-
-def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.ones(t.num_rows, bool)
-    new[1:] = False
-    for k in keys:
-        v = t[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(new)
-
-
 def _pairs(starts: np.ndarray, n: int, left: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows within each group, in lots; of a crossed group only those of a left and another row."""
     a: list[np.ndarray] = []
@@ -112,17 +68,6 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _blocks(rows: DataFrame, key: str, size: Column, block: int) -> DataFrame:
-    """Deals each group of ``size`` rows over pairs of blocks: (key, lo, hi, left) for every pair a row is in.
-
-    Up to ``block`` rows a group is one block. A larger one falls into ceil(size / block) blocks by a hash of its
-    nodes, and each two blocks meet once, so no task holds more than two of them and all pairs are seen.
-    """
-    rows = rows.withColumn("n_blocks", F.ceil(size / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return rows.select("*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left")).drop("own", "other").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "node")
-
-
 def _prints(minhash: MinHash, bands: int, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +86,7 @@ def _prints(minhash: MinHash, bands: int, width: int) -> Callable:
 
 def _prune(least: dict[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches, ["band", "lo", "hi"]):
+        for t, starts in groups(batches, ["band", "lo", "hi"]):
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
             node = t["node"].to_numpy()
             crossed = t["lo"].to_numpy() != t["hi"].to_numpy()
@@ -169,27 +114,13 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     if n == 2:
         x = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([[len(sets[0]), x], [x, len(sets[1])]], np.int64)
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, columns, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((n, n), np.int64)
-    common = times > 1  # a shingle of one set only is in no intersection
-    place = np.cumsum(common) - 1
-    use = common[columns]
-    rows, columns = rows[use], place[columns[use]]
-    step = max(_CELLS // n, 1)
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    for at in range(0, int(common.sum()), step):
-        a, b = np.searchsorted(columns, [at, at + step])
-        dense = np.zeros((n, step), np.float32)
-        dense[rows[a:b], columns[a:b] - at] = 1
-        out += np.rint(dense @ dense.T).astype(np.int64)
-    return out
+    _, columns = np.unique(np.concatenate(sets), return_inverse=True)
+    return overlaps(np.repeat(np.arange(n), [len(s) for s in sets]), columns, n)
 
 
 def _verify(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches, ["cluster", "lo", "hi"]):
+        for t, starts in groups(batches, ["cluster", "lo", "hi"]):
             n = t["node"].to_numpy()
             once = np.ones(len(n), bool)  # a row that its table holds twice has come twice
             once[1:] = n[1:] != n[:-1]
@@ -249,7 +180,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     busy = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = banded.join(busy, "band").join(nodes.select("node", "sig"), "node")
     least = least_matches(bands * rows_per_band, 2 * rows_per_band, threshold, tolerance)
-    candidates = _blocks(members, "band", F.col("size"), block).select("band", "lo", "hi", "left", "node", "sig")
+    candidates = blocks(members, "band", F.col("size"), block).select("band", "lo", "hi", "left", "node", "sig")
     clusters = components(candidates.mapInArrow(released(_prune(least)), "a long, b long"))
     clusters = cut(clusters.withColumnRenamed("root", "cluster"))
 
@@ -264,7 +195,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("copies"), pa.array([s.tobytes() for s in shingle_sets(some, width)], pa.binary())], ["node", "cluster", "copies", "shingles"])
 
     found = texts.select("row_key", "text").join(wanted, "row_key").select("node", "cluster", "copies", "text").mapInArrow(released(shingles), "node long, cluster long, copies long, shingles binary")
-    found = _blocks(found.join(sizes, "cluster"), "cluster", F.col("size"), block).select("cluster", "lo", "hi", "left", "node", "copies", "shingles")
+    found = blocks(found.join(sizes, "cluster"), "cluster", F.col("size"), block).select("cluster", "lo", "hi", "left", "node", "copies", "shingles")
     checked = cut(found.mapInArrow(released(_verify(threshold)), "node long, root long, links long, texts long"))
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
     classes = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
