@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that the vectorised helpers take in at a time; longer texts are cut between words.
-CHUNK_BYTES = 1 << 20
-
+CHUNK_BYTES = 1 << 17
+#: Characters of texts that an operator takes from a batch at a time.
+SLICE = 1 << 22
 
 #: Rows in a batch that goes to Python: whole texts are long, and two of a task's batches are held at a time.
 BATCH_ROWS = 512
@@ -135,7 +136,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0xD1342543DE82EF95)
 
 #: Separators are bytes that stand in no word: by ``LETTERS`` all ASCII but letters and digits, by ``SPACES`` blanks.
 LETTERS = np.ones(256, dtype=bool)
@@ -151,18 +152,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = (_powers(b, 2 * CHUNK_BYTES) for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
+
+
 def _hash_words(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word in ``data``."""
+    """Hash and start of each word in ``data``: a polynomial in the places of its bytes, taken from running sums."""
     b = np.frombuffer(data, np.uint8)
-    word = inside[b]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    place = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
-    value = np.where(word, _BYTE[b], np.uint64(0))[starts[0] :] * _PLACE[place & 4095]
-    return mix(np.add.reduceat(value, starts - starts[0])), starts
+    word = np.zeros(len(b) + 2, bool)
+    word[1:-1] = inside[b]
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = (_UP, _DOWN) if len(b) <= len(_UP) else (_powers(int(_BASE), len(b)), _powers(int(_DOWN[1]), len(b)))
+    run = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * up[: len(b)], out=run[1:])
+    return mix((run[ends] - run[starts]) * down[starts]), starts
 
 
 def _pieces(data: bytes, inside: np.ndarray) -> Iterator[bytes]:
@@ -215,7 +224,7 @@ def word_hashes(texts: list[bytes], inside: np.ndarray = LETTERS) -> tuple[np.nd
     return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(counts)])
 
 
-def slices(batch, column: int | str, most: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
+def slices(batch, column: int | str, most: int = SLICE) -> Iterator[tuple[int, list[str]]]:
     """Texts of an Arrow batch as (first row, texts) of about ``most`` characters each; null counts as empty."""
     values = batch.column(column)
     at, rows, held = 0, [], 0

@@ -156,14 +156,14 @@ def run_sizes(per_edit: int) -> tuple[int, int]:
     return gram, run - gram + 1
 
 
-def shared_keys(n: Column, edits: Column, per_edit: int) -> Column:
+def shared_keys(n: np.ndarray, edits: np.ndarray, per_edit: int) -> np.ndarray:
     """Places of keys that lines within ``edits`` share at least, if the shorter has ``n`` tokens.
 
     A stretch of r tokens holds r - gram - window + 2 whole windows, and one place is the least of ``window`` of them
     at most; the ``edits + 1`` stretches have n - edits tokens together.
     """
     gram, window = run_sizes(per_edit)
-    return F.greatest(F.lit(1), F.ceil((n - edits - (gram + window - 2) * (edits + 1)) / window))
+    return np.maximum(1, -((n - edits - (gram + window - 2) * (edits + 1)) // -window))
 
 
 def run_keys(codes: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +349,90 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(all_[:, np.lexsort(all_[::-1])])
 
 
+#: What _stars() gives.
+STAR, PAIR, HOT = 0, 1, 2
+
+
+def _placed(buckets: int) -> Callable:
+    """Entries of lines with their ids, dealt over ``buckets``; ``about`` holds times, size and kind of token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, times, size, chars = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "times", "size", "chars"))
+            if len(keys):
+                about = times.astype(np.int64) | size.astype(np.int64) << np.int64(32) | chars.astype(np.int64) << np.int64(62)
+                yield dealt(keys, {"ids": ids, "about": about}, buckets)
+
+    return run
+
+
+def _stars(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
+    """Rows (kind, id, earlier, times, need) from the keys that lines share.
+
+    STAR: a line, the earliest line of a key, the places of the key that they share and how many places of all their keys
+    their bound calls for. PAIR: likewise, a line and each other earlier line of a key of up to FEW lines. HOT: a line's
+    places of a key of more lines. Pairs whose sizes are too far apart are left out. Of a key of many lines only the
+    earliest one is held.
+    """
+
+    def split(about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return about & 0x7FFFFFFF, about >> 32 & 0x3FFFFFFF, about >> 62
+
+    def rows(kind: int, ids: np.ndarray, earlier: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        (t1, n1, chars), (t2, n2, _) = split(a), split(b)
+        m, need, edits = np.minimum(n1, n2), np.ones(len(ids), np.int64), np.ones(len(ids), np.int64)
+        for by_chars, per in ((0, words_per_edit), (1, chars_per_edit)):
+            if per:
+                own = np.maximum(1, m // per)
+                edits = np.where(chars == by_chars, own, edits)
+                need = np.where(chars == by_chars, shared_keys(m, own, per), need)
+        fit = (earlier < ids) & (np.abs(n1 - n2) <= edits)
+        return batch(kind, ids[fit], earlier[fit], np.minimum(t1, t2)[fit], need[fit])
+
+    def batch(kind: int, ids, earlier, times, need) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int8)), pa.array(ids), pa.array(earlier), pa.array(times.astype(np.int32)), pa.array(need.astype(np.int32))], ["kind", "id", "earlier", "times", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.zeros((3, 0), np.int64)  # key, earliest id and what is known about it
+        held, n, room = [np.zeros((3, 0), np.int64)], 0, KEYS_HELD
+
+        def sifted(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal hot, held, n, room
+            every = np.concatenate([hot, *held], 1)
+            old = np.zeros(every.shape[1], bool)
+            old[: hot.shape[1]] = True
+            order = np.lexsort((every[1], every[0]))
+            (key, ids, about), old = every[:, order], old[order]
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            size = np.diff(first, append=len(key))
+            many = np.repeat((size > FEW) | (np.logical_or.reduceat(old, first) if len(first) else first > 0), size)
+            start = np.repeat(first, size)
+            use = many | last
+            yield rows(STAR, ids[use], ids[start[use]], about[use], about[start[use]])
+            new = many & ~old
+            yield batch(HOT, ids[new], ids[new], split(about[new])[0], np.zeros(new.sum()))
+            if last:
+                i = np.flatnonzero(~many)
+                for d in range(1, FEW):
+                    i = i[i - d > start[i]]
+                    if not len(i):
+                        break
+                    yield rows(PAIR, ids[i], ids[i - d], about[i], about[i - d])
+            top = first[many[first]] if len(first) else first
+            hot = np.stack([key[top], ids[top], about[top]])
+            held = [np.stack([key, ids, about])[:, ~many]]
+            n = 0
+
+        for b in batches:
+            held.append(np.stack([entries(b, c) for c in ("keys", "ids", "about")]))
+            n += held[-1].shape[1]
+            if n >= room:
+                yield from sifted(False)
+        yield from sifted(True)
+
+    return run
+
+
 def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
     """The wanted lines of each text, their numbers of tokens and their neighbourhoods.
 
@@ -500,7 +584,9 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(words.select("id", "text"), "id").join(words.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
+        pairs = cut(pairs)
+        own = words.select("id", "text").join(pairs.select("id").union(pairs.select("earlier")).distinct(), "id", "left_semi")
+        both = pairs.join(own, "id").join(own.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
         return both.select("id", "text", "other").mapInArrow(released(bound.checked), "id long")
 
     near_keys = words.filter(F.size("keys") > 0).select("id", "keys").mapInArrow(released(_variants(4 * parts)), "bucket int, keys binary, ids binary, lacks binary")
@@ -508,38 +594,28 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     if not words_per_edit and not chars_per_edit:
         near = verified(pairs.distinct())
     else:
-        held = busy.filter("key % 2 <> 0").join(words.select("name", "id", "size", "chars"), "name")
-        held = held.groupBy("key", "chars", "id", "size").agg(F.max("times").alias("times"))
-        groups_ = held.groupBy("key", "chars").agg(F.min(F.struct("id", "times", "size")).alias("f"), F.count(F.lit(1)).alias("n"))
-        held = cut(held.join(groups_, ["key", "chars"]).filter("n > 1"))
-        m = F.least("size", "other_size")
-        need, room = F.lit(1), F.lit(1)
-        for by_chars, per in ((False, words_per_edit), (True, chars_per_edit)):
-            if per:
-                edits = F.greatest(F.lit(1), F.floor(m / per))
-                need = F.when(F.col("chars") == by_chars, shared_keys(m, edits, per)).otherwise(need)
-                room = F.when(F.col("chars") == by_chars, edits).otherwise(room)
+        placed = busy.filter("key % 2 <> 0").join(words.select("name", "id", "size", "chars"), "name").mapInArrow(released(_placed(4 * parts)), "bucket int, keys binary, ids binary, about binary")
+        met = cut(placed.repartition(parts, "bucket").mapInArrow(released(_stars(words_per_edit, chars_per_edit)), "kind tinyint, id long, earlier long, times int, need int"))
 
-        def enough(met: DataFrame) -> DataFrame:
+        def enough(pairs: DataFrame, less: Column) -> DataFrame:
             """Pairs (id, earlier) that have as many keys in common as their bound calls for, but for ``less`` of them."""
-            met = met.withColumns({"need": need, "room": room}).filter("earlier < id and abs(size - other_size) <= room")
-            met = met.groupBy("id", "earlier").agg(F.sum(F.least("times", "other_times")).alias("times"), F.first(F.col("need") - F.col("less")).alias("need"))
-            return met.filter("times >= need").select("id", "earlier")
+            pairs = pairs.groupBy("id", "earlier").agg(F.sum("times").alias("times"), F.min(F.col("need") - less).alias("need"))
+            return pairs.filter("times >= need").select("id", "earlier")
 
-        other = lambda x: (F.col(f"{x}id").alias("earlier"), F.col(f"{x}times").alias("other_times"), F.col(f"{x}size").alias("other_size"))
-        pairs = pairs.union(enough(held.select("id", "times", "size", "chars", F.lit(0).alias("less"), *other("f."))))
+        pairs = pairs.union(enough(met.filter(F.col("kind") == STAR), F.lit(0)))
         near = cut(verified(pairs.distinct()).distinct())
+        release(spark)
 
         # lines that the earliest ones don't settle: all earlier lines of keys with few lines
-        hot = held.filter(F.col("n") > FEW).groupBy("id", "chars", "size").agg(F.sum("times").alias("less"))
-        few = held.filter(F.col("n") <= FEW)
-        undone = few.select("key", "chars", "id", "times", "size").join(near, "id", "left_anti").join(hot.select("id", "less"), "id", "left").fillna(0, ["less"])
-        more = verified(enough(undone.join(few.select("key", "chars", *other("")), ["key", "chars"])))
+        hot = met.filter(F.col("kind") == HOT).groupBy("id").agg(F.sum("times").alias("less"))
+        undone = met.filter(F.col("kind") == PAIR).join(near, "id", "left_anti").join(hot, "id", "left").fillna(0, ["less"])
+        more = verified(enough(undone, F.col("less")))
 
         # pairs that share only keys of many lines: by the rarest tokens of those lines
         hot = words.select("id", "text").join(hot.select("id"), "id").join(near.withColumn("done", F.lit(True)), "id", "left").select("id", "text", F.col("done").isNull().alias("open"))
         hot = cut(hot.dropDuplicates(["id"]))
-        found = hot.select("id", "text").mapInArrow(released(bound.rare), "id long, most int, tokens array<long>").select("id", "most", F.explode("tokens").alias("token"))
+        found = cut(hot.select("id", "text").mapInArrow(released(bound.rare), "id long, most int, tokens array<long>"))
+        found = found.select("id", "most", F.explode("tokens").alias("token"))
         common = found.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         # tokens that no other line has are the rarest of all
         alone = found.join(common, "token", "left").groupBy("id", "most").agg(F.count_if(F.col("size").isNull()).alias("alone"))
