@@ -19,14 +19,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORDS_PER_EDIT, CHARS_PER_EDIT = 15, 20
 #: Lines of a key up to which all its pairs are made, and lines that are compared with others in one task.
 FEW, BLOCK = 64, 1024
+#: A token is frequent if more than one in FREQUENT is it, so there are fewer than that.
+FREQUENT = 1 << 16
 #: Keys that a task holds before it deals them out or sifts them.
 KEYS_HELD = 1 << 20
 
 
-def line_name(line: str) -> tuple[int, int]:
-    """A 128-bit digest as two 64-bit numbers; the first names the line where its keys are joined."""
-    both = xxhash.xxh3_128_intdigest(line.encode("utf-8", "replace"))
-    return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
+def line_names(lines: list[str]) -> np.ndarray:
+    """128-bit digests as two 64-bit numbers by line; the first names the line where its keys are joined."""
+    digests = b"".join([xxhash.xxh3_128_digest(line.encode("utf-8", "replace")) for line in lines])
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def half_keys(codes: np.ndarray, offsets: np.ndarray, by_chars: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -201,23 +203,41 @@ def dealt(keys: np.ndarray, others: dict[str, np.ndarray], buckets: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(bucket[first]), body(keys[order]), *(body(v[order]) for v in others.values())], ["bucket", "keys", *others])
 
 
+def gathered(parts: Iterator[np.ndarray], others: list[str], buckets: int) -> Iterator[pa.RecordBatch]:
+    """dealt() of KEYS_HELD entries or more at a time; the rows of a part are keys and other numbers."""
+    held: list[np.ndarray] = []
+    for x in parts:
+        held.append(x)
+        if sum(x.shape[1] for x in held) >= KEYS_HELD:
+            keys, *rest = np.concatenate(held, 1)
+            held = []
+            yield dealt(keys, dict(zip(others, rest, strict=True)), buckets)
+    if held:
+        keys, *rest = np.concatenate(held, 1)
+        yield dealt(keys, dict(zip(others, rest, strict=True)), buckets)
+
+
 def entries(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.int64)
 
 
+def _lists(values: np.ndarray, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By text: numbers and digests of its lines that aren't blank."""
     for batch in batches:
         for at, texts in slices(batch, "text"):
-            number, name, check = [], [], []
+            number, lines, sizes = [], [], []
             for text in texts:
-                found = [(i, line) for i, line in enumerate(map(str.strip, text.split("\n"))) if line]
-                both = [line_name(line) for _, line in found]
-                number.append([i for i, _ in found])
-                name.append([x for x, _ in both])
-                check.append([x for _, x in both])
-            part, long = batch.slice(at, len(texts)), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(number, pa.list_(pa.int32())), pa.array(name, long), pa.array(check, long)], ["row", "doc_id", "line", "name", "check"])
+                own = [line.strip() for line in text.split("\n")]
+                found = [i for i, line in enumerate(own) if line]
+                number += found
+                lines += filter(None, own)
+                sizes.append(len(found))
+            names, part = line_names(lines), batch.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), _lists(np.array(number, np.int32), sizes), _lists(names[:, 0].copy(), sizes), _lists(names[:, 1].copy(), sizes)], ["row", "doc_id", "line", "name", "check"])
 
 
 def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | None, buckets: int) -> Callable:
@@ -228,9 +248,10 @@ def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | No
 
     def of(texts: list[str]) -> Iterator[np.ndarray]:
         lines = list({line.strip() for text in texts for line in text.split("\n")})
+        every = line_names(lines)[:, 0]
         for by_chars, which, codes, offsets in coded(lines, least_words, chars_per_edit):
             per = chars_per_edit if by_chars else words_per_edit
-            names = np.array([line_name(lines[i])[0] for i in which], np.int64)
+            names = every[which]
             line, keys = half_keys(codes, offsets, by_chars)
             yield np.stack([keys & ~np.int64(1), names[line]])
             if per:
@@ -239,17 +260,7 @@ def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | No
                 yield np.stack([keys[twice] | np.int64(1), names[line[twice]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                held += of(texts)
-                if sum(x.shape[1] for x in held) >= KEYS_HELD:
-                    keys, names = np.concatenate(held, 1)
-                    yield dealt(keys, {"names": names}, buckets)
-                    held = []
-        if held:
-            keys, names = np.concatenate(held, 1)
-            yield dealt(keys, {"names": names}, buckets)
+        return gathered((x for batch in batches for _, texts in slices(batch, "text") for x in of(texts)), ["names"], buckets)
 
     return run
 
@@ -297,15 +308,12 @@ def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _variants(buckets: int) -> Callable:
     """The deletion neighbourhoods, dealt over ``buckets``; the place that a variant lacks is ``lacks``, 0 for the line itself."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("keys")
-            keys, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            if len(keys):
-                lacks = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-                yield dealt(keys, {"ids": np.repeat(batch.column("id").to_numpy(), n), "lacks": lacks}, buckets)
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column("keys")
+        keys, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        return np.stack([keys, np.repeat(batch.column("id").to_numpy(), n), np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)])
 
-    return run
+    return lambda batches: gathered(map(of, batches), ["ids", "lacks"], buckets)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,14 +364,11 @@ STAR, PAIR, HOT = 0, 1, 2
 def _placed(buckets: int) -> Callable:
     """Entries of lines with their ids, dealt over ``buckets``; ``about`` holds times, size and kind of token."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, times, size, chars = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "times", "size", "chars"))
-            if len(keys):
-                about = times.astype(np.int64) | size.astype(np.int64) << np.int64(32) | chars.astype(np.int64) << np.int64(62)
-                yield dealt(keys, {"ids": ids, "about": about}, buckets)
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        keys, ids, times, size, chars = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id", "times", "size", "chars"))
+        return np.stack([keys, ids, times | size << 32 | chars << 62])
 
-    return run
+    return lambda batches: gathered(map(of, batches), ["ids", "about"], buckets)
 
 
 def _stars(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
@@ -371,7 +376,7 @@ def _stars(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
 
     STAR: a line, the earliest line of a key, the places of the key that they share and how many places of all their keys
     their bound calls for. PAIR: likewise, a line and each other earlier line of a key of up to FEW lines. HOT: a line's
-    places of a key of more lines. Pairs whose sizes are too far apart are left out. Of a key of many lines only the
+    places of a key of more lines, and how many the line shares with any that is near it. Pairs whose sizes are too far apart are left out. Of a key of many lines only the
     earliest one is held.
     """
 
@@ -389,6 +394,18 @@ def _stars(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
         fit = (earlier < ids) & (np.abs(n1 - n2) <= edits)
         return batch(kind, ids[fit], earlier[fit], np.minimum(t1, t2)[fit], need[fit])
 
+    def least(about: np.ndarray) -> np.ndarray:
+        """The fewest places that a line shares with any other within their bound, which may be the shorter."""
+        _, n, chars = split(about)
+        out = np.ones(len(n), np.int64)
+        for by_chars, per in ((0, words_per_edit), (1, chars_per_edit)):
+            if per:
+                e = np.maximum(1, n // per)
+                short = np.maximum(n - e, 1)
+                own = np.minimum(shared_keys(np.maximum(short, per * e), e, per), np.where(short < per * e, shared_keys(short, np.maximum(e - 1, 1), per), np.iinfo(np.int64).max))
+                out = np.where(chars == by_chars, own, out)
+        return out
+
     def batch(kind: int, ids, earlier, times, need) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int8)), pa.array(ids), pa.array(earlier), pa.array(times.astype(np.int32)), pa.array(need.astype(np.int32))], ["kind", "id", "earlier", "times", "need"])
 
@@ -410,7 +427,7 @@ def _stars(words_per_edit: int | None, chars_per_edit: int | None) -> Callable:
             use = many | last
             yield rows(STAR, ids[use], ids[start[use]], about[use], about[start[use]])
             new = many & ~old
-            yield batch(HOT, ids[new], ids[new], split(about[new])[0], np.zeros(new.sum()))
+            yield batch(HOT, ids[new], ids[new], split(about[new])[0], least(about[new]))
             if last:
                 i = np.flatnonzero(~many)
                 for d in range(1, FEW):
@@ -457,7 +474,7 @@ def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
                         if half[i]:
                             whole, less = neighbourhood(codes[a:b])
                             keys[i] = np.concatenate([[np.int64(whole)], less])
-                columns = ((own, pa.int64()), ([line_name(x)[0] for x in line], pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
+                columns = ((own, pa.int64()), (line_names(line)[:, 0].copy(), pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], ["id", "name", "text", "size", "chars", "keys"])
 
     return run
@@ -485,49 +502,86 @@ class Bound:
             keep = [self.near(self.tokens(x), self.tokens(y)) for x, y in zip(a, b, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["id"])
 
-    def rare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens of each line, numbered where they repeat, as hashes; and how many of them must be looked at."""
+    def numbered(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Line, hash and place of each token, numbered where it repeats in its line; and the kind of tokens by line."""
+        rows, hashes, places, kinds = [], [], [], np.zeros(len(lines), np.int64)
+        for by_chars, which, codes, offsets in coded(lines, self.least_words, self.chars_per_edit):
+            n = np.diff(offsets)
+            row = np.repeat(which, n)
+            kinds[which] = by_chars
+            order = np.lexsort((codes, row))
+            first = (np.diff(row[order], prepend=-1) != 0) | (np.diff(codes[order], prepend=~codes[order[:1]]) != 0)
+            start = np.flatnonzero(first)
+            times = np.empty(len(order), np.int64)
+            times[order] = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+            rows.append(row)
+            hashes.append(mix(codes + mix(times.astype(np.uint64) * np.uint64(2) + np.uint64(by_chars))).view(np.int64))
+            places.append(np.arange(len(codes)) - np.repeat(offsets[:-1], n))
+        empty = [np.zeros(0, np.int64)]
+        return np.concatenate(rows or empty), np.concatenate(hashes or empty), np.concatenate(places or empty), kinds
+
+    def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, n) of the lines."""
         for batch in batches:
-            found, most = [], []
-            for line in batch.column("text").to_pylist():
-                own = self.tokens(line)
-                times: Counter = Counter()
-                hashes = []
-                for w in own:
-                    times[w] += 1
-                    hashes.append(xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-32-le", "surrogatepass"), times[w]) - (1 << 63))
-                found.append(hashes)
-                most.append(self.edits(own) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(most, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "most", "tokens"])
+            token, n = np.unique(self.numbered(batch.column("text").to_pylist())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
+
+    def rarest(self, frequent: pa.Table) -> Callable:
+        """(token, id) of as many of each line's rarest tokens as its bound and one more; ``frequent`` are the others' counts."""
+        token, n = (frequent[c].to_numpy() for c in ("token", "n"))
+        order = np.argsort(token)
+        token, n = token[order], n[order]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, own, _, kinds = self.numbered(batch.column("text").to_pylist())
+                if not len(row):
+                    continue
+                at = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
+                count = np.where(token[at] == own, n[at], 0) if len(token) else np.zeros(len(own), np.int64)
+                order = np.lexsort((own, count, row))
+                row, own = row[order], own[order]
+                size = np.bincount(row, minlength=batch.num_rows)
+                rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                use = rank <= self.bounds(size, kinds)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(own[use]), batch.column("id").take(pa.array(row[use]))], ["token", "id"])
+
+        return run
+
+    def bounds(self, size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        out = np.ones(np.broadcast_shapes(size.shape, kinds.shape), np.int64)
+        for by_chars, per in ((0, self.words_per_edit), (1, self.chars_per_edit)):
+            if per:
+                out = np.where(kinds == by_chars, np.maximum(1, size // per), out)
+        return out
 
     def compared(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of open lines that are near an earlier one of their block or pair of blocks."""
         for t, starts in groups(batches, ["token", "lo", "hi"]):
-            node, left, open_, text = t["node"].to_numpy(), t["left"].to_numpy(), t["open"].to_numpy(), t["text"].to_pylist()
+            node, left, open_ = t["node"].to_numpy(), t["left"].to_numpy(), t["open"].to_numpy()
             crossed = t["lo"].to_numpy() != t["hi"].to_numpy()
             out = []
             for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
                 _, once = np.unique(node[s:e], return_index=True)  # by id, so the earlier come first
                 once += s
-                own = [self.tokens(text[i]) for i in once]
-                numbers: dict = {}
-                rows, columns = [], []
-                for k, w in enumerate(own):
-                    times: Counter = Counter()
-                    for x in w:
-                        times[x] += 1
-                        rows.append(k)
-                        columns.append(numbers.setdefault((x, times[x]), len(numbers)))
-                common = overlaps(np.array(rows), np.array(columns), len(own))
-                size = np.array([len(w) for w in own])
-                per = np.array([(self.words_per_edit if isinstance(w[0], bytes) else self.chars_per_edit) or 0 for w in own])
-                short = np.minimum(size[:, None], size[None, :])
-                most = np.where(per > 0, np.maximum(1, short // np.maximum(per, 1)), 1)
+                if len(once) < 2 or not open_[once].any():
+                    continue
+                text = t["text"].take(pa.array(once)).to_pylist()
+                row, token, place, kinds = self.numbered(text)
+                _, columns = np.unique(token, return_inverse=True)
+                size = np.bincount(row, minlength=len(once))
+                common = overlaps(row, columns, len(once))
+                most = self.bounds(np.minimum(size[:, None], size[None, :]), kinds[:, None])
                 maybe = np.tril(np.maximum(size[:, None], size[None, :]) - common <= most, -1) & open_[once][:, None]
                 if crossed[s]:
                     maybe &= left[once][:, None] != left[once][None, :]
+                whole = np.full((len(once), size.max()), -1, np.int64)
+                whole[row, place] = columns
                 for i in np.flatnonzero(maybe.any(1)):
-                    if any(self.near(own[i], own[j]) for j in np.flatnonzero(maybe[i])):
+                    others = np.flatnonzero(maybe[i])
+                    # first as they stand side by side, then with tokens moved
+                    straight = (whole[others] != whole[i]).sum(1) <= most[i, others]
+                    if straight.any() or any(self.near(self.tokens(text[i]), self.tokens(text[j])) for j in others):
                         out.append(node[once[i]])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
 
@@ -554,7 +608,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
        shared_keys) are dropped. First each line meets the earliest line of each of its keys; lines that this doesn't
        settle meet all earlier lines of their keys of up to FEW lines.
     5. Pairs that share only keys of more lines have all but ``k`` tokens in common, where ``k`` is their bound, so they share one
-       of the ``k + 1`` rarest. Lines that share such a token are compared in blocks of BLOCK lines: no pair is written
+       of the ``k + 1`` first in any order; rare tokens come first. Lines that share such a token are compared in blocks of BLOCK lines: no pair is written
        down, yet a group of n lines that are nearly as far apart as the bound takes time in the square of n.
     6. The edit distance of every candidate pair is verified on the words or characters.
     """
@@ -585,7 +639,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        own = words.select("id", "text").join(pairs.select("id").union(pairs.select("earlier")).distinct(), "id", "left_semi")
+        own = cut(lookup(words.select("id", "text"), pairs.select("id").union(pairs.select("earlier")).distinct(), ["id"]))
         both = pairs.join(own, "id").join(own.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
         return both.select("id", "text", "other").mapInArrow(released(bound.checked), "id long")
 
@@ -607,20 +661,19 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
         release(spark)
 
         # lines that the earliest ones don't settle: all earlier lines of keys with few lines
-        hot = met.filter(F.col("kind") == HOT).groupBy("id").agg(F.sum("times").alias("less"))
-        undone = met.filter(F.col("kind") == PAIR).join(near, "id", "left_anti").join(hot, "id", "left").fillna(0, ["less"])
+        hot = met.filter(F.col("kind") == HOT).groupBy("id").agg(F.sum("times").alias("less"), F.min("need").alias("least"))
+        undone = met.filter(F.col("kind") == PAIR).join(near, "id", "left_anti").join(hot.select("id", "less"), "id", "left").fillna(0, ["less"])
         more = verified(enough(undone, F.col("less")))
 
         # pairs that share only keys of many lines: by the rarest tokens of those lines
-        hot = words.select("id", "text").join(hot.select("id"), "id").join(near.withColumn("done", F.lit(True)), "id", "left").select("id", "text", F.col("done").isNull().alias("open"))
+        hot = words.select("id", "text").join(hot.filter("less >= least").select("id"), "id").join(near.withColumn("done", F.lit(True)), "id", "left").select("id", "text", F.col("done").isNull().alias("open"))
         hot = cut(hot.dropDuplicates(["id"]))
-        found = cut(hot.select("id", "text").mapInArrow(released(bound.rare), "id long, most int, tokens array<long>"))
-        found = found.select("id", "most", F.explode("tokens").alias("token"))
-        common = found.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        # tokens that no other line has are the rarest of all
-        alone = found.join(common, "token", "left").groupBy("id", "most").agg(F.count_if(F.col("size").isNull()).alias("alone"))
-        ranked = found.join(common, "token").join(alone.select("id", "alone"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("size", "token")) + F.col("alone"))
-        few_tokens = ranked.filter("rank <= most").select("token", "id")
+        counts = hot.select("text").mapInArrow(released(bound.counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        counts = cut(counts)
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        frequent = counts.filter(F.col("n") > total / FREQUENT).toArrow()
+        few_tokens = hot.select("id", "text").mapInArrow(released(bound.rarest(frequent)), "token long, id long")
+        few_tokens = cut(few_tokens)
         few_tokens = cut(few_tokens.join(few_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "token"))
         rows = few_tokens.join(hot, "id").select("token", "size", F.col("id").alias("node"), "text", "open")
         compared = blocks(rows, "token", F.col("size"), BLOCK).select("token", "lo", "hi", "left", "node", "text", "open").mapInArrow(released(bound.compared), "id long")
