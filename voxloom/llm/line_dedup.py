@@ -527,7 +527,10 @@ class Bound:
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
 
     def rarest(self, frequent: pa.Table) -> Callable:
-        """(token, id) of as many of each line's rarest tokens as its bound and one more; ``frequent`` are the others' counts."""
+        """(token, id, n, chars) of as many of each line's rarest tokens as its bound and one more.
+
+        ``frequent`` has the counts of tokens that are not rare.
+        """
         token, n = (frequent[c].to_numpy() for c in ("token", "n"))
         order = np.argsort(token)
         token, n = token[order], n[order]
@@ -544,7 +547,8 @@ class Bound:
                 size = np.bincount(row, minlength=batch.num_rows)
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 use = rank <= self.bounds(size, kinds)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(own[use]), batch.column("id").take(pa.array(row[use]))], ["token", "id"])
+                row = row[use]
+                yield pa.RecordBatch.from_arrays([pa.array(own[use]), batch.column("id").take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(kinds[row].astype(bool))], ["token", "id", "n", "chars"])
 
         return run
 
@@ -555,6 +559,20 @@ class Bound:
                 out = np.where(kinds == by_chars, np.maximum(1, size // per), out)
         return out
 
+    def paired(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (id, earlier) of open lines and others that share a token and whose sizes fit."""
+        for t, starts in groups(batches, ["token"]):
+            ids, n, chars, open_ = (t[c].to_numpy() for c in ("id", "n", "chars", "open"))
+            start = np.repeat(starts, np.diff(starts, append=len(ids)))
+            i = np.flatnonzero(open_)
+            for d in range(1, FEW):
+                i = i[i - d >= start[i]]
+                if not len(i):
+                    break
+                j = i - d
+                fit = (ids[j] < ids[i]) & (chars[i] == chars[j]) & (np.abs(n[i] - n[j]) <= self.bounds(np.minimum(n[i], n[j]), chars[i].astype(int)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[fit]]), pa.array(ids[j[fit]])], ["id", "earlier"])
+
     def compared(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of open lines that are near an earlier one of their block or pair of blocks."""
         for t, starts in groups(batches, ["token", "lo", "hi"]):
@@ -608,8 +626,8 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
        shared_keys) are dropped. First each line meets the earliest line of each of its keys; lines that this doesn't
        settle meet all earlier lines of their keys of up to FEW lines.
     5. Pairs that share only keys of more lines have all but ``k`` tokens in common, where ``k`` is their bound, so they share one
-       of the ``k + 1`` first in any order; rare tokens come first. Lines that share such a token are compared in blocks of BLOCK lines: no pair is written
-       down, yet a group of n lines that are nearly as far apart as the bound takes time in the square of n.
+       of the ``k + 1`` first in any order; rare tokens come first. Lines of a token of up to FEW lines make pairs; others are compared
+       in blocks of BLOCK lines: no pair is written down, yet a group of n lines that are nearly as far apart as the bound takes time in the square of n.
     6. The edit distance of every candidate pair is verified on the words or characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -663,7 +681,6 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
         # lines that the earliest ones don't settle: all earlier lines of keys with few lines
         hot = met.filter(F.col("kind") == HOT).groupBy("id").agg(F.sum("times").alias("less"), F.min("need").alias("least"))
         undone = met.filter(F.col("kind") == PAIR).join(near, "id", "left_anti").join(hot.select("id", "less"), "id", "left").fillna(0, ["less"])
-        more = verified(enough(undone, F.col("less")))
 
         # pairs that share only keys of many lines: by the rarest tokens of those lines
         hot = words.select("id", "text").join(hot.filter("less >= least").select("id"), "id").join(near.withColumn("done", F.lit(True)), "id", "left").select("id", "text", F.col("done").isNull().alias("open"))
@@ -672,12 +689,14 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
         counts = cut(counts)
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         frequent = counts.filter(F.col("n") > total / FREQUENT).toArrow()
-        few_tokens = hot.select("id", "text").mapInArrow(released(bound.rarest(frequent)), "token long, id long")
+        few_tokens = hot.select("id", "text").mapInArrow(released(bound.rarest(frequent)), "token long, id long, n int, chars boolean")
         few_tokens = cut(few_tokens)
         few_tokens = cut(few_tokens.join(few_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "token"))
-        rows = few_tokens.join(hot, "id").select("token", "size", F.col("id").alias("node"), "text", "open")
+        small = few_tokens.filter(F.col("size") <= FEW).join(hot.select("id", "open"), "id").select("token", "id", "n", "chars", "open")
+        small = small.repartition("token").sortWithinPartitions("token", "id").mapInArrow(released(bound.paired), "id long, earlier long")
+        rows = few_tokens.filter(F.col("size") > FEW).join(hot, "id").select("token", "size", F.col("id").alias("node"), "text", "open")
         compared = blocks(rows, "token", F.col("size"), BLOCK).select("token", "lo", "hi", "left", "node", "text", "open").mapInArrow(released(bound.compared), "id long")
-        near = near.union(more).union(compared)
+        near = near.union(verified(enough(undone, F.col("less")).union(small).distinct())).union(compared)
     near = left.join(near.distinct(), "id").select("row", "doc_id", "line")
     return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
