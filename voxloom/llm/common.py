@@ -165,12 +165,14 @@ def _hash_words(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hash and start of each word in ``data``: a polynomial in the places of its bytes, taken from running sums."""
     b = np.frombuffer(data, np.uint8)
     word = np.zeros(len(b) + 2, bool)
-    word[1:-1] = inside[b]
+    word[1:-1] = inside.take(b)
     edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
     up, down = (_UP, _DOWN) if len(b) <= len(_UP) else (_powers(int(_BASE), len(b)), _powers(int(_DOWN[1]), len(b)))
     run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=run[1:])
+    value = _BYTE.take(b)
+    value *= up[: len(b)]
+    np.cumsum(value, out=run[1:])
     return mix((run[ends] - run[starts]) * down[starts]), starts
 
 

@@ -25,9 +25,9 @@ FREQUENT = 1 << 16
 KEYS_HELD = 1 << 20
 
 
-def line_names(lines: list[str]) -> np.ndarray:
+def line_names(lines: list[bytes]) -> np.ndarray:
     """128-bit digests as two 64-bit numbers by line; the first names the line where its keys are joined."""
-    digests = b"".join([xxhash.xxh3_128_digest(line.encode("utf-8", "replace")) for line in lines])
+    digests = b"".join(map(xxhash.xxh3_128_digest, lines))
     return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
@@ -98,9 +98,12 @@ def tokens(line: str, least_words: int, chars_per_edit: int | None) -> list:
     return list(line) if chars_per_edit and len(line) >= chars_per_edit else []
 
 
-def coded(lines: list[str], least_words: int, chars_per_edit: int | None) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-    """The tokens of ``lines`` as numbers: whether they are characters, which lines, their codes, and offsets by line."""
-    data = [line.encode("utf-8", "replace") for line in lines]
+def encoded(lines: list[str]) -> list[bytes]:
+    return [line.encode("utf-8", "replace") for line in lines]
+
+
+def coded(lines: list[str], data: list[bytes], least_words: int, chars_per_edit: int | None) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of ``lines`` (``data`` as bytes) as numbers: whether they are characters, which lines, their codes, and offsets by line."""
     codes, offsets = word_hashes(data, SPACES)
     n = np.diff(offsets)
     long = n >= least_words
@@ -236,7 +239,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number += found
                 lines += filter(None, own)
                 sizes.append(len(found))
-            names, part = line_names(lines), batch.slice(at, len(texts))
+            names, part = line_names(encoded(lines)), batch.slice(at, len(texts))
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), _lists(np.array(number, np.int32), sizes), _lists(names[:, 0].copy(), sizes), _lists(names[:, 1].copy(), sizes)], ["row", "doc_id", "line", "name", "check"])
 
 
@@ -248,8 +251,9 @@ def _keys(least_words: int, words_per_edit: int | None, chars_per_edit: int | No
 
     def of(texts: list[str]) -> Iterator[np.ndarray]:
         lines = list({line.strip() for text in texts for line in text.split("\n")})
-        every = line_names(lines)[:, 0]
-        for by_chars, which, codes, offsets in coded(lines, least_words, chars_per_edit):
+        data = encoded(lines)
+        every = line_names(data)[:, 0]
+        for by_chars, which, codes, offsets in coded(lines, data, least_words, chars_per_edit):
             per = chars_per_edit if by_chars else words_per_edit
             names = every[which]
             line, keys = half_keys(codes, offsets, by_chars)
@@ -275,13 +279,20 @@ def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shared() -> np.ndarray:
         order = np.argsort(keys)
-        k, n = keys[order], names[order]
-        first = np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
-        differ = np.minimum.reduceat(n, first) != np.maximum.reduceat(n, first) if len(first) else first > 0
+        k = keys[order]
+        again = np.zeros(len(k) + 1, bool)
+        again[1:-1] = k[1:] == k[:-1]
+        use = again[1:] | again[:-1]  # most keys have one entry only
         if len(known):
-            differ |= known[np.minimum(np.searchsorted(known, k[first]), len(known) - 1)] == k[first]
-        out = np.zeros(len(k), bool)
-        out[order] = np.repeat(differ, np.diff(first, append=len(k)))
+            use |= known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
+        order, k = order[use], k[use]
+        n, first = names[order], np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
+        out = np.zeros(len(keys), bool)
+        if len(first):
+            differ = np.minimum.reduceat(n, first) != np.maximum.reduceat(n, first)
+            if len(known):
+                differ |= known[np.minimum(np.searchsorted(known, k[first]), len(known) - 1)] == k[first]
+            out[order] = np.repeat(differ, np.diff(first, append=len(k)))
         return out
 
     def out(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -467,14 +478,14 @@ def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
                     own += ids[at + k]
                     line += [lines[i >> 1].strip() for i in wanted[at + k]]
                     half += [i & 1 for i in wanted[at + k]]
-                size, chars, keys = np.zeros(len(line), np.int32), np.zeros(len(line), bool), [()] * len(line)
-                for by_chars, which, codes, offsets in coded(line, least_words, chars_per_edit):
+                size, chars, keys, data = np.zeros(len(line), np.int32), np.zeros(len(line), bool), [()] * len(line), encoded(line)
+                for by_chars, which, codes, offsets in coded(line, data, least_words, chars_per_edit):
                     size[which], chars[which] = np.diff(offsets), by_chars
                     for i, a, b in zip(which, offsets, offsets[1:]):  # noqa: B905
                         if half[i]:
                             whole, less = neighbourhood(codes[a:b])
                             keys[i] = np.concatenate([[np.int64(whole)], less])
-                columns = ((own, pa.int64()), (line_names(line)[:, 0].copy(), pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
+                columns = ((own, pa.int64()), (line_names(data)[:, 0].copy(), pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], ["id", "name", "text", "size", "chars", "keys"])
 
     return run
@@ -505,7 +516,7 @@ class Bound:
     def numbered(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Line, hash and place of each token, numbered where it repeats in its line; and the kind of tokens by line."""
         rows, hashes, places, kinds = [], [], [], np.zeros(len(lines), np.int64)
-        for by_chars, which, codes, offsets in coded(lines, self.least_words, self.chars_per_edit):
+        for by_chars, which, codes, offsets in coded(lines, encoded(lines), self.least_words, self.chars_per_edit):
             n = np.diff(offsets)
             row = np.repeat(which, n)
             kinds[which] = by_chars
@@ -638,7 +649,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     distinct = cut(lines.groupBy("name", "check").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
     release(spark)
 
-    equal = lines.join(distinct.filter("n > 1").select("name", "check", "first"), ["name", "check"]).filter("row <> first.row or line <> first.line or not doc_id <=> first.doc_id").select("row", "doc_id", "line")
+    equal = lines.join(distinct.filter("n > 1").select("name", "check", "first").hint("shuffle_hash"), ["name", "check"]).filter("row <> first.row or line <> first.line or not doc_id <=> first.doc_id").select("row", "doc_id", "line")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = docs.select("text").mapInArrow(released(_keys(least_words, words_per_edit, chars_per_edit, 4 * parts)), "bucket int, keys binary, names binary")
@@ -647,7 +658,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
 
     # places are sorted over all partitions, so that the numbers are in their order
     half = F.max((F.col("key") % 2 == 0).cast("int")).alias("half")
-    left = distinct.select("name", "first").join(busy.groupBy("name").agg(half), "name").select("first.*", "half")
+    left = distinct.select("name", "first").join(busy.groupBy("name").agg(half).hint("shuffle_hash"), "name").select("first.*", "half")
     left = cut(left.orderBy("doc_id", "row", "line").withColumn("id", F.monotonically_increasing_id()))
     own = F.sort_array(F.collect_list(F.struct((F.col("line") * 2 + F.col("half")).cast("int").alias("wanted"), F.col("id").alias("ids"))))
     wanted = left.groupBy("row", "doc_id").agg(own.alias("own")).select("row", "doc_id", "own.wanted", "own.ids")
@@ -666,7 +677,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     if not words_per_edit and not chars_per_edit:
         near = verified(pairs.distinct())
     else:
-        placed = busy.filter("key % 2 <> 0").join(words.select("name", "id", "size", "chars"), "name").mapInArrow(released(_placed(4 * parts)), "bucket int, keys binary, ids binary, about binary")
+        placed = busy.filter("key % 2 <> 0").join(words.select("name", "id", "size", "chars").hint("shuffle_hash"), "name").mapInArrow(released(_placed(4 * parts)), "bucket int, keys binary, ids binary, about binary")
         met = cut(placed.repartition(parts, "bucket").mapInArrow(released(_stars(words_per_edit, chars_per_edit)), "kind tinyint, id long, earlier long, times int, need int"))
 
         def enough(pairs: DataFrame, less: Column) -> DataFrame:
