@@ -11,7 +11,7 @@ from voxloom.llm import near_dedup
 from voxloom.llm.exact_dedup import exact_dedup
 from voxloom.llm import line_dedup
 from voxloom.llm.common import SPACES, word_hashes
-from voxloom.llm.line_dedup import dedup_lines, half_keys, neighbourhood, within, within_one
+from voxloom.llm.line_dedup import dedup_lines, half_keys, neighbourhoods, within, within_one
 from voxloom.llm.near_dedup import keep_one, least_matches, near_join
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -179,7 +179,8 @@ def test_neighbourhoods_meet_within_one_edit():
             b.insert(at, "new")
         keys = [set(half_keys(word_codes(w), np.array([0, len(w)]), False)[1].tolist()) for w in (a, b)]
         assert within_one(a, b) and keys[0] & keys[1]
-        (x, xs), (y, ys) = neighbourhood(word_codes(a)), neighbourhood(word_codes(b))
+        both = neighbourhoods(word_codes(a + b), np.array([0, len(a), len(a) + len(b)]))
+        (x, *xs), (y, *ys) = both[: len(a) + 1], both[len(a) + 1 :]
         assert (kind == 0 and xs[at] == ys[at]) or (kind == 1 and y == xs[at]) or (kind == 2 and x == ys[at])
     assert not within_one(["a", "b"], ["b", "a"])
 

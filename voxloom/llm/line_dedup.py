@@ -54,23 +54,29 @@ def half_keys(codes: np.ndarray, offsets: np.ndarray, by_chars: bool) -> tuple[n
     return np.tile(np.arange(len(n)), 4), np.concatenate(keys).view(np.int64)
 
 
-def neighbourhood(codes: np.ndarray) -> tuple[int, np.ndarray]:
-    """Key of a line and of each variant with one word deleted.
+def neighbourhoods(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each line its key, then the key of each variant that lacks one token.
 
-    A key is a polynomial in the places of the words, so all n variants take one pass: words after the deleted one
-    move forward by one place.
+    Lines are ``codes[offsets[i]:offsets[i + 1]]``. A key is a polynomial in the places of the tokens, so running sums give
+    all variants: tokens after the one that is lacking move forward by one place.
     """
-    n = len(codes)
-    powers = np.empty(n + 1, np.uint64)
+    n, at = np.diff(offsets), offsets[:-1]
+    powers = np.full(n.max(initial=0) + 2, _BASE, np.uint64)
     powers[0] = 1
-    powers[1:] = _BASE
     powers = np.multiply.accumulate(powers)
+    place = np.arange(len(codes)) - np.repeat(at, n)
     c = mix(codes)
-    here, moved = c * powers[1:], c * powers[:-1]
-    before = np.concatenate([[np.uint64(0)], np.cumsum(here)])
-    after = np.concatenate([np.cumsum(moved[::-1])[::-1], [np.uint64(0)]])
-    whole = mix(before[-1:] + np.uint64(n))[0]
-    return int(whole.astype(np.int64)), mix(before[:-1] + after[1:] + np.uint64(n - 1)).view(np.int64)
+    here, moved = np.zeros(len(codes) + 1, np.uint64), np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(c * powers[place + 1], out=here[1:])
+    np.cumsum(c * powers[place], out=moved[1:])
+    out = np.empty(len(codes) + len(n), np.uint64)
+    whole = at + np.arange(len(n))
+    out[whole] = here[offsets[1:]] - here[at] + n.astype(np.uint64)
+    less = np.ones(len(out), bool)
+    less[whole] = False
+    sizes = np.repeat(n, n).astype(np.uint64)
+    out[less] = here[:-1] - np.repeat(here[at], n) + np.repeat(moved[offsets[1:]], n) - moved[1:] + sizes - np.uint64(1)
+    return mix(out).view(np.int64)
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -478,15 +484,18 @@ def _texts_of_lines(least_words: int, chars_per_edit: int | None) -> Callable:
                     own += ids[at + k]
                     line += [lines[i >> 1].strip() for i in wanted[at + k]]
                     half += [i & 1 for i in wanted[at + k]]
-                size, chars, keys, data = np.zeros(len(line), np.int32), np.zeros(len(line), bool), [()] * len(line), encoded(line)
+                size, chars, data = np.zeros(len(line), np.int32), np.zeros(len(line), bool), encoded(line)
+                half, keys, of = np.array(half, bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for by_chars, which, codes, offsets in coded(line, data, least_words, chars_per_edit):
                     size[which], chars[which] = np.diff(offsets), by_chars
-                    for i, a, b in zip(which, offsets, offsets[1:]):  # noqa: B905
-                        if half[i]:
-                            whole, less = neighbourhood(codes[a:b])
-                            keys[i] = np.concatenate([[np.int64(whole)], less])
-                columns = ((own, pa.int64()), (line_names(data)[:, 0].copy(), pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()), (keys, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], ["id", "name", "text", "size", "chars", "keys"])
+                    n, use = np.diff(offsets), half[which]
+                    keys.append(neighbourhoods(codes[np.repeat(use, n)], np.concatenate([[0], np.cumsum(n[use])])))
+                    of.append(np.repeat(which[use], n[use] + 1))
+                of = np.concatenate(of)
+                held = np.bincount(of, minlength=len(line))
+                keys = _lists(np.concatenate(keys)[np.argsort(of, kind="stable")], held)
+                columns = ((own, pa.int64()), (line_names(data)[:, 0].copy(), pa.int64()), (line, pa.string()), (size, pa.int32()), (chars, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, kind) for v, kind in columns), keys], ["id", "name", "text", "size", "chars", "keys"])
 
     return run
 
