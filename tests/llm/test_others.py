@@ -132,6 +132,30 @@ def test_matches_against_brute_force(spark):
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == 64 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_contamination_of_repetitive_texts_in_bounded_memory():
+    import resource
+
+    items = [(f"i{k}", "a " * (200 + k)) for k in range(10)] + [("near", "a " * 100 + "b " + "a " * 100), ("short", "tiny one")]
+    index = decontaminate.Index.of(items, 0.05)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = index.find("a " * 20000)
+    assert [i for i, d, _ in got] == [*(f"i{k}" for k in range(10)), "near"] and got[-1][1] == 1
+    assert {i for i, *_ in index.find("a " * 500000 + "tiny one")} == {*(f"i{k}" for k in range(10)), "near", "short"}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kilobytes
+
+
+def test_contamination_in_many_blocks_and_with_ids_of_any_type(spark):
+    rng = np.random.default_rng(8)
+    items = [(f"item{i}", " ".join(f"word{rng.integers(500)}" for _ in range(12))) for i in range(9)]
+    docs = [(i, f"before {items[i % 9][1]} after {items[(i * 2) % 9][1]}", "kept") for i in range(12)] + [(20, None, None), (20, None, None), (21, "clean", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, found string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one = {r.doc_id: r.matches for r in decontaminate.matches(df, bench).collect()}
+    rows = decontaminate.matches(df, bench, most_chars=100).collect()
+    assert len(rows) == len(docs) and {r.doc_id: r.matches for r in rows} == one
+    assert {m.item_id for m in one[3]} == {"item3", "item6"} and one[20] == [] and rows[0].asDict().keys() == {"doc_id", "text", "found", "matches"}
+
+
 # -- SentencePiece
 
 needs_model = pytest.mark.skipif(not os.path.exists(PIECE_MODEL), reason="the vocabulary file isn't here")

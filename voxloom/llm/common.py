@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -55,12 +56,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Only where the session has none (a local test), one is made and set.
+    Only a session in local mode without one (a test) gets a folder of this machine; on a cluster that is an error.
     """
-    sc = spark.sparkContext
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if named is None and not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-"))
+    return named or sc.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on whatever file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -83,14 +92,15 @@ BROADCAST_BYTES = 24 << 20
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
-    """``big`` joined to ``small`` (keys, arrays of numbers) on ``keys``, where nulls are equal.
+    """``big`` joined to ``small`` (keys and other columns) on ``keys``, where nulls are equal.
 
     ``small`` is computed and its size taken; up to ``most`` bytes it is broadcast, so that the rows of ``big`` stay
     where they are. Beyond, both sides are shuffled.
     """
     small = cut(small.toDF(*(f"__small_{c}" if c in keys else c for c in small.columns)))
-    listed = [c for c in small.columns if not c.startswith("__small_")]
-    size = small.agg(F.coalesce(F.sum(F.lit(48) + sum((F.size(c) * 8 for c in listed), F.lit(0))), F.lit(0))).first()[0]
+    listed = [f for f in small.schema if not f.name.startswith("__small_")]
+    own = lambda f: F.size(f.name) * 8 if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() != "struct" else F.octet_length(F.to_json(f.name)) if f.dataType.typeName() in ("array", "struct", "map") else F.octet_length(F.col(f.name).cast("string")) + 8
+    size = small.agg(F.coalesce(F.sum(F.lit(48) + sum((F.coalesce(own(f), F.lit(0)) for f in listed), F.lit(0))), F.lit(0))).first()[0]
     on = [F.col(k).eqNullSafe(F.col(f"__small_{k}")) for k in keys]
     return big.join(F.broadcast(small) if size <= most else small.hint("shuffle_merge"), on, how).drop(*(f"__small_{k}" for k in keys))
 

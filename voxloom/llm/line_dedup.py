@@ -628,7 +628,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
     """(row, doc_id, lines): which lines of each row of ``docs`` (row, doc_id, text) have an earlier equal.
 
     ``row`` is a hash of the text, so with the id it names a row however often that is computed. Rows of the same id and
-    text are one: all of them keep what the first one keeps.
+    text are one here; dedup_lines() tells them apart.
     Lines are what newlines separate, compared without the white space around them; blank lines have no equal.
     Earlier is by (doc_id, row, number of the line). A line goes if an earlier line is the same or, where both have
     ``least_words`` words or more, within an edit distance of one word for each ``words_per_edit`` words of the shorter
@@ -725,13 +725,25 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``docs`` without the lines that repeated_lines() finds, and how many each row lost (0 or more).
 
     Rows stay, also those that lose all their lines; their text is then what blank lines leave. A null text stays
-    null and a text without repeated lines is not touched. A column named ``dropped_col`` is replaced.
+    null and a text without repeated lines is not touched. Of rows of the same id and text one is the first; the others lose
+    all their lines. A column named ``dropped_col`` is replaced.
     """
     number, lost = "__row", "__lost"
     base = docs.drop(dropped_col).withColumn(number, F.xxhash64(F.col(text_col).cast("string")))
     found = repeated_lines(base.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least_words, words_per_edit, chars_per_edit)
     found = found.select(F.col("row").alias(number), F.col("doc_id").alias(id_col), F.col("lines").alias(lost))
-    joined = lookup(base, found, [number, id_col], "left").drop(number)
+    again = cut(base.filter(F.trim(F.col(text_col).cast("string")) != "").groupBy(number, id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
+    joined = lookup(base, found, [number, id_col], "left")
+    if again.limit(1).count():  # rows of the same id and text: written down with a number, all but the first lose every line
+        marked = lookup(joined, again, [number, id_col], "left")
+        same = cut(marked.filter("__n is not null").withColumn("__number", F.monotonically_increasing_id()))
+        first = same.groupBy(number, id_col).agg(F.min("__number").alias("__first"))
+        same = lookup(same, first, [number, id_col], "left")
+        every = F.sequence(F.lit(0), F.size(F.split(F.col(text_col).cast("string"), "\n")) - 1)
+        filled = F.filter(every, lambda i: ~F.split(F.col(text_col).cast("string"), "\n")[i].rlike(r"(?U)^[\s\x1c-\x1f]*$"))
+        same = same.withColumn(lost, F.when(F.col("__number") > F.col("__first"), filled).otherwise(F.col(lost)))
+        joined = marked.filter("__n is null").drop("__n").unionByName(same.drop("__n", "__number", "__first"))
+    joined = joined.drop(number)
     names = [c for c in joined.columns if c != lost]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema if f.name != lost) + f"`{dropped_col}` int"
 

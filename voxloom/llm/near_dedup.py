@@ -217,11 +217,20 @@ def near_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **parameters) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    """The rows of ``docs`` that stay, one of each class, with all their columns.
+
+    Null, empty and blank texts are in no class with another and all stay, repeated ones too. Of repeated rows that stay, as
+    many are kept as near_classes() keeps.
+    """
     key = "__row_key"
     base = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
     classes = cut(near_classes(docs, text_col, id_col, **parameters).select(F.col("row_key").alias(key), "kept"))
-    out = base.join(classes.filter("kept").select(key).distinct(), key, "left_semi")
-    if classes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).filter("n > kept and kept > 0").limit(1).count():
-        out = out.dropDuplicates([key])  # rows of the same id and text: one of each that is kept
+    counts = classes.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.count_if("kept").alias("__kept")).filter("__kept > 0")
+    out = base.join(counts.filter("__kept = __n").select(key), key, "left_semi")
+    # rows of the same id and text, of which fewer stay: numbered where they lie, and written down so that the numbers hold
+    part = base.join(counts.filter("__kept < __n"), key)
+    if counts.filter("__kept < __n").limit(1).count():
+        part = cut(part.withColumn("__number", F.monotonically_increasing_id()))
+        first = part.groupBy(key).agg(F.min("__number").alias("__number"))  # a class keeps one row
+        out = out.unionByName(part.join(first, [key, "__number"], "left_semi").drop("__n", "__kept", "__number"))
     return out.drop(key)

@@ -34,7 +34,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold("doc_id", 4) == 2
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
     return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -50,14 +50,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold("doc_id", 5) == 0
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     profiles = language_id.fit(docs.filter(~held_out))
     return language_id.identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold("doc_id", 3) == 1
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "quality")
     return quality.score(docs, quality.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
