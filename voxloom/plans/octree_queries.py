@@ -17,12 +17,12 @@ from .views import CELLS, XYZ, cells, table, weight
 REGISTRY = query = Registry()
 CONFIG = OctreeConfig(8.0, 1.0, 3)
 
-#: One batch of line items as distinct points.
-_PTS = f"{CELLS}, pts AS (SELECT DISTINCT pid, x, y, z, f FROM cells WHERE b = 0)"
+#: Line items as distinct points, whatever their batch.
+_PTS = f"{CELLS}, pts AS (SELECT DISTINCT pid, x, y, z, f FROM cells)"
 
 
 def _points(spark, d) -> Points:
-    df = cells(spark, d).filter("b = 0").select("pid", F.lit(0).alias("b"), *(F.col(a).cast("double").alias(a) for a in XYZ), "f").distinct()
+    df = cells(spark, d).select("pid", F.lit(0).alias("b"), *(F.col(a).cast("double").alias(a) for a in XYZ), "f").distinct()
     return Points(df, XYZ, ("f",))
 
 
@@ -110,10 +110,30 @@ def _(spark, d):
     return octree.overlaps(_dense(spark, d))
 
 
-query("refine_variance")(lambda s, d: octree.refine_by_variance(_level0(s, d), 5e11).df)
-query("refine_if")(lambda s, d: octree.refine_if(_level0(s, d), lambda x: (F.col("x") % 3 == 0)).df)
-query("resample_uniform")(lambda s, d: octree.resample_uniform(_dense(s, d), 1).df)
-query("resample_to")(lambda s, d: octree.resample_to(_dense(s, d), octree.refine(_level0(s, d), 1)).df)
+_STATS = ", ".join(f"v{l} AS (SELECT {_cell(l)}, CAST(sum(CAST(f AS DOUBLE) * f) AS DOUBLE) / count(*) - pow(CAST(sum(f) AS DOUBLE) / count(*), 2) > 5e11 AS hot FROM pts GROUP BY 1, 2, 3)" for l in range(3))
+_KID = "kid(i, j, k) AS (VALUES (0,0,0),(1,0,0),(0,1,0),(1,1,0),(0,0,1),(1,0,1),(0,1,1),(1,1,1))"
+
+
+def _splitting(hot: str) -> str:
+    """The levels of a tree whose leaves split where ``hot``, which may name the level."""
+    parts = [f"s0 AS (SELECT *, {hot.format(0)} AS split FROM c0_ c)"]
+    for level in (1, 2):
+        parts.append(f"s{level} AS (SELECT *, {hot.format(level)} AS split FROM (SELECT x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z, f FROM s{level - 1}, kid WHERE split) c)")
+    parts.append("s3 AS (SELECT x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z, f, false AS split FROM s2, kid WHERE split)")
+    return f"{_PTS}, c0_ AS (SELECT {_cell(0)}, CAST(sum(f) AS BIGINT) AS f FROM pts GROUP BY 1, 2, 3), {_KID}, {_STATS}, " + ", ".join(parts)
+
+
+_LEVELS = " UNION ALL ".join(f"SELECT CAST({l} AS INTEGER) AS level, x, y, z, f FROM s{l} WHERE NOT split" for l in range(4))
+query("refine_variance", f"WITH {_splitting('coalesce((SELECT hot FROM v{0} v WHERE v.x = c.x AND v.y = c.y AND v.z = c.z), false)')} {_LEVELS}")(lambda s, d: octree.refine_by_variance(_level0(s, d), 5e11).df)
+query("refine_if", f"WITH {_splitting('c.x % 3 = 0')} {_LEVELS}")(lambda s, d: octree.refine_if(_level0(s, d), lambda x: (F.col("x") % 3 == 0)).df)
+query(
+    "resample_uniform",
+    f"WITH {_TREE}, two AS (SELECT x, y, z, CAST(f AS DOUBLE) AS f FROM leaf WHERE level = 2 UNION ALL SELECT x // 2, y // 2, z // 2, avg(f) FROM leaf WHERE level = 3 GROUP BY 1, 2, 3) SELECT CAST(1 AS INTEGER) AS level, x, y, z, CAST(f AS DOUBLE) AS f FROM leaf WHERE level = 1 UNION ALL SELECT 1, x * 2 + i, y * 2 + j, z * 2 + k, f FROM leaf, kid WHERE level = 0 UNION ALL SELECT 1, x // 2, y // 2, z // 2, avg(f) FROM two GROUP BY 2, 3, 4",
+)(lambda s, d: octree.resample_uniform(_dense(s, d), 1).df)
+query(
+    "resample_to",
+    f"WITH {_TREE}, ones AS (SELECT x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z FROM c0, kid), lifted AS (SELECT x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z, f FROM leaf, kid WHERE level = 0 UNION ALL SELECT x >> (level - 1), y >> (level - 1), z >> (level - 1), f FROM leaf WHERE level > 0) SELECT CAST(1 AS INTEGER) AS level, x, y, z, coalesce(avg(f), 0) AS f FROM ones LEFT JOIN lifted USING (x, y, z) GROUP BY x, y, z",
+)(lambda s, d: octree.resample_to(_dense(s, d), octree.refine(_level0(s, d), 1)).df)
 query("octree_geometry", f"WITH {_TREE} SELECT level, x, y, z, 8.0::DOUBLE / (1 << level) AS size, pow(8.0::DOUBLE / (1 << level), 3) AS volume, {', '.join(f'{a} * 8.0::DOUBLE / (1 << level) AS lo_{a}, ({a} + 1) * 8.0::DOUBLE / (1 << level) AS hi_{a}, ({a} + 0.5) * 8.0::DOUBLE / (1 << level) AS center_{a}' for a in XYZ)} FROM leaf")(lambda s, d: octree.geometry(_dense(s, d)))
 query("octree_global_average", f"WITH {_TREE} SELECT CAST(sum(f * (512 // (1 << (3 * level)))) AS DOUBLE) / sum(512 // (1 << (3 * level))) AS f FROM leaf")(lambda s, d: octree.global_average(_dense(s, d)))
 query("octree_json")(lambda s, d: leaves_json(_dense(s, d)))
@@ -176,8 +196,8 @@ def _(spark, d):
 query("clips")(lambda s, d: clips(_hours(s, d), 2, 2, key=["user_id"]))
 
 
-@query("radius_label", f"WITH {CELLS}, t AS (SELECT DISTINCT b, x AS tx, y AS ty, z AS tz FROM cells WHERE pid % 500 = 0), v AS (SELECT DISTINCT b, x, y, z FROM cells) SELECT b, x, y, z, CAST(EXISTS (SELECT 1 FROM t WHERE t.b = v.b AND (x - tx) * (x - tx) + (y - ty) * (y - ty) + (z - tz) * (z - tz) <= 4) AS INTEGER) AS label FROM v")
+@query("radius_label", f"WITH {CELLS}, t AS (SELECT DISTINCT b, x AS tx, y AS ty, z AS tz FROM cells WHERE f > 9000000), v AS (SELECT DISTINCT b, x, y, z FROM cells) SELECT b, x, y, z, CAST(EXISTS (SELECT 1 FROM t WHERE t.b = v.b AND (x - tx) * (x - tx) + (y - ty) * (y - ty) + (z - tz) * (z - tz) <= 4) AS INTEGER) AS label FROM v")
 def _(spark, d):
-    t = cells(spark, d).filter("pid % 500 = 0").select("b", *(F.col(a).alias(f"t{a}") for a in XYZ)).distinct()
+    t = cells(spark, d).filter("f > 9000000").select("b", *(F.col(a).alias(f"t{a}") for a in XYZ)).distinct()
     v = cells(spark, d).select("b", *XYZ).distinct()
     return radius_labels(v, t, 2.0, key=["b"]).select("b", *XYZ, F.col("label").cast("int").alias("label"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,13 +58,40 @@ def _(spark, d):
     return splats.transform(gaussians(spark, d), (1, 0, 0, 0), (1, -2, 0.5)).select("gid", *splats.P)
 
 
-@query("knn", f"WITH {_GAUSS}, g AS (SELECT * FROM gauss WHERE gid < 200) SELECT a.gid, b.gid AS other FROM g a JOIN g b ON a.gid <> b.gid QUALIFY row_number() OVER (PARTITION BY a.gid ORDER BY (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz), b.gid) <= 3")
+@query("knn", f"WITH {_GAUSS} SELECT a.gid, b.gid AS other FROM gauss a JOIN gauss b ON a.gid <> b.gid QUALIFY row_number() OVER (PARTITION BY a.gid ORDER BY (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz), b.gid) <= 3")
 def _(spark, d):
-    return splats.knn(gaussians(spark, d).filter("gid < 200"), 3, 0.1).select("gid", "other")
+    return splats.knn(gaussians(spark, d), 3, 0.1).select("gid", "other")
 
 
-# the SQL of knn compares all pairs and is kept to some ids; this one has no SQL
-query("knn_all")(lambda s, d: splats.knn(gaussians(s, d), 3, 0.1).select("gid", "other"))
+#: The Gaussians in full, with the rotation matrix r00 to r22.
+_E = lambda i: f"floor(embedding[{i}]::DOUBLE * 64) / 64"
+_WHOLE = f"""raw AS (SELECT vec_id AS gid, {_E(1)} AS px, {_E(2)} AS py, {_E(3)} AS pz, 1.0::DOUBLE AS qw, {_E(4)} / 2 AS qx, {_E(5)} / 2 AS qy, {_E(6)} / 2 AS qz,
+  0.02::DOUBLE + abs({_E(7)}) / 8 AS sx, 0.02::DOUBLE + abs({_E(8)}) / 8 AS sy, 0.02::DOUBLE + abs({_E(9)}) / 8 AS sz, (vec_id % 65) / 64.0::DOUBLE AS opacity,
+  abs({_E(10)}) AS r, abs({_E(11)}) AS g, abs({_E(12)}) AS b, {_E(13)} AS vx, {_E(14)} AS vy, {_E(15)} AS vz FROM embeddings),
+unit AS (SELECT *, qw / n AS w, qx / n AS x, qy / n AS y, qz / n AS z FROM (SELECT *, sqrt(qw * qw + qx * qx + qy * qy + qz * qz) AS n FROM raw)),
+turned AS (SELECT *, 1 - 2 * (y * y + z * z) AS r00, 2 * (x * y - w * z) AS r01, 2 * (x * z + w * y) AS r02, 2 * (x * y + w * z) AS r10, 1 - 2 * (x * x + z * z) AS r11, 2 * (y * z - w * x) AS r12,
+  2 * (x * z - w * y) AS r20, 2 * (y * z + w * x) AS r21, 1 - 2 * (x * x + y * y) AS r22 FROM unit)"""
+
+
+def _sum_sql(i: int, j: int, scale: str) -> str:
+    return "(" + " + ".join(f"r{i}{k} * r{j}{k} * {scale.format('s' + a)}" for k, a in enumerate("xyz")) + ")"
+
+
+def _entries(scale: str) -> dict[str, str]:
+    return {f"{'xyz'[i]}{'xyz'[j]}": _sum_sql(i, j, scale) for i in range(3) for j in range(i, 3)}
+
+
+def _real(sql: str, name: str, digits: int = 9) -> str:
+    """Rounded, and never minus zero."""
+    return f"round({sql}, {digits}) + 0.0::DOUBLE AS {name}"
+
+
+def _rounded(df, keys=("gid",), digits: int = 9):
+    return df.select(*keys, *(F.round(c, digits).alias(c) for c in df.columns if c not in keys))
+
+
+_COV = ", ".join(f"{v} AS c{n}" for n, v in _entries("({0} * {0})").items())
+_MAHALANOBIS = " + ".join(f"pow((r0{k} * (0.1 - px) + r1{k} * (0.2 - py) + r2{k} * (0.3 - pz)) / s{a}, 2)" for k, a in enumerate("xyz"))
 
 
 def _next_pairs(df):
@@ -74,19 +102,61 @@ def _next_pairs(df):
     return following.crossJoin(F.broadcast(lowest)).select("gid_a", F.coalesce("gid_b", "lowest").alias("gid_b"))
 
 
-query("covariances")(lambda s, d: splats.covariances(gaussians(s, d)))
-query("inverse_covariances")(lambda s, d: splats.inverse_covariances(gaussians(s, d)))
-query("gaussian_transform")(lambda s, d: splats.transform(gaussians(s, d), (0.9, 0.1, 0.3, -0.2), (1, 2, 3)))
-query("mahalanobis")(lambda s, d: splats.with_mahalanobis(gaussians(s, d), (0.1, 0.2, 0.3)).select("gid", "mahalanobis2"))
-query("density")(lambda s, d: splats.with_density(gaussians(s, d), (0.1, 0.2, 0.3)).select("gid", "density"))
-query("overlap_integrals")(lambda s, d: splats.overlap_integrals(gaussians(s, d), gaussians(s, d), _next_pairs(gaussians(s, d))))
-query("axis_bounds")(lambda s, d: splats.axis_bounds(gaussians(s, d)))
+query("covariances", f"WITH {_WHOLE} SELECT gid, {', '.join(_real(v, 'c' + n) for n, v in _entries('({0} * {0})').items())} FROM turned")(lambda s, d: _rounded(splats.covariances(gaussians(s, d))))
+query("inverse_covariances", f"WITH {_WHOLE} SELECT gid, {', '.join(_real(v, 'i' + n, 6) for n, v in _entries('(1 / ({0} * {0}))').items())} FROM turned")(lambda s, d: _rounded(splats.inverse_covariances(gaussians(s, d)), digits=6))
+
+
+def _moved_sql() -> str:
+    """The motion of gaussian_transform on all columns that it changes."""
+    q = [0.9, 0.1, 0.3, -0.2]
+    n = sum(v * v for v in q) ** 0.5
+    w, x, y, z = (v / n for v in q)
+    m = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+    place = [f"{a} * p0 + {b} * p1 + {c} * p2" for a, b, c in m]
+    spots = [_real(row.replace("p0", "px").replace("p1", "py").replace("p2", "pz") + f" + {t}", p) for row, t, p in zip(place, (1, 2, 3), splats.P, strict=True)]
+    speeds = [_real(row.replace("p0", "vx").replace("p1", "vy").replace("p2", "vz"), v) for row, v in zip(place, splats.V, strict=True)]
+    turns = [f"{w} * qw - {x} * qx - {y} * qy - {z} * qz", f"{w} * qx + {x} * qw + {y} * qz - {z} * qy", f"{w} * qy - {x} * qz + {y} * qw + {z} * qx", f"{w} * qz + {x} * qy - {y} * qx + {z} * qw"]
+    # a negative number after a minus sign needs its own brackets
+    turns = [t.replace("- -", "+ ") for t in turns]
+    return f"WITH {_WHOLE} SELECT gid, {', '.join(spots)}, {', '.join(_real(t, q) for t, q in zip(turns, splats.Q, strict=True))}, {', '.join(_real(c, c) for c in (*splats.S, 'opacity', *splats.RGB))}, {', '.join(speeds)} FROM turned"
+
+
+query("gaussian_transform", _moved_sql())(lambda s, d: _rounded(splats.transform(gaussians(s, d), (0.9, 0.1, 0.3, -0.2), (1, 2, 3))))
+query("mahalanobis", f"WITH {_WHOLE} SELECT gid, {_real(_MAHALANOBIS, 'mahalanobis2', 6)} FROM turned")(lambda s, d: _rounded(splats.with_mahalanobis(gaussians(s, d), (0.1, 0.2, 0.3)).select("gid", "mahalanobis2"), digits=6))
+query("density", f"WITH {_WHOLE} SELECT gid, {_real(f'exp(-0.5 * ({_MAHALANOBIS})) / sqrt(pow(2 * pi(), 3) * pow(sx * sy * sz, 2))', 'density', 6)} FROM turned")(lambda s, d: _rounded(splats.with_density(gaussians(s, d), (0.1, 0.2, 0.3)).select("gid", "density"), digits=6))
+query(
+    "overlap_integrals",
+    f"""WITH {_WHOLE}, cov AS (SELECT gid, px, py, pz, {_COV} FROM turned), pairs AS (SELECT gid AS gid_a, coalesce(lead(gid) OVER (ORDER BY gid), min(gid) OVER ()) AS gid_b FROM raw),
+    j AS (SELECT gid_a, gid_b, a.px - b.px AS d0, a.py - b.py AS d1, a.pz - b.pz AS d2, {', '.join(f'a.c{n} + b.c{n} AS {n}' for n in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM pairs JOIN cov a ON a.gid = gid_a JOIN cov b ON b.gid = gid_b),
+    k AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM j)
+    SELECT gid_a, gid_b, {_real("exp(-0.5 * ((yy * zz - yz * yz) * d0 * d0 + (xx * zz - xz * xz) * d1 * d1 + (xx * yy - xy * xy) * d2 * d2 + 2 * ((xz * yz - xy * zz) * d0 * d1 + (xy * yz - xz * yy) * d0 * d2 + (xy * xz - xx * yz) * d1 * d2)) / det) / sqrt(pow(2 * pi(), 3) * det)", "overlap", 6)} FROM k""",
+)(lambda s, d: _rounded(splats.overlap_integrals(gaussians(s, d), gaussians(s, d), _next_pairs(gaussians(s, d))), ("gid_a", "gid_b"), 6))
+query("axis_bounds", f"WITH {_WHOLE}, cov AS (SELECT gid, px, py, pz, {_COV} FROM turned) SELECT gid, {', '.join(_real(f'p{a} - 3 * sqrt(c{a}{a})', 'lo_' + a) + ', ' + _real(f'p{a} + 3 * sqrt(c{a}{a})', 'hi_' + a) for a in 'xyz')} FROM cov")(lambda s, d: _rounded(splats.axis_bounds(gaussians(s, d))))
 query("gaussian_sample")(lambda s, d: splats.sample(gaussians(s, d), 3))
-query("deactivate_activate")(lambda s, d: splats.activate(splats.deactivate(gaussians(s, d))).select("gid", "opacity", *splats.S, *splats.RGB))
-query("gaussians_from_points")(lambda s, d: splats.from_points(gaussians(s, d).select("gid", *splats.P, *splats.RGB), 0.1).select("gid", "sx", "opacity_raw"))
-query("view_colour")(lambda s, d: splats.view_colour(splats.deactivate(gaussians(s, d)), (0, 0, -3), 0).select("gid", *splats.RGB))
-query("project")(lambda s, d: raster.project(gaussians(s, d), CAMERA))
-query("tiles")(lambda s, d: raster.tiles(raster.project(gaussians(s, d), CAMERA), CAMERA, 8))
+query("deactivate_activate", f"WITH {_WHOLE} SELECT gid, {_real('greatest(least(opacity, 1 - 1e-6), 1e-6)', 'opacity', 12)}, {', '.join(_real(c, c, 12) for c in (*splats.S, *splats.RGB))} FROM raw")(lambda s, d: _rounded(splats.activate(splats.deactivate(gaussians(s, d))).select("gid", "opacity", *splats.S, *splats.RGB), digits=12))
+query(
+    "gaussians_from_points",
+    f"WITH {_GAUSS}, near AS (SELECT a.gid, (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz) AS d2 FROM gauss a JOIN gauss b ON a.gid <> b.gid QUALIFY row_number() OVER (PARTITION BY a.gid ORDER BY (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz), b.gid) <= 3) SELECT gid, {_real('0.5 * ln(greatest(avg(d2), 1e-7))', 'sx')}, {_real('ln(0.1::DOUBLE / 0.9)', 'opacity_raw')} FROM near GROUP BY gid",
+)(lambda s, d: _rounded(splats.from_points(gaussians(s, d).select("gid", *splats.P, *splats.RGB), 0.1).select("gid", "sx", "opacity_raw")))
+query("view_colour", f"WITH {_WHOLE} SELECT gid, {', '.join(_real(c, c, 12) for c in splats.RGB)} FROM raw")(lambda s, d: _rounded(splats.view_colour(splats.deactivate(gaussians(s, d)), (0, 0, -3), 0).select("gid", *splats.RGB), digits=12))
+
+# the camera looks along z from (0, 0, -3), so camera axes are (x, -y up to sign, z + 3) as its matrix says
+_M = np.array(CAMERA.world_to_camera)
+_CAM = ", ".join(f"{_M[i][0]} * px + {_M[i][1]} * py + {_M[i][2]} * pz + {_M[i][3]} AS c{i}" for i in range(3))
+_LIM = 0.65 * 32 / CAMERA.fx
+_SCREEN = f"""{_WHOLE}, cam AS (SELECT *, {_CAM} FROM turned), spot AS (SELECT *, greatest(c2, {CAMERA.near}) AS zz_, c0 / greatest(c2, {CAMERA.near}) AS tx, c1 / greatest(c2, {CAMERA.near}) AS ty FROM cam),
+jac AS (SELECT *, {', '.join(f"({CAMERA.fx} / zz_) * {_M[i][k]} - ({CAMERA.fx} * least(greatest({t}, {-_LIM}), {_LIM}) / zz_) * {_M[2][k]} AS j{i}{k}" for i, t in ((0, 'tx'), (1, 'ty')) for k in range(3))} FROM spot),
+bas AS (SELECT *, {', '.join(f"(j{i}0 * r0{k} + j{i}1 * r1{k} + j{i}2 * r2{k}) * s{'xyz'[k]} AS b{i}{k}" for i in range(2) for k in range(3))} FROM jac),
+form AS (SELECT *, b00 * b00 + b01 * b01 + b02 * b02 + {raster.LOW_PASS} AS fa, b00 * b10 + b01 * b11 + b02 * b12 AS fb, b10 * b10 + b11 * b11 + b12 * b12 + {raster.LOW_PASS} AS fd, {CAMERA.fx} * tx + {CAMERA.cx} AS u, {CAMERA.fy} * ty + {CAMERA.cy} AS v FROM bas),
+screen AS (SELECT *, fa * fd - fb * fb AS det, ceil(3 * sqrt((fa + fd) / 2 + sqrt(greatest(pow((fa + fd) / 2, 2) - (fa * fd - fb * fb), 0.1)))) AS radius FROM form),
+seen AS (SELECT * FROM screen WHERE c2 > {CAMERA.near} AND det > 1e-12 AND opacity >= {raster.LEAST_ALPHA} AND u + radius >= 0 AND u - radius < 32 AND v + radius >= 0 AND v - radius < 32)"""
+_SEEN = f"gid, {_real('u', 'u', 6)}, {_real('v', 'v', 6)}, {_real('fd / det', 'ka', 6)}, {_real('-fb / det', 'kb', 6)}, {_real('fa / det', 'kc', 6)}, {_real('opacity', 'opacity', 6)}, {_real('c2', 'depth', 6)}, {_real('r', 'r', 6)}, {_real('g', 'g', 6)}, {_real('b', 'b', 6)}, {_real('radius', 'radius', 6)}"
+query("project", f"WITH {_SCREEN} SELECT {_SEEN} FROM seen")(lambda s, d: _rounded(raster.project(gaussians(s, d), CAMERA), digits=6))
+_TILE = "least(greatest(CAST(floor(({0}) / 8) AS INTEGER), 0), 3)"
+query(
+    "tiles",
+    f"WITH {_SCREEN} SELECT {_SEEN}, CAST(tx.i AS INTEGER) AS tx, CAST(ty.i AS INTEGER) AS ty FROM seen, range(4) tx(i), range(4) ty(i) WHERE tx.i BETWEEN {_TILE.format('u - radius')} AND {_TILE.format('u + radius')} AND ty.i BETWEEN {_TILE.format('v - radius')} AND {_TILE.format('v + radius')}",
+)(lambda s, d: _rounded(raster.tiles(raster.project(gaussians(s, d), CAMERA), CAMERA, 8), ("gid", "tx", "ty"), 6))
 query("render")(lambda s, d: raster.render(gaussians(s, d), CAMERA, (0.1, 0.2, 0.3)))
 query("render_raw")(lambda s, d: raster.render_raw(splats.deactivate(gaussians(s, d)), CAMERA))
 

@@ -189,9 +189,9 @@ def _(spark, d):
 # -- convolution
 
 
-def _conv_sql(kernel: Kernel, stride: int = 1, out: str | None = None, value: str = "w * i.f") -> str:
+def _conv_sql(kernel: Kernel, stride: int = 1, out: str | None = None, value: str = "w * i.f", bias: int = 0) -> str:
     coarse = out or ("SELECT b, x, y, z FROM vox" if stride == 1 else f"SELECT DISTINCT b, {_snap(stride)} FROM vox")
-    return f"WITH {VOX}, {taps_sql(kernel.taps(3))}, outs AS ({coarse}) SELECT o.b, o.x, o.y, o.z, CAST(sum({value}) AS BIGINT) AS f0 FROM (SELECT *, x + ox AS nx, y + oy AS ny, z + oz AS nz FROM outs, taps) o JOIN vox i ON i.b = o.b AND i.x = nx AND i.y = ny AND i.z = nz GROUP BY o.b, o.x, o.y, o.z"
+    return f"WITH {VOX}, {taps_sql(kernel.taps(3))}, outs AS ({coarse}) SELECT o.b, o.x, o.y, o.z, CAST(coalesce(sum({value}), 0) + {bias} AS BIGINT) AS f0 FROM (SELECT *, x + ox AS nx, y + oy AS ny, z + oz AS nz FROM outs, taps) o LEFT JOIN vox i ON i.b = o.b AND i.x = nx AND i.y = ny AND i.z = nz GROUP BY o.b, o.x, o.y, o.z"
 
 
 def _conv(kernel: Kernel, stride: int = 1, **more):
@@ -210,6 +210,10 @@ for _name, _kernel, _stride in (
     query(_name, _conv_sql(_kernel, _stride))(_conv(_kernel, _stride))
 
 
+#: Kernels without the centre, so some outputs are reached by nothing.
+_OFF = Kernel(shape="custom", offsets=((1, 0, 0), (0, -2, 0), (1, 1, 1)))
+query("conv_unreached", _conv_sql(_OFF))(_conv(_OFF))
+query("conv_bias_unreached", _conv_sql(_OFF, 2, bias=7))(_conv(_OFF, 2, bias=[7]))
 query("conv_expand", _conv_sql(_CROSS, 1, f"SELECT DISTINCT b, x + ox AS x, y + oy AS y, z + oz AS z FROM vox, taps"))(_conv(_CROSS, 1, expand=True))
 
 
@@ -233,17 +237,22 @@ def _coarse(spark, d) -> Voxels:
     return pool.pool(voxels(spark, d), Kernel(2), 2, "sum")
 
 
-@query("conv_transpose", f"WITH {VOX}, {_COARSE}, {taps_sql(CUBE3.taps(3))} SELECT o.b, o.x, o.y, o.z, CAST(sum(w * i.f) AS BIGINT) AS f0 FROM (SELECT *, x + ox AS nx, y + oy AS ny, z + oz AS nz FROM coarse, taps) i JOIN vox o ON i.b = o.b AND o.x = nx AND o.y = ny AND o.z = nz GROUP BY o.b, o.x, o.y, o.z")
+@query("conv_transpose", f"WITH {VOX}, {_COARSE}, {taps_sql(CUBE3.taps(3))} SELECT o.b, o.x, o.y, o.z, CAST(coalesce(sum(w * i.f), 0) AS BIGINT) AS f0 FROM vox o LEFT JOIN (SELECT *, x + ox AS nx, y + oy AS ny, z + oz AS nz FROM coarse, taps) i ON i.b = o.b AND o.x = nx AND o.y = ny AND o.z = nz GROUP BY o.b, o.x, o.y, o.z")
 def _(spark, d):
     return conv.convolve_transpose(_coarse(spark, d), _weights(CUBE3), CUBE3, 2, out=voxels(spark, d)).df
 
 
+@query("conv_transpose_unreached", f"WITH {VOX}, {_COARSE}, {taps_sql(_OFF.taps(3))} SELECT o.b, o.x, o.y, o.z, CAST(coalesce(sum(w * i.f), 0) + 7 AS BIGINT) AS f0 FROM vox o LEFT JOIN (SELECT *, x + ox AS nx, y + oy AS ny, z + oz AS nz FROM coarse, taps) i ON i.b = o.b AND o.x = nx AND o.y = ny AND o.z = nz GROUP BY o.b, o.x, o.y, o.z")
+def _(spark, d):
+    return conv.convolve_transpose(_coarse(spark, d), _weights(_OFF), _OFF, 2, bias=[7], out=voxels(spark, d)).df
+
+
 @query("conv_generative", f"WITH {VOX}, {_COARSE}, {taps_sql(Kernel(2).taps(3))} SELECT b, x + ox AS x, y + oy AS y, z + oz AS z, CAST(sum(w * f) AS BIGINT) AS f0 FROM coarse, taps GROUP BY 1, 2, 3, 4")
 def _(spark, d):
     return conv.convolve_transpose(_coarse(spark, d), _weights(Kernel(2)), Kernel(2), 2).df
 
 
-@query("conv_backward_input", f"WITH {VOX}, {taps_sql(_CROSS.taps(3))} SELECT i.b, i.x, i.y, i.z, CAST(sum(w * g) AS BIGINT) AS f FROM (SELECT b, x + ox AS x, y + oy AS y, z + oz AS z, w, f % 7 AS g FROM vox, taps) o JOIN vox i USING (b, x, y, z) GROUP BY i.b, i.x, i.y, i.z")
+@query("conv_backward_input", f"WITH {VOX}, {taps_sql(_CROSS.taps(3))} SELECT i.b, i.x, i.y, i.z, CAST(coalesce(sum(w * g), 0) AS BIGINT) AS f FROM vox i LEFT JOIN (SELECT b, x + ox AS x, y + oy AS y, z + oz AS z, w, f % 7 AS g FROM vox, taps) o USING (b, x, y, z) GROUP BY i.b, i.x, i.y, i.z")
 def _(spark, d):
     v = voxels(spark, d)
     return conv.convolve_backward(v, v.map(lambda c: c % 7), _weights(_CROSS), _CROSS)[0].df
@@ -280,16 +289,24 @@ def _(spark, d):
     return conv.spmm_backward(_matrix(spark, d)[0], grad, ["g"])
 
 
+@query("spmm_avg_backward", "WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_partkey AS col, round(sum(CAST(l_orderkey % 13 AS DOUBLE) / n), 6) AS g FROM lineitem JOIN n USING (l_orderkey) JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey")
+def _(spark, d):
+    grad = table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 13).cast("double").alias("g"))
+    return conv.spmm_average_backward(_matrix(spark, d)[0].drop("value"), grad, ["g"]).select("col", F.round("g", 6).alias("g"))
+
+
 # -- pooling
 
 
 def _pool_sql(kernel: Kernel, stride: int, aggregate: str) -> str:
-    return _conv_sql(kernel, stride).replace("CAST(sum(w * i.f) AS BIGINT) AS f0", f"{aggregate} AS f")
+    return _conv_sql(kernel, stride).replace("CAST(coalesce(sum(w * i.f), 0) + 0 AS BIGINT) AS f0", f"coalesce({aggregate}, 0) AS f")
 
 
 query("pool_sum", _pool_sql(CUBE3, 2, "CAST(sum(i.f) AS BIGINT)"))(lambda s, d: pool.pool(voxels(s, d), CUBE3, 2, "sum").df)
 query("pool_max", _pool_sql(CUBE3, 2, "max(i.f)"))(lambda s, d: pool.pool(voxels(s, d), CUBE3, 2, "max").df)
-query("pool_avg", _pool_sql(_CROSS, 1, "CAST(sum(i.f) AS DOUBLE) / count(*)"))(lambda s, d: pool.pool(voxels(s, d), _CROSS, 1, "average").df)
+query("pool_avg", _pool_sql(_CROSS, 1, "CAST(sum(i.f) AS DOUBLE) / nullif(count(i.f), 0)"))(lambda s, d: pool.pool(voxels(s, d), _CROSS, 1, "average").df)
+for _mode, _aggregate in (("sum", "CAST(sum(i.f) AS BIGINT)"), ("max", "max(i.f)"), ("average", "CAST(sum(i.f) AS DOUBLE) / nullif(count(i.f), 0)")):
+    query(f"pool_{_mode}_unreached", _pool_sql(_OFF, 1, _aggregate))(lambda s, d, m=_mode: pool.pool(voxels(s, d), _OFF, 1, m).df)
 query("pool_tile", f"WITH {VOX}, {_COARSE} SELECT * FROM coarse")(lambda s, d: _coarse(s, d).df)
 
 
@@ -303,7 +320,7 @@ def _(spark, d):
     return pool.pool_transpose(_coarse(spark, d), Kernel(2), voxels(spark, d)).df
 
 
-@query("pool_backward_max", f"WITH {VOX}, {_COARSE}, hit AS (SELECT b, x, y, z, floor(x / 2.0) * 2 AS cx, floor(y / 2.0) * 2 AS cy, floor(z / 2.0) * 2 AS cz FROM vox QUALIFY row_number() OVER (PARTITION BY b, cx, cy, cz ORDER BY f DESC, x, y, z) = 1) SELECT h.b, h.x, h.y, h.z, c.f FROM hit h JOIN coarse c ON c.b = h.b AND c.x = cx AND c.y = cy AND c.z = cz")
+@query("pool_backward_max", f"WITH {VOX}, {_COARSE}, hit AS (SELECT b, x, y, z, floor(x / 2.0) * 2 AS cx, floor(y / 2.0) * 2 AS cy, floor(z / 2.0) * 2 AS cz FROM vox QUALIFY row_number() OVER (PARTITION BY b, cx, cy, cz ORDER BY f DESC, x, y, z) = 1) SELECT v.b, v.x, v.y, v.z, coalesce(c.f, 0) AS f FROM vox v LEFT JOIN hit h USING (b, x, y, z) LEFT JOIN coarse c ON c.b = h.b AND c.x = cx AND c.y = cy AND c.z = cz")
 def _(spark, d):
     v = voxels(spark, d)
     return pool.pool_backward(v, _coarse(spark, d), Kernel(2), "max").df
@@ -348,9 +365,6 @@ query("add_scalar", f"WITH {VOX} SELECT b, x, y, z, f + 7 AS f FROM vox")(lambda
 query("cat", f"WITH {VOX} SELECT b, x, y, z, f, f % 1000 AS f_1 FROM vox")(lambda s, d: setops.cat(*_pair(s, d)).df)
 query("total", f"WITH {VOX} SELECT b, x, y, z, f + f % 1000 AS f FROM vox")(lambda s, d: setops.total(*_pair(s, d)).df)
 query("mean", f"WITH {VOX} SELECT b, x, y, z, (f + f % 1000) / CAST(2 AS DOUBLE) AS f FROM vox")(lambda s, d: setops.mean(*_pair(s, d)).df)
-query("variance")(lambda s, d: setops.variance(*_pair(s, d)).df)
-
-
 @query("select_rows", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)")
 def _(spark, d):
     ids = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -383,15 +397,6 @@ def _(spark, d):
     return setops.broadcast_backward(v.map(lambda c: c % 1000), v.map(lambda c: c % 7), pool.global_pool(v, "sum"))
 
 
-# -- normalisation: real arithmetic, so held against NumPy in the tests
-
-query("batch_norm")(lambda s, d: norm.batch_norm(voxels(s, d), [2.0], [1.0]).df)
-query("instance_norm")(lambda s, d: norm.instance_norm(voxels(s, d)).df)
-query("stable_instance_norm")(lambda s, d: norm.stable_instance_norm(voxels(s, d)).df)
-query("instance_norm_backward")(lambda s, d: (lambda v: norm.instance_norm_backward(v, v.map(lambda c: (c % 7).cast("double"))).df)(voxels(s, d)))
-query("normalise_rows")(lambda s, d: norm.normalise_rows(setops.cat(*_pair(s, d))).df)
-
-
 # -- functions of channels, on values that are halves of small integers
 
 _HALVES = f"{VOX}, half AS (SELECT b, x, y, z, CAST(f % 33 - 16 AS DOUBLE) / 2 AS f FROM vox)"
@@ -416,8 +421,51 @@ for _name, _sql in {
 
 query("threshold", f"WITH {_HALVES} SELECT b, x, y, z, CASE WHEN f > 2 THEN f ELSE CAST(-1 AS DOUBLE) END AS f FROM half")(lambda s, d: channels.activate(_halves(s, d), "threshold", bound=2.0, value=-1.0).df)
 query("prelu", f"WITH {_HALVES} SELECT b, x, y, z, CASE WHEN f >= 0 THEN f ELSE f / 4 END AS f FROM half")(lambda s, d: channels.prelu(_halves(s, d), [0.25]).df)
-for _name in ("elu", "selu", "celu", "gelu", "silu", "sigmoid", "tanh", "logsigmoid", "rrelu", "softplus", "tanhshrink", "dropout", "alpha_dropout"):
-    query(_name)(lambda s, d, n=_name: channels.activate(_halves(s, d), n).df)
+
+
+def _rounded(v: Voxels):
+    return v.map(lambda c: F.round(c, 9)).df
+
+
+def _real(sql: str, name: str = "f") -> str:
+    """Rounded, and never minus zero."""
+    return f"round(CAST({sql} AS DOUBLE), 9) + 0.0::DOUBLE AS {name}"
+
+
+_SIGMOID = "(1 / (1 + exp(-({0}))))"
+_LOGSIGMOID = "(least({0}, 0) - ln(1 + exp(-abs({0}))))"
+_T = f"(1 / (1 + {channels._ERF_P} * abs(f / sqrt(2))))"
+_ERF = "0"
+for _a in reversed(channels._ERF_A):
+    _ERF = f"({_ERF} + {_a}) * {_T}"
+for _name, _sql in {
+    "elu": "CASE WHEN f > 0 THEN f ELSE exp(f) - 1 END",
+    "selu": f"{channels.SELU_SCALE} * CASE WHEN f > 0 THEN f ELSE {channels.SELU_ALPHA} * (exp(f) - 1) END",
+    "celu": "greatest(f, 0) + least(0, exp(f) - 1)",
+    "gelu": f"0.5 * f * (1 + sign(f) * (1 - {_ERF} * exp(-f * f / 2)))",
+    "silu": f"f * {_SIGMOID.format('f')}",
+    "sigmoid": _SIGMOID.format("f"),
+    "tanh": "1 - 2 / (exp(2 * f) + 1)",
+    "logsigmoid": _LOGSIGMOID.format("f"),
+    "rrelu": "CASE WHEN f >= 0 THEN f ELSE f * 11.0::DOUBLE / 48 END",
+    "softplus": "ln(1 + exp(f))",
+    "tanhshrink": "f - (1 - 2 / (exp(2 * f) + 1))",
+    "dropout": "f",
+    "alpha_dropout": "f",
+}.items():
+    query(_name, f"WITH {_HALVES} SELECT b, x, y, z, {_real(_sql)} FROM half")(lambda s, d, n=_name: _rounded(channels.activate(_halves(s, d), n)))
+
+# -- normalisation
+
+_MOMENTS = "(f - avg(f) OVER ({0})) / sqrt(var_pop(f) OVER ({0}) + {1})"
+query("variance", f"WITH {_HALVES} SELECT b, x, y, z, (f - f * f) * (f - f * f) / 4 AS f FROM half")(lambda s, d: (lambda v: setops.variance(v, v.map(lambda c: c * c)).df)(_halves(s, d)))
+query("batch_norm", f"WITH {_HALVES} SELECT b, x, y, z, {_real('2 * ' + _MOMENTS.format('', '1e-5') + ' + 1')} FROM half")(lambda s, d: _rounded(norm.batch_norm(_halves(s, d), [2.0], [1.0])))
+query("instance_norm", f"WITH {_HALVES} SELECT b, x, y, z, {_real(_MOMENTS.format('PARTITION BY b', '1e-8'))} FROM half")(lambda s, d: _rounded(norm.instance_norm(_halves(s, d))))
+query("stable_instance_norm", f"WITH {_HALVES} SELECT b, x, y, z, {_real(_MOMENTS.format('PARTITION BY b', '1e-6'))} FROM half")(lambda s, d: _rounded(norm.stable_instance_norm(_halves(s, d))))
+query(
+    "instance_norm_backward",
+    f"WITH {_HALVES}, y AS (SELECT *, f * f AS g, sqrt(var_pop(f) OVER (PARTITION BY b) + 1e-8) AS s, {_MOMENTS.format('PARTITION BY b', '1e-8')} AS y_ FROM half) SELECT b, x, y, z, {_real('(g - avg(g) OVER (PARTITION BY b) - y_ * avg(g * y_) OVER (PARTITION BY b)) / s')} FROM y",
+)(lambda s, d: (lambda v: _rounded(norm.instance_norm_backward(v, v.map(lambda c: c * c))))(_halves(s, d)))
 
 
 def _channels(spark, d) -> Voxels:
@@ -425,12 +473,17 @@ def _channels(spark, d) -> Voxels:
     return v.with_df(v.df.select(*v.keys, "f", (F.col("f") * F.col("f") / 8).alias("g")), ["f", "g"])
 
 
-query("softmax")(lambda s, d: channels.softmax(_channels(s, d)).df)
-query("softmax_rows")(lambda s, d: channels.softmax(_channels(s, d), over_rows=True).df)
-query("softmin")(lambda s, d: channels.softmin(_channels(s, d)).df)
-query("log_softmax")(lambda s, d: channels.log_softmax(_channels(s, d)).df)
-query("glu")(lambda s, d: channels.glu(_channels(s, d)).df)
-query("sinusoidal")(lambda s, d: channels.sinusoidal(_channels(s, d), np.array([[1.0, 0.5], [0.25, 2.0]]), [0.0, 1.0], [1.0, 3.0]).df)
+_TWO = f"{_HALVES}, two AS (SELECT *, f * f / 8 AS g FROM half)"
+for _name, _f, _g, _run in (
+    ("normalise_rows", "f / greatest(sqrt(f * f + g * g), 1e-12)", "g / greatest(sqrt(f * f + g * g), 1e-12)", norm.normalise_rows),
+    ("softmax", "1 / (1 + exp(g - f))", "1 / (1 + exp(f - g))", channels.softmax),
+    ("softmax_rows", "exp(f - max(f) OVER ()) / sum(exp(f - 8)) OVER () * exp(max(f) OVER () - 8)", "exp(g - 8) / sum(exp(g - 8)) OVER ()", lambda v: channels.softmax(v, over_rows=True)),
+    ("softmin", "1 / (1 + exp(f - g))", "1 / (1 + exp(g - f))", channels.softmin),
+    ("log_softmax", "-ln(1 + exp(g - f))", "-ln(1 + exp(f - g))", channels.log_softmax),
+):
+    query(_name, f"WITH {_TWO} SELECT b, x, y, z, {_real(_f)}, {_real(_g, 'g')} FROM two")(lambda s, d, f=_run: _rounded(f(_channels(s, d))))
+query("glu", f"WITH {_TWO} SELECT b, x, y, z, {_real('f * ' + _SIGMOID.format('g'))} FROM two")(lambda s, d: _rounded(channels.glu(_channels(s, d))))
+query("sinusoidal", f"WITH {_TWO} SELECT b, x, y, z, {_real('sin(f + g / 4)', 'f0')}, {_real('3 * sin(f / 2 + 2 * g + 1)', 'f1')} FROM two")(lambda s, d: _rounded(channels.sinusoidal(_channels(s, d), np.array([[1.0, 0.5], [0.25, 2.0]]), [0.0, 1.0], [1.0, 3.0])))
 query("linear", f"WITH {_HALVES} SELECT b, x, y, z, f * 2 + 1 AS f0, f * -4 + 0.5 AS f1 FROM half")(lambda s, d: conv.linear(_halves(s, d), np.array([[2.0, -4.0]]), [1.0, 0.5]).df)
 
 
@@ -454,20 +507,28 @@ for _name, _loss, _sql in (
     _full = f"WITH {_HALVES}, own AS (SELECT *, CASE x % 4 WHEN 0 THEN f WHEN 1 THEN f / 2 WHEN 2 THEN 1 ELSE -f END AS own FROM half) SELECT CAST(sum(CAST({_sql} AS DOUBLE)) AS DOUBLE) AS loss FROM own"
     query(_name, _full)(lambda s, d, f=_loss: losses.total_of(_halves(s, d).df, f().cast("double")))
 
-for _name, _loss in {
-    "loss_bce": lambda: losses.binary_cross_entropy(channels.sigmoid(_x()), (_x() > 0).cast("double")),
-    "loss_bce_logits": lambda: losses.binary_cross_entropy_with_logits(_x(), (_x() > 0).cast("double"), 2.0),
-    "loss_cross_entropy": lambda: losses.cross_entropy([_x(), _x() / 2, F.lit(1.0)], F.pmod(F.col("x"), F.lit(3))),
-    "loss_nll": lambda: losses.nll([-F.abs(_x()), F.lit(-1.0)], F.pmod(F.col("x"), F.lit(2))),
-    "loss_kl_div": lambda: losses.kl_div(-F.abs(_x()), channels.sigmoid(_x())),
-    "loss_poisson_nll": lambda: losses.poisson_nll(_x(), F.abs(_x()), full=True),
-    "loss_multilabel_margin": lambda: losses.multilabel_margin([_x(), _x() / 2, F.lit(1.0)], F.array(F.pmod(F.col("x"), F.lit(3)).cast("int"), F.lit(-1), F.lit(0))),
-    "loss_multilabel_soft_margin": lambda: losses.multilabel_soft_margin([_x(), -_x()], [(_x() > 0).cast("double"), F.lit(1.0)]),
-    "loss_soft_margin": lambda: losses.soft_margin(_x(), F.when(_x() > 0, 1.0).otherwise(-1.0)),
+_UP, _DOWN = (_LOGSIGMOID.format(x) for x in ("f", "-f"))
+_POSITIVE = "CASE WHEN f > 0 THEN {0} ELSE {1} END"
+for _name, (_loss, _sql) in {
+    "loss_bce": (lambda: losses.binary_cross_entropy(channels.sigmoid(_x()), (_x() > 0).cast("double")), _POSITIVE.format(f"-{_UP}", f"-{_DOWN}")),
+    "loss_bce_logits": (lambda: losses.binary_cross_entropy_with_logits(_x(), (_x() > 0).cast("double"), 2.0), _POSITIVE.format(f"-2 * {_UP}", f"-{_DOWN}")),
+    "loss_cross_entropy": (lambda: losses.cross_entropy([_x(), _x() / 2, F.lit(1.0)], F.pmod(F.col("x"), F.lit(3))), "ln(exp(f) + exp(f / 2) + exp(1)) - CASE x % 3 WHEN 0 THEN f WHEN 1 THEN f / 2 ELSE 1 END"),
+    "loss_nll": (lambda: losses.nll([-F.abs(_x()), F.lit(-1.0)], F.pmod(F.col("x"), F.lit(2))), "CASE x % 2 WHEN 0 THEN abs(f) ELSE 1 END"),
+    "loss_kl_div": (lambda: losses.kl_div(-F.abs(_x()), channels.sigmoid(_x())), f"{_SIGMOID.format('f')} * ({_UP} + abs(f))"),
+    "loss_poisson_nll": (lambda: losses.poisson_nll(_x(), F.abs(_x()), full=True), "exp(f) - abs(f) * f + CASE WHEN abs(f) > 1 THEN abs(f) * ln(abs(f)) - abs(f) + 0.5 * ln(2 * pi() * abs(f)) ELSE 0 END"),
+    "loss_multilabel_margin": (lambda: losses.multilabel_margin([_x(), _x() / 2, F.lit(1.0)], F.array(F.pmod(F.col("x"), F.lit(3)).cast("int"), F.lit(-1), F.lit(0))), "(SELECT sum(greatest(0, 1 - CASE x % 3 WHEN 0 THEN f WHEN 1 THEN f / 2 ELSE 1 END + s)) FROM (VALUES (0, f), (1, f / 2), (2, 1)) v(i, s) WHERE i <> x % 3) / 3"),
+    "loss_multilabel_soft_margin": (lambda: losses.multilabel_soft_margin([_x(), -_x()], [(_x() > 0).cast("double"), F.lit(1.0)]), f"({_POSITIVE.format(f'-{_UP}', f'-{_DOWN}')} - {_DOWN}) / 2"),
+    "loss_soft_margin": (lambda: losses.soft_margin(_x(), F.when(_x() > 0, 1.0).otherwise(-1.0)), "ln(1 + exp(-abs(f)))"),
 }.items():
-    query(_name)(lambda s, d, f=_loss: losses.mean_of(_halves(s, d).df, f()))
+    _mean = f"round(avg(CAST({_sql} AS DOUBLE)), 9) AS loss" if "SELECT" not in _sql else None
+    _full = f"WITH {_HALVES} SELECT {_mean} FROM half" if _mean else f"WITH {_HALVES}, each AS (SELECT CAST({_sql} AS DOUBLE) AS v FROM half) SELECT round(avg(v), 9) AS loss FROM each"
+    query(_name, _full)(lambda s, d, f=_loss: losses.mean_of(_halves(s, d).df, f()).select(F.round("loss", 9).alias("loss")))
+
 
-query("loss_weighted_cross_entropy")(lambda s, d: losses.mean_of(_halves(s, d).df, losses.cross_entropy([_x(), F.lit(1.0)], F.pmod(F.col("x"), F.lit(2))), losses.class_weight([1.0, 3.0], F.pmod(F.col("x"), F.lit(2)))))
+@query("loss_weighted_cross_entropy", f"WITH {_HALVES} SELECT round(sum((1 + 2 * (x % 2)) * (ln(exp(f) + exp(1)) - CASE x % 2 WHEN 0 THEN f ELSE 1 END)) / sum(1 + 2 * (x % 2)), 9) AS loss FROM half")
+def _(spark, d):
+    label = F.pmod(F.col("x"), F.lit(2))
+    return losses.mean_of(_halves(spark, d).df, losses.cross_entropy([_x(), F.lit(1.0)], label), losses.class_weight([1.0, 3.0], label)).select(F.round("loss", 9).alias("loss"))
 
 
 # -- interpolation at half cells: the weights are powers of two
