@@ -136,9 +136,42 @@ query(
 )(lambda s, d: octree.resample_to(_dense(s, d), octree.refine(_level0(s, d), 1)).df)
 query("octree_geometry", f"WITH {_TREE} SELECT level, x, y, z, 8.0::DOUBLE / (1 << level) AS size, pow(8.0::DOUBLE / (1 << level), 3) AS volume, {', '.join(f'{a} * 8.0::DOUBLE / (1 << level) AS lo_{a}, ({a} + 1) * 8.0::DOUBLE / (1 << level) AS hi_{a}, ({a} + 0.5) * 8.0::DOUBLE / (1 << level) AS center_{a}' for a in XYZ)} FROM leaf")(lambda s, d: octree.geometry(_dense(s, d)))
 query("octree_global_average", f"WITH {_TREE} SELECT CAST(sum(f * (512 // (1 << (3 * level)))) AS DOUBLE) / sum(512 // (1 << (3 * level))) AS f FROM leaf")(lambda s, d: octree.global_average(_dense(s, d)))
-query("octree_json")(lambda s, d: leaves_json(_dense(s, d)))
-query("multilinear")(lambda s, d: octree_conv.interpolate(_dense(s, d), _points(s, d), "multilinear"))
-query("interpolate_fallback")(lambda s, d: octree_conv.interpolate(octree.refine(_level0(s, d), 2, drop_empty=True), _shifted(s, d), coarser_ancestor=True))
+def _box(value: str) -> str:
+    return "'[' || " + " || ',' || ".join(f"CAST({value.format(a)} AS VARCHAR)" for a in XYZ) + " || ']'"
+
+
+_SIZE = "(8.0::DOUBLE / (1 << level))"
+query(
+    "octree_json",
+    f"""WITH {_TREE} SELECT '{{"coordinates":' || {_box('{0}')} || ',"level":' || level || ',"min":' || {_box('{0} * ' + _SIZE)} || ',"max":' || {_box('({0} + 1) * ' + _SIZE)} || ',"center":' || {_box('({0} + 0.5) * ' + _SIZE)} || ',"size":' || {_SIZE} || ',"occupied":' || CASE WHEN f > 0 THEN 'true' ELSE 'false' END || '}}' AS value FROM leaf""",
+)(lambda s, d: leaves_json(_dense(s, d)))
+_MEETS = " AND ".join(f"{a}hi > l.{a} * ls AND {a}lo < (l.{a} + 1) * ls" for a in XYZ)
+_SHARE = " * ".join(f"(least({a}hi, (l.{a} + 1) * ls) - greatest({a}lo, l.{a} * ls))" for a in XYZ)
+query(
+    "multilinear",
+    f"""WITH {_TREE}, spots AS (SELECT DISTINCT x, y, z FROM pts), at_ AS (SELECT p.x, p.y, p.z, {_SIZE} AS size FROM spots p JOIN leaf l ON {' AND '.join(f'floor(p.{a} / {_SIZE}) = l.{a}' for a in XYZ)}),
+    box AS (SELECT *, {', '.join(f'{a} - size / 2 AS {a}lo, {a} + size / 2 AS {a}hi' for a in XYZ)} FROM at_), l AS (SELECT *, {_SIZE} AS ls FROM leaf),
+    got AS (SELECT box.x, box.y, box.z, round(sum(f * {_SHARE}) / sum({_SHARE}), 3) AS f FROM box JOIN l ON {_MEETS} GROUP BY 1, 2, 3)
+    SELECT pid, coalesce(got.f, 0) AS f FROM pts LEFT JOIN got USING (x, y, z)""",
+)(lambda s, d: octree_conv.interpolate(_dense(s, d), _points(s, d), "multilinear").select("pid", F.round("f", 3).alias("f")))
+query(
+    "interpolate_fallback",
+    f"""WITH {_PTS}, c0 AS (SELECT {_cell(0)}, CAST(sum(f) AS BIGINT) AS f FROM pts GROUP BY 1, 2, 3), c2 AS (SELECT DISTINCT {_cell(2)} FROM pts),
+    leaf AS (SELECT c2.x, c2.y, c2.z, c0.f FROM c2 JOIN c0 ON c0.x = c2.x // 4 AND c0.y = c2.y // 4 AND c0.z = c2.z // 4),
+    one AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, avg(f) AS f FROM leaf GROUP BY 1, 2, 3), zero AS (SELECT x // 4 AS x, y // 4 AS y, z // 4 AS z, avg(f) AS f FROM leaf GROUP BY 1, 2, 3), q AS (SELECT pid, x + 1 AS x, y + 1 AS y, z + 1 AS z FROM pts)
+    SELECT pid, round(coalesce(l.f, one.f, zero.f, 0), 3) AS f FROM q LEFT JOIN leaf l ON l.x = q.x // 2 AND l.y = q.y // 2 AND l.z = q.z // 2 LEFT JOIN one ON one.x = q.x // 4 AND one.y = q.y // 4 AND one.z = q.z // 4 LEFT JOIN zero ON zero.x = q.x // 8 AND zero.y = q.y // 8 AND zero.z = q.z // 8""",
+)(lambda s, d: octree_conv.interpolate(octree.refine(_level0(s, d), 2, drop_empty=True), _shifted(s, d), coarser_ancestor=True).select("pid", F.round(F.col("f").cast("double"), 3).alias("f")))
+query("octree_add", f"WITH {_TREE} SELECT level, x, y, z, f + f % 1000 AS f FROM leaf")(lambda s, d: (lambda x: octree.add(x, x.with_df(x.df.withColumn("f", F.col("f") % 1000))).df)(_dense(s, d)))
+query("octree_concatenate", f"WITH {_TREE} SELECT level, x, y, z, f, f % 1000 AS f_1 FROM leaf")(lambda s, d: (lambda x: octree.concatenate(x, x.with_df(x.df.withColumn("f", F.col("f") % 1000))).df)(_dense(s, d)))
+
+
+@query("octree_overlaps_nested", f"WITH {_PTS}, c0 AS (SELECT DISTINCT {_cell(0)} FROM pts), c2 AS (SELECT DISTINCT {_cell(2)} FROM pts WHERE z < 4) SELECT DISTINCT CAST(2 AS INTEGER) AS level, c2.x, c2.y, c2.z FROM c2 JOIN c0 ON c0.x = c2.x // 4 AND c0.y = c2.y // 4 AND c0.z = c2.z // 4")
+def _(spark, d):
+    """Level-0 leaves and, wrongly, some level-2 cells under them."""
+    x = _level0(spark, d)
+    p = x.points.df.filter("z < 4")
+    under = p.select(F.lit(2).cast("int").alias("level"), *(octree.cell_at(CONFIG, i, F.col(a), 2).alias(a) for i, a in enumerate(XYZ)), F.col("f")).groupBy("level", *XYZ).agg(F.sum("f").alias("f"))
+    return octree.overlaps(x.with_df(x.df.unionByName(under))).select("level", *XYZ).distinct()
 
 
 def _shifted(spark, d) -> Points:
@@ -152,13 +185,19 @@ _TAPS = ", ".join(f"({k}, {o[0]}, {o[1]}, {o[2]}, {weight(k)})" for k, o in enum
 _W = np.array([[[weight(k)]] for k in range(27)])
 
 
-def _tap_sql(condition: str, w: str) -> str:
+def _hit_sql(condition: str, outs: str = "leaf") -> str:
     """A tap (cell of the output's level) against leaves of each level: those that cover it, and finer ones."""
-    return f"""WITH {_TREE}, taps(k, ox, oy, oz, w) AS (VALUES {_TAPS}), tap AS (SELECT level AS ol, l.x AS oox, l.y AS ooy, l.z AS ooz, k, w, l.x + ox AS tx, l.y + oy AS ty, l.z + oz AS tz FROM leaf l, taps),
-    hit AS (SELECT ol, oox, ooy, ooz, w, i.f, i.level AS il FROM tap JOIN leaf i ON i.level = 0 AND i.x = tx >> ol AND i.y = ty >> ol AND i.z = tz >> ol
-      {"".join(f" UNION ALL SELECT ol, oox, ooy, ooz, w, i.f, i.level FROM tap JOIN leaf i ON i.level = {v} AND ol >= {v} AND i.x = tx >> (ol - {v}) AND i.y = ty >> (ol - {v}) AND i.z = tz >> (ol - {v})" for v in (1, 2, 3))}
-      {"".join(f" UNION ALL SELECT ol, oox, ooy, ooz, w, i.f, i.level FROM tap JOIN leaf i ON i.level = {v} AND ol = {o} AND {condition.format(g=v - o, h=1 << (v - o), m=1 << (v - o - 1))}" for v in (1, 2, 3) for o in range(v))}),
-    s AS (SELECT ol AS level, oox AS x, ooy AS y, ooz AS z, sum({w}) AS f0 FROM hit GROUP BY 1, 2, 3, 4) SELECT level, x, y, z, CAST(coalesce(f0, 0) AS DOUBLE) AS f0 FROM leaf LEFT JOIN s USING (level, x, y, z)"""
+    into = "ol, oox, ooy, ooz, k, w, i.f, i.level AS il, i.x AS ix, i.y AS iy, i.z AS iz, {0} AS finer FROM tap JOIN leaf i ON "
+    return f"""WITH {_TREE}, up AS (SELECT DISTINCT CAST(greatest(level - 1, 0) AS INTEGER) AS level, x >> least(level, 1) AS x, y >> least(level, 1) AS y, z >> least(level, 1) AS z FROM leaf),
+    lifted AS (SELECT * FROM up a WHERE NOT EXISTS (SELECT 1 FROM up b WHERE b.level < a.level AND b.x = a.x >> (a.level - b.level) AND b.y = a.y >> (a.level - b.level) AND b.z = a.z >> (a.level - b.level))),
+    taps(k, ox, oy, oz, w) AS (VALUES {_TAPS}), tap AS (SELECT level AS ol, l.x AS oox, l.y AS ooy, l.z AS ooz, k, w, l.x + ox AS tx, l.y + oy AS ty, l.z + oz AS tz FROM {outs} l, taps),
+    hit AS ({" UNION ALL ".join(f"SELECT {into.format('false')} i.level = {v} AND ol >= {v} AND i.x = tx >> (ol - {v}) AND i.y = ty >> (ol - {v}) AND i.z = tz >> (ol - {v})" for v in range(4))}
+      {"".join(f" UNION ALL SELECT {into.format('true')} i.level = {v} AND ol = {o} AND {condition.format(g=v - o, h=1 << (v - o), m=1 << (v - o - 1))}" for v in (1, 2, 3) for o in range(v))})"""
+
+
+def _tap_sql(condition: str, w: str, outs: str = "leaf") -> str:
+    return f"""{_hit_sql(condition, outs)}, s AS (SELECT ol AS level, oox AS x, ooy AS y, ooz AS z, sum({w}) AS f0 FROM hit GROUP BY 1, 2, 3, 4)
+    SELECT level, x, y, z, CAST(coalesce(f0, 0) AS DOUBLE) AS f0 FROM {outs} LEFT JOIN s USING (level, x, y, z)"""
 
 
 _CENTER = "i.x = tx * {h} + {m} AND i.y = ty * {h} + {m} AND i.z = tz * {h} + {m}"
@@ -167,9 +206,15 @@ _RATIO = "power(8.0::DOUBLE, ol - il)"
 query("adaptive_conv_center", _tap_sql(_CENTER, "w * f"))(lambda s, d: octree_conv.convolve(_dense(s, d), _W, 3).df)
 query("adaptive_conv_volume", _tap_sql(_CENTER, f"w * f * {_RATIO}"))(lambda s, d: octree_conv.convolve(_dense(s, d), _W, 3, "volume").df)
 query("adaptive_conv_overlap", _tap_sql(_UNDER, f"w * f * least(1, {_RATIO})"))(lambda s, d: octree_conv.convolve(_dense(s, d), _W, 3, "overlap").df)
-query("adaptive_conv_strided")(lambda s, d: octree_conv.convolve(_dense(s, d), _W, 3, shift=1).df)
-query("adaptive_conv_transpose")(lambda s, d: (lambda x: octree_conv.convolve_transpose(x, _W, x, 3).df)(_dense(s, d)))
-query("adaptive_kernel_map")(lambda s, d: octree_conv.kernel_map(_dense(s, d), 3, "overlap"))
+query("adaptive_conv_strided", _tap_sql(_CENTER, "w * f", "lifted"))(lambda s, d: octree_conv.convolve(_dense(s, d), _W, 3, shift=1).df)
+query(
+    "adaptive_conv_transpose",
+    f"{_hit_sql(_CENTER)}, s AS (SELECT il AS level, ix AS x, iy AS y, iz AS z, sum(w * o.f) AS f0 FROM hit JOIN leaf o ON o.level = ol AND o.x = oox AND o.y = ooy AND o.z = ooz GROUP BY 1, 2, 3, 4) SELECT level, x, y, z, CAST(coalesce(f0, 0) AS DOUBLE) AS f0 FROM leaf LEFT JOIN s USING (level, x, y, z)",
+)(lambda s, d: (lambda x: octree_conv.convolve_transpose(x, _W, x, 3).df)(_dense(s, d)))
+query(
+    "adaptive_kernel_map",
+    f"{_hit_sql(_UNDER)} SELECT CAST(k AS INTEGER) AS k, CAST(ol AS INTEGER) AS out_level, oox AS out_x, ooy AS out_y, ooz AS out_z, CAST(il AS INTEGER) AS in_level, ix AS in_x, iy AS in_y, iz AS in_z, CASE WHEN finer THEN {_RATIO} ELSE 1 END AS w FROM hit",
+)(lambda s, d: octree_conv.kernel_map(_dense(s, d), 3, "overlap"))
 query("sphere")(lambda s, d: sphere.voxelise_sphere(s, 100.0, 99.5)[0].df)
 query("sphere_volume")(lambda s, d: sphere.volume_estimate(sphere.voxelise_sphere(s, 100.0, 99.0)[0]))
 
@@ -193,7 +238,9 @@ def _(spark, d):
     return sliding(_hours(spark, d), 2, key=["user_id"]).select("user_id", "start")
 
 
-query("clips")(lambda s, d: clips(_hours(s, d), 2, 2, key=["user_id"]))
+query("clips", f"WITH {_HOURS} SELECT a.user_id, a.frame AS first, b.frame AS second FROM hours a JOIN hours b ON a.user_id = b.user_id AND b.frame - a.frame BETWEEN 1 AND 3")(
+    lambda s, d: clips(_hours(s, d), 2, 2, key=["user_id"]).select("user_id", F.col("frames")[0].alias("first"), F.col("frames")[1].alias("second"))
+)
 
 
 @query("radius_label", f"WITH {CELLS}, t AS (SELECT DISTINCT b, x AS tx, y AS ty, z AS tz FROM cells WHERE f > 9000000), v AS (SELECT DISTINCT b, x, y, z FROM cells) SELECT b, x, y, z, CAST(EXISTS (SELECT 1 FROM t WHERE t.b = v.b AND (x - tx) * (x - tx) + (y - ty) * (y - ty) + (z - tz) * (z - tz) <= 4) AS INTEGER) AS label FROM v")

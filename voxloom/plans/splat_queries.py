@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -141,36 +143,92 @@ query(
 query("view_colour", f"WITH {_WHOLE} SELECT gid, {', '.join(_real(c, c, 12) for c in splats.RGB)} FROM raw")(lambda s, d: _rounded(splats.view_colour(splats.deactivate(gaussians(s, d)), (0, 0, -3), 0).select("gid", *splats.RGB), digits=12))
 
 # the camera looks along z from (0, 0, -3), so camera axes are (x, -y up to sign, z + 3) as its matrix says
-_M = np.array(CAMERA.world_to_camera)
-_CAM = ", ".join(f"{_M[i][0]} * px + {_M[i][1]} * py + {_M[i][2]} * pz + {_M[i][3]} AS c{i}" for i in range(3))
-_LIM = 0.65 * 32 / CAMERA.fx
-_SCREEN = f"""{_WHOLE}, cam AS (SELECT *, {_CAM} FROM turned), spot AS (SELECT *, greatest(c2, {CAMERA.near}) AS zz_, c0 / greatest(c2, {CAMERA.near}) AS tx, c1 / greatest(c2, {CAMERA.near}) AS ty FROM cam),
-jac AS (SELECT *, {', '.join(f"({CAMERA.fx} / zz_) * {_M[i][k]} - ({CAMERA.fx} * least(greatest({t}, {-_LIM}), {_LIM}) / zz_) * {_M[2][k]} AS j{i}{k}" for i, t in ((0, 'tx'), (1, 'ty')) for k in range(3))} FROM spot),
-bas AS (SELECT *, {', '.join(f"(j{i}0 * r0{k} + j{i}1 * r1{k} + j{i}2 * r2{k}) * s{'xyz'[k]} AS b{i}{k}" for i in range(2) for k in range(3))} FROM jac),
-form AS (SELECT *, b00 * b00 + b01 * b01 + b02 * b02 + {raster.LOW_PASS} AS fa, b00 * b10 + b01 * b11 + b02 * b12 AS fb, b10 * b10 + b11 * b11 + b12 * b12 + {raster.LOW_PASS} AS fd, {CAMERA.fx} * tx + {CAMERA.cx} AS u, {CAMERA.fy} * ty + {CAMERA.cy} AS v FROM bas),
+WIDE = Camera.look_at((0.0, 0.0, -3.0), (0.0, 0.0, 0.0), (0.0, -1.0, 0.0), 128, 128, 0.9)
+
+
+def _screen_sql(c: Camera, opacity: str = "opacity") -> str:
+    """What project() leaves, as ``seen``."""
+    m, lim = np.array(c.world_to_camera), 0.65 * c.width / c.fx
+    cam = ", ".join(f"{m[i][0]} * px + {m[i][1]} * py + {m[i][2]} * pz + {m[i][3]} AS c{i}" for i in range(3))
+    jac = ", ".join(f"({c.fx} / zz_) * {m[i][k]} - ({c.fx} * least(greatest({t}, {-lim}), {lim}) / zz_) * {m[2][k]} AS j{i}{k}" for i, t in ((0, "tx"), (1, "ty")) for k in range(3))
+    bas = ", ".join(f"(j{i}0 * r0{k} + j{i}1 * r1{k} + j{i}2 * r2{k}) * s{'xyz'[k]} AS b{i}{k}" for i in range(2) for k in range(3))
+    return f"""{_WHOLE}, cam AS (SELECT * REPLACE ({opacity} AS opacity), {cam} FROM turned), spot AS (SELECT *, greatest(c2, {c.near}) AS zz_, c0 / greatest(c2, {c.near}) AS tx, c1 / greatest(c2, {c.near}) AS ty FROM cam),
+jac AS (SELECT *, {jac} FROM spot), bas AS (SELECT *, {bas} FROM jac),
+form AS (SELECT *, b00 * b00 + b01 * b01 + b02 * b02 + {raster.LOW_PASS} AS fa, b00 * b10 + b01 * b11 + b02 * b12 AS fb, b10 * b10 + b11 * b11 + b12 * b12 + {raster.LOW_PASS} AS fd, {c.fx} * tx + {c.cx} AS u, {c.fy} * ty + {c.cy} AS v FROM bas),
 screen AS (SELECT *, fa * fd - fb * fb AS det, ceil(3 * sqrt((fa + fd) / 2 + sqrt(greatest(pow((fa + fd) / 2, 2) - (fa * fd - fb * fb), 0.1)))) AS radius FROM form),
-seen AS (SELECT * FROM screen WHERE c2 > {CAMERA.near} AND det > 1e-12 AND opacity >= {raster.LEAST_ALPHA} AND u + radius >= 0 AND u - radius < 32 AND v + radius >= 0 AND v - radius < 32)"""
-_SEEN = f"gid, {_real('u', 'u', 6)}, {_real('v', 'v', 6)}, {_real('fd / det', 'ka', 6)}, {_real('-fb / det', 'kb', 6)}, {_real('fa / det', 'kc', 6)}, {_real('opacity', 'opacity', 6)}, {_real('c2', 'depth', 6)}, {_real('r', 'r', 6)}, {_real('g', 'g', 6)}, {_real('b', 'b', 6)}, {_real('radius', 'radius', 6)}"
-query("project", f"WITH {_SCREEN} SELECT {_SEEN} FROM seen")(lambda s, d: _rounded(raster.project(gaussians(s, d), CAMERA), digits=6))
-_TILE = "least(greatest(CAST(floor(({0}) / 8) AS INTEGER), 0), 3)"
+seen AS (SELECT *, fd / det AS ka, -fb / det AS kb, fa / det AS kc FROM screen WHERE c2 > {c.near} AND det > 1e-12 AND opacity >= {raster.LEAST_ALPHA} AND u + radius >= 0 AND u - radius < {c.width} AND v + radius >= 0 AND v - radius < {c.height})"""
+
+
+def _tile_sql(x: str, tile: int, size: int) -> str:
+    return f"least(greatest(CAST(floor(({x}) / {tile}) AS INTEGER), 0), {(size + tile - 1) // tile - 1})"
+
+
+def _image_sql(c: Camera, opacity: str = "opacity", background=(0, 0, 0)) -> str:
+    """Each pixel's Gaussians from front to back as ``frags``, and the image of them as ``image``."""
+    near = " AND ".join(f"{a} // 16 BETWEEN {_tile_sql(f'{p} - radius', 16, c.width)} AND {_tile_sql(f'{p} + radius', 16, c.width)}" for a, p in (("pix", "u"), ("piy", "v")))
+    shown = ", ".join(f"coalesce(sum({k} * alpha * t), 0) + coalesce(min(aft), 1) * {b} AS {k}" for k, b in zip(("r", "g", "b"), background, strict=True))
+    return f"""{_screen_sql(c, opacity)}, pixel AS (SELECT CAST(i % {c.width} AS INTEGER) AS pix, CAST(i // {c.width} AS INTEGER) AS piy FROM range({c.width * c.height}) p(i)),
+lit AS (SELECT pix, piy, gid, c2 AS depth, r, g, b, ka, kb, kc, opacity, u - (pix + 0.5) AS dx, v - (piy + 0.5) AS dy FROM seen JOIN pixel ON {near}),
+pow_ AS (SELECT *, -0.5 * (ka * dx * dx + kc * dy * dy) - kb * dx * dy AS pw FROM lit), al AS (SELECT *, exp(pw) AS gauss, least({raster.MOST_ALPHA}, opacity * exp(pw)) AS alpha FROM pow_ WHERE pw <= 0),
+aft AS (SELECT *, exp(sum(ln(1 - alpha)) OVER (PARTITION BY pix, piy ORDER BY depth, gid)) AS aft FROM al WHERE alpha >= {raster.LEAST_ALPHA}), frags AS (SELECT *, aft / (1 - alpha) AS t FROM aft WHERE aft >= {raster.STOP}),
+image AS (SELECT pix AS x, piy AS y, {shown}, coalesce(sum(depth * alpha * t), 0) AS depth, 1 - coalesce(min(aft), 1) AS alpha FROM pixel LEFT JOIN frags USING (pix, piy) GROUP BY 1, 2)"""
+
+
+_IMAGE = f"x, y, {', '.join(_real(k, k, 6) for k in ('r', 'g', 'b', 'depth', 'alpha'))} FROM image"
+_SEEN = f"gid, {_real('u', 'u', 6)}, {_real('v', 'v', 6)}, {_real('ka', 'ka', 6)}, {_real('kb', 'kb', 6)}, {_real('kc', 'kc', 6)}, {_real('opacity', 'opacity', 6)}, {_real('c2', 'depth', 6)}, {_real('r', 'r', 6)}, {_real('g', 'g', 6)}, {_real('b', 'b', 6)}, {_real('radius', 'radius', 6)}"
+query("project", f"WITH {_screen_sql(CAMERA)} SELECT {_SEEN} FROM seen")(lambda s, d: _rounded(raster.project(gaussians(s, d), CAMERA), digits=6))
 query(
     "tiles",
-    f"WITH {_SCREEN} SELECT {_SEEN}, CAST(tx.i AS INTEGER) AS tx, CAST(ty.i AS INTEGER) AS ty FROM seen, range(4) tx(i), range(4) ty(i) WHERE tx.i BETWEEN {_TILE.format('u - radius')} AND {_TILE.format('u + radius')} AND ty.i BETWEEN {_TILE.format('v - radius')} AND {_TILE.format('v + radius')}",
+    f"WITH {_screen_sql(CAMERA)} SELECT {_SEEN}, CAST(tx.i AS INTEGER) AS tx, CAST(ty.i AS INTEGER) AS ty FROM seen, range(4) tx(i), range(4) ty(i) WHERE tx.i BETWEEN {_tile_sql('u - radius', 8, 32)} AND {_tile_sql('u + radius', 8, 32)} AND ty.i BETWEEN {_tile_sql('v - radius', 8, 32)} AND {_tile_sql('v + radius', 8, 32)}",
 )(lambda s, d: _rounded(raster.tiles(raster.project(gaussians(s, d), CAMERA), CAMERA, 8), ("gid", "tx", "ty"), 6))
-query("render")(lambda s, d: raster.render(gaussians(s, d), CAMERA, (0.1, 0.2, 0.3)))
-query("render_raw")(lambda s, d: raster.render_raw(splats.deactivate(gaussians(s, d)), CAMERA))
+query("render", f"WITH {_image_sql(WIDE, background=(0.1, 0.2, 0.3))} SELECT {_IMAGE}")(lambda s, d: _rounded(raster.render(gaussians(s, d), WIDE, (0.1, 0.2, 0.3)), ("x", "y"), 6))
+query("render_raw", f"WITH {_image_sql(CAMERA, 'greatest(least(opacity, 1 - 1e-6), 1e-6)')} SELECT {_IMAGE}")(lambda s, d: _rounded(raster.render_raw(splats.deactivate(gaussians(s, d)), CAMERA), ("x", "y"), 6))
 
 
 def _image(s, d):
     return raster.render(gaussians(s, d), CAMERA)
 
 
-query("image_l1")(lambda s, d: raster.l1(_image(s, d), _image(s, d).withColumn("r", F.col("r") / 2)))
-query("image_ssim")(lambda s, d: raster.ssim(_image(s, d), _image(s, d).withColumn("r", F.col("r") / 2)))
-
-
-@query("composite_backward")
+def _ssim_sql() -> str:
+    """Of the image and itself with half the red: windows of 11 along x, then along y."""
+    weights = [math.exp(-(k * k) / 4.5) for k in range(-5, 6)]
+    taps = ", ".join(f"({k}, {w / sum(weights)})" for k, w in zip(range(-5, 6), weights, strict=True))
+    names = ("p", "q", "pp", "qq", "pq")
+    passes, last = [], "both_"
+    for axis in "xy":
+        moved = {"x": "x + d AS x, y", "y": "x, y + d AS y"}[axis]
+        passes.append(f"{axis}_ AS (SELECT {moved}, ch, {', '.join(f'sum({n} * w) AS {n}' for n in names)} FROM {last}, win GROUP BY 1, 2, 3)")
+        last = f"{axis}_"
+    return f"""WITH {_image_sql(CAMERA)}, long_ AS (SELECT x, y, 0 AS ch, r AS p, r / 2 AS q FROM image UNION ALL SELECT x, y, 1, g, g FROM image UNION ALL SELECT x, y, 2, b, b FROM image),
+    both_ AS (SELECT *, p * p AS pp, q * q AS qq, p * q AS pq FROM long_), win(d, w) AS (VALUES {taps}), {', '.join(passes)}
+    SELECT {_real("avg((2 * p * q + 0.0001) * (2 * (pq - p * q) + 0.0009) / ((p * p + q * q + 0.0001) * (pp - p * p + qq - q * q + 0.0009)))", "ssim", 6)} FROM y_ WHERE x BETWEEN 0 AND 31 AND y BETWEEN 0 AND 31"""
+
+
+query("image_l1", f"WITH {_image_sql(CAMERA)} SELECT {_real('avg(r / 2) / 3', 'l1', 6)} FROM image")(lambda s, d: _rounded(raster.l1(_image(s, d), _image(s, d).withColumn("r", F.col("r") / 2)), (), 6))
+query("image_ssim", _ssim_sql())(lambda s, d: _rounded(raster.ssim(_image(s, d), _image(s, d).withColumn("r", F.col("r") / 2)), (), 6))
+
+_GRADS = {
+    "gu": "-dp * (ka * dx + kb * dy)",
+    "gv": "-dp * (kc * dy + kb * dx)",
+    "gka": "-0.5 * dx * dx * dp",
+    "gkb": "-dx * dy * dp",
+    "gkc": "-0.5 * dy * dy * dp",
+    "gopacity": f"CASE WHEN opacity * gauss <= {raster.MOST_ALPHA} THEN gauss * da ELSE 0 END",
+    "gdepth": "alpha * t",
+    "gr": "alpha * t",
+    "gg": "alpha * t",
+    "gb": "alpha * t",
+}
+
+
+@query(
+    "composite_backward",
+    f"""WITH {_image_sql(CAMERA)}, own AS (SELECT *, r + g + b + depth AS own, (r + g + b + depth) * alpha * t AS part, min(aft) OVER (PARTITION BY pix, piy) AS end_ FROM frags),
+    back AS (SELECT *, own * t - coalesce(sum(part) OVER (PARTITION BY pix, piy ORDER BY depth, gid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) / (1 - alpha) + end_ / (1 - alpha) AS da FROM own),
+    each AS (SELECT *, CASE WHEN opacity * gauss <= {raster.MOST_ALPHA} THEN opacity * gauss * da ELSE 0 END AS dp FROM back)
+    SELECT gid, {', '.join(_real(f'sum({v})', n, 5) for n, v in _GRADS.items())} FROM each GROUP BY gid""",
+)
 def _(spark, d):
     frags = raster.fragments(raster.project(gaussians(spark, d), CAMERA), CAMERA)
     grad = spark.range(32 * 32).select((F.col("id") % 32).cast("int").alias("x"), F.floor(F.col("id") / 32).cast("int").alias("y"), *(F.lit(1.0).alias(c) for c in ("gr", "gg", "gb", "gdepth", "galpha")))
-    return raster.composite_backward(frags, grad)
+    return _rounded(raster.composite_backward(frags, grad), digits=5)
