@@ -49,7 +49,7 @@ def corpus(seed=0, n=60):
 
 def test_exact_groups(spark):
     rows = corpus()
-    got = exact_dedup(docs(spark, rows), runs=8, fan_in=2).collect()
+    got = exact_dedup(docs(spark, rows), rounds=3).collect()
     groups = defaultdict(list)
     for i, t, _ in rows:
         groups[t].append(i)

@@ -64,7 +64,7 @@ def test_host_path_and_rules(spark):
     assert got[8] == ("notexample.com", "/en/7", "com/en/", "block") and got[9][:2] == ("u:p@h.com:80", "/en/x://y")
 
 
-def test_mined_rules_against_brute_force(spark):
+def test_mined_rules_find_a_planted_condition(spark):
     rng = np.random.default_rng(0)
     urls = [f"http://{rng.choice(['pills', 'shop', 'blog'])}.site.info/{rng.choice(['buy', 'read'])}/{rng.integers(5)}" for _ in range(400)]
     bad = ["pills" in u and "/buy/" in u for u in urls]
@@ -77,6 +77,55 @@ def test_mined_rules_against_brute_force(spark):
     assert twice.count() == 800
 
 
+def apriori(baskets, bad, least, min_confidence, min_lift):
+    """Antecedents with their confidence, by hand: size by size from those that are frequent in bad baskets."""
+    worst = [b for b, x in zip(baskets, bad, strict=True) if x]
+    count = lambda a, rows: sum(a <= r for r in rows)
+    level = {frozenset([i]) for b in worst for i in b}
+    kept, found = [], {}
+    while level:
+        level = {a for a in level if count(a, worst) >= least}
+        found |= {a: count(a, worst) / count(a, baskets) for a in level}
+        level = {a | b for a in level for b in level if len(a | b) == len(a) + 1}
+    for a, c in found.items():
+        general = [v for g, v in found.items() if g < a]
+        if c >= min_confidence and c / (len(worst) / len(baskets)) >= min_lift and all(v < c for v in general):
+            kept.append((a, c))
+    return kept
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_mined_rules_against_apriori(spark, seed):
+    rng = np.random.default_rng(seed)
+    urls = []
+    for _ in range(300):
+        words = [w for w in "abcdef" if rng.random() < 0.4]
+        urls.append(f"http://h{rng.integers(3)}.info/{'/'.join(words)}{'/x/y' if 'a' in words else ''}")
+    bad = [(("a" in u.split("/")) + ("c" in u.split("/")) + ("h1" in u) + rng.random() * 2) > 2.2 for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad) if i % 3], "doc_id long, quality int, toxic int")
+    items = [frozenset(r.items_) for r in pages.orderBy("page_id").select(url_filter.tokens(pages.url).alias("items_")).collect()]
+    of = [i for i in range(300) if i % 3]
+    rules = apriori([items[i] for i in of], [bad[i] for i in of], 10, 0.6, 1.2)
+    assert len(rules) > 5 and max(len(a) for a, _ in rules) > 1
+    want = [max((c for a, c in rules if a <= b), default=None) for b in items]
+    got = url_filter.judge(pages, labels, [], min_lift=1.2).orderBy("page_id").collect()
+    assert [r.confidence for r in got] == pytest.approx(want) and [r.verdict == "block" for r in got] == [w is not None for w in want]
+
+
+def test_rules_of_many_words_that_come_together(spark):
+    import time
+
+    path = "/".join(f"word{i}" for i in range(30))
+    urls = [f"http://site.org/{path}" for _ in range(60)] + [f"http://other{i % 7}.org/page" for i in range(140)]
+    bad = [i % 10 > 0 if i < 60 else i % 20 == 0 for i in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = url_filter.judge(pages, labels, []).orderBy("page_id").collect()
+    assert [r.verdict == "block" for r in got] == [i < 60 for i in range(200)] and time.time() - began < 30
+
+
 @pytest.mark.parametrize("most", [4096, 0])
 def test_rules_of_one_host_leave_those_of_others(spark, most):
     path = "/".join("abcdefghij")  # 13 tokens that stand together: 8,191 rules of confidence 1
