@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node.
 
     Each round joins a node's neighbours to its smallest one. The edges are cut off from their lineage after each
-    round and never leave the executors; the driver sees their number and a checksum.
+    round and never leave the executors; the driver sees their number and a checksum. The smallest neighbours are written
+    down before they are joined, so that Spark can split the neighbours of a node that has very many.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     last = None
@@ -23,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = now
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = small.union(least.select("u", "m")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
