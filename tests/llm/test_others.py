@@ -244,6 +244,32 @@ def test_unigram_models_take_the_shortest_path():
     assert got == [1, 3]  # "▁" + "ab" costs 5.5, "▁a" + "b" 7, "▁ab" 9
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_unigram_models_with_a_character_map_equal_the_library(seed):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    from voxloom.llm.sentencepiece_wfst import Transducer
+
+    rng = np.random.default_rng(seed)
+    mapped = pb.ModelProto()
+    mapped.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=bool(seed % 2)).serialized_model_proto())
+    m = pb.ModelProto()
+    m.normalizer_spec.CopyFrom(mapped.normalizer_spec)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, seed < 2
+    m.pieces.add(piece="<unk>", score=0, type=2)
+    for i in range(256 if seed < 2 else 0):
+        m.pieces.add(piece=f"<0x{i:02X}>", score=0, type=6)
+    for p in {"▁", "a", "f", "é", *("".join(rng.choice(list("▁abcfié"), rng.integers(1, 5))) for _ in range(80))}:
+        if "▁" not in p[1:]:
+            m.pieces.add(piece=p, score=-float(rng.integers(1000)) / 128 - len(p) / 1000, type=1)
+    own, library = Transducer(m.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    texts = ["".join(rng.choice(list("abcfié ﬁ①Ⅳ\u3000e\u0301日😀\t"), rng.integers(0, 40))) for _ in range(400)]
+    for t, ids in zip(texts, own.encode_all(texts), strict=True):
+        got, want = np.frombuffer(ids, np.int32).tolist(), library.encode(t)
+        assert got == want, t
+
+
 # -- the pipeline
 
 

@@ -18,11 +18,112 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")
-_SLICE = 2 << 20  # characters whose stretches are sorted together
+_SLICE = 2 << 20  # characters whose stretches are composed together
+#: Pairs that the pair transducer remembers.
+PAIRS = 300_000
+
+
+class Normaliser:
+    """The normaliser's transducer: replacements of the longest source that fits, and what becomes of white space.
+
+    A compiled character map holds a double-array trie of sources (UTF-8) and the texts that they become. Its arcs are read out once;
+    sources of one character are a table, longer ones are tried from the characters that begin one.
+    """
+
+    def __init__(self, spec):
+        if spec.precompiled_charsmap and not spec.escape_whitespaces:
+            raise ValueError("blanks must be escaped")
+        if not spec.escape_whitespaces:
+            raise ValueError("only models that write blanks as pieces are supported")
+        self.prefix = BLANK if spec.add_dummy_prefix else ""
+        self.trims = spec.remove_extra_whitespaces
+        arcs = dict(self._arcs(spec.precompiled_charsmap)) if spec.precompiled_charsmap else {}
+        self.single = {ord(k): v for k, v in arcs.items() if len(k) == 1}
+        self.longer = {k: v for k, v in arcs.items() if len(k) > 1}
+        self.longest = max(map(len, self.longer), default=0)
+        self.begins = {k[0] for k in self.longer}
+
+    @staticmethod
+    def _arcs(blob: bytes) -> Iterator[tuple[str, str]]:
+        size = int.from_bytes(blob[:4], "little")
+        units, texts = np.frombuffer(blob, np.uint32, size // 4, 4).astype(np.int64), blob[4 + size :]
+        labels, every = units & 0x800000FF, np.arange(1, 256)
+        below = lambda at: at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
+        open_ = [(0, b"")]
+        while open_:
+            at, source = open_.pop()
+            base = below(at)
+            next_ = base ^ every
+            fit = next_ < len(units)
+            fit[fit] = labels[next_[fit]] == every[fit]
+            for c in every[fit].tolist():
+                to = base ^ c
+                if units[to] >> 8 & 1:
+                    value = int(units[below(to)] & 0x7FFFFFFF)
+                    yield (source + bytes([c])).decode("utf-8", "ignore"), texts[value : texts.index(b"\0", value)].decode("utf-8", "replace")
+                open_.append((to, source + bytes([c])))
+
+    def __call__(self, text: str) -> str:
+        if self.longer and not self.begins.isdisjoint(text):
+            out, i = [], 0
+            while i < len(text):
+                n = next((n for n in range(min(self.longest, len(text) - i), 1, -1) if text[i : i + n] in self.longer), 1) if text[i] in self.begins else 1
+                out.append(self.longer[text[i : i + n]] if n > 1 else self.single.get(ord(text[i]), text[i]))
+                i += n
+            text = "".join(out)
+        elif self.single:
+            text = text.translate(self.single)
+        if self.trims:
+            text = re.sub(" +", " ", text).strip(" ")
+        return self.prefix + text.replace(" ", BLANK) if text else ""
+
+
+class Pieces:
+    """The pieces' transducer: states of a trie, arcs from state to state by character, and the piece that a state ends.
+
+    Arcs are sorted by state and character, so that many places of an input take their arcs in one look-up.
+    """
+
+    def __init__(self, ids: dict[str, int]):
+        self.symbol = {c: k for k, c in enumerate(sorted(set("".join(ids))))}
+        points = np.array([ord(c) for c in self.symbol], np.int64)
+        self.number = np.full(0x110000, -1, np.int32)
+        self.number[points] = np.arange(len(points))
+        states: dict[str, int] = {"": 0}
+        arcs, final = [], {}
+        for piece, i in ids.items():
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in states:
+                    states[piece[:k]] = len(states)
+                    arcs.append((states[piece[: k - 1]] * len(points) + self.symbol[piece[k - 1]], states[piece[:k]]))
+            final[states[piece]] = i
+        arcs.sort()
+        self.keys, self.to = (np.array(x, np.int64) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int64),) * 2
+        self.piece = np.full(len(states), -1, np.int32)
+        self.piece[list(final)] = list(final.values())
+
+    def compose(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all arcs that the pieces give over ``text`` (code points), none beyond ``ends`` of its place."""
+        symbols = self.number[text].astype(np.int64)
+        start = np.flatnonzero(symbols >= 0)
+        state, at = np.zeros(len(start), np.int64), start
+        found = []
+        while len(start) and len(self.keys):
+            key = state * len(self.symbol) + symbols[at]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[arc] == key
+            start, at, state = start[on], at[on] + 1, self.to[arc[on]]
+            piece = self.piece[state]
+            use = piece >= 0
+            found.append((start[use], at[use], piece[use]))
+            on = at < ends[start]
+            on[on] = symbols[at[on]] >= 0
+            start, at, state = start[on], at[on], state[on]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 class Transducer:
-    """The composition of normaliser, pieces and byte fallback, applied to one text at a time.
+    """The composition of normaliser, pieces and byte fallback with a text, and its shortest path.
 
     The normaliser maps blanks to BLANK and puts one in front. The piece transducer maps a character sequence to
     a piece's id; a character that is no piece leads through its bytes. Arcs weigh minus the piece's score in the
@@ -31,9 +132,8 @@ class Transducer:
     such a pair is what merging gives, so its path is the only one of finite weight.
 
     Shortest paths are taken by stretch: no piece crosses the bounds between a blank and what stands before it, and
-    none holds a character that is only bytes. The path to a place depends only on what stands before it, so new
-    stretches are taken in sorted order and each goes on from the prefix that it shares with the one before. Frequent
-    stretches are remembered until there are ``remembered`` of them.
+    none holds a character that is only bytes. All new stretches of a slice are composed at once and relaxed place by place.
+    Frequent stretches are remembered until there are ``remembered`` of them.
     """
 
     def __init__(self, model: bytes, remembered: int = 60_000):
@@ -42,9 +142,10 @@ class Transducer:
         normaliser, trainer = proto.normalizer_spec, proto.trainer_spec
         if trainer.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are transducers of pieces")
-        if normaliser.precompiled_charsmap or normaliser.remove_extra_whitespaces or not normaliser.escape_whitespaces:
-            raise ValueError("only the identity normaliser, which keeps all white space, is supported")
-        self.prefix = BLANK if normaliser.add_dummy_prefix else ""
+        if trainer.treat_whitespace_as_suffix:
+            raise ValueError("only models that put blanks before words are supported")
+        self.normalise = Normaliser(normaliser)
+        self.prefix = self.normalise.prefix
         self.bpe = trainer.model_type == BPE
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -64,7 +165,6 @@ class Transducer:
                 self.out[i] = (trainer.unk_surface or " ⁇ ").encode()
             else:
                 self.out[i] = b""
-        self.longest = max(map(len, self.ids), default=1)
         self.fallback = min(self.score.values(), default=0.0) - 10.0  # the library's penalty of an unknown character
         letters = set("".join(self.ids))
         inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
@@ -73,7 +173,12 @@ class Transducer:
         self.remembered, self.memo = remembered, {}
         self.pieces = [p.piece for p in proto.pieces]
         self.raw = [np.int32(i).tobytes() for i in range(len(self.pieces))]
-        self.pairs: dict[int, bool] = {}  # by left id * number of pieces + right id
+        self.arcs = Pieces(self.ids)
+        self.weight = np.zeros(len(self.pieces) + 1)  # the last is a character without a piece
+        for piece, i in self.ids.items():
+            self.weight[i] = -self.score[piece]
+        self.weight[-1] = -self.fallback
+        self.known, self.fit = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs: left id * number of pieces + right id
         self._spines = lru_cache(maxsize=20_000)(self._derive)
 
     # -- the pair transducer of a BPE model
@@ -116,12 +221,21 @@ class Transducer:
             else:
                 j += 1
 
-    def _fits(self, key: int) -> bool:
-        if len(self.pairs) > 300_000:
-            self.pairs.clear()
-        a, b = divmod(key, len(self.pieces))
-        got = self.pairs[key] = self._pair(self.pieces[a], self.pieces[b])
-        return got
+    def _fits(self, keys: np.ndarray) -> np.ndarray:
+        """Which pairs (left id * number of pieces + right id) the pair transducer lets through."""
+        new = np.unique(keys)
+        if len(self.known):
+            new = new[self.known[np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)] != new]
+        if len(new):
+            if len(self.known) > PAIRS:
+                self.known, self.fit = self.known[:0], self.fit[:0]
+                new = np.unique(keys)
+            n = len(self.pieces)
+            fit = np.array([self._pair(self.pieces[k // n], self.pieces[k % n]) for k in new.tolist()], bool)
+            every = np.concatenate([self.known, new])
+            order = np.argsort(every)
+            self.known, self.fit = every[order], np.concatenate([self.fit, fit])[order]
+        return self.fit[np.searchsorted(self.known, keys)]
 
     # -- the shortest path
 
@@ -130,89 +244,76 @@ class Transducer:
         return b"".join([self.raw[i] for i in ids]) if min(ids) >= 0 else self.raw[self.unknown]
 
     def _paths(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of the least-weight paths through stretches, which are sorted.
+        """Ids of the least-weight paths through stretches.
 
-        Only one path of a BPE model to a place has finite weight, so ``state`` has the pair transducer's state at each
-        place (a piece, or -1 after bytes and at the start, where anything may follow), and the first arc that fits is
-        the last one of the shortest path.
+        Arcs are relaxed by the place of their end within their stretch. ``state`` has the pair transducer's state after the
+        best path to each place: a piece, or -1 after bytes and at the start, where anything may follow.
         """
-        if not self.bpe:
-            return {s: self._long(s) for s in stretches}
-        out, piece_of, fits_of, fits, raw = {}, self.ids.get, self.pairs.get, self._fits, self.raw
-        n, longest = len(self.pieces), self.longest
-        before, state, done = "", [-1], [b""]
-        for s in stretches:
-            size = len(s)
-            if size > 256:  # would keep too many beginnings of its path
-                out[s] = self._long(s)
-                continue
-            same = 0
-            for x, y in zip(before, s):  # noqa: B905
-                if x != y:
-                    break
-                same += 1
-            del state[same + 1 :], done[same + 1 :]
-            for end in range(same + 1, size + 1):
-                start = end - 1
-                low = end - longest
-                while True:
-                    piece = piece_of(s[start:end])
-                    if piece is None:
-                        if start == end - 1:
-                            state.append(-1)
-                            done.append(done[start] + self._bytes(s[start]))
-                            break
-                    else:
-                        left = state[start]
-                        ok = True
-                        if left >= 0:
-                            ok = fits_of(left * n + piece)
-                            if ok is None:
-                                ok = fits(left * n + piece)
-                        if ok:
-                            state.append(piece)
-                            done.append(done[start] + raw[piece])
-                            break
-                    start -= 1
-                    if start < 0 or start < low:
-                        raise AssertionError(f"no path to place {end} of {s!r}")
-            out[s] = done[-1]
-            before = s
-        return out
-
-    def _long(self, s: str) -> bytes:
-        """As _paths() for one stretch, which keeps where arcs start in place of the beginnings of the path."""
-        back, state, n = [0], [-1], len(self.pieces)
-        weight = [0.0] + [_INF] * len(s)
-        for end in range(1, len(s) + 1):
-            back.append(-1)
-            state.append(-1)
-            for start in range(max(0, end - self.longest), end):
-                piece = self.ids.get(s[start:end], -1)
-                if weight[start] == _INF or (piece < 0 and end - start > 1):
-                    continue
-                if self.bpe and piece >= 0 and state[start] >= 0:
-                    key = state[start] * n + piece
-                    if not (self.pairs[key] if key in self.pairs else self._fits(key)):
-                        continue
-                own = weight[start] - (self.fallback if piece < 0 else self.score[s[start:end]])
-                if own < weight[end]:
-                    weight[end], back[end], state[end] = own, start, piece
-        out, end = [], len(s)
-        while end:
-            start = back[end]
-            out.append(self.raw[state[end]] if state[end] >= 0 else self._bytes(s[start:end]))
-            end = start
-        return b"".join(reversed(out))
+        if not stretches:
+            return {}
+        text = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(s) for s in stretches])
+        ends = np.cumsum(sizes)
+        first = ends - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        start, end, piece = self.arcs.compose(text, np.repeat(ends, sizes))
+        # a character that is no piece leads through its bytes
+        single = np.zeros(len(text), bool)
+        single[start[end - start == 1]] = True
+        bare, n = np.flatnonzero(~single), len(self.pieces)
+        start, end = np.concatenate([start, bare]), np.concatenate([end, bare + 1])
+        piece = np.concatenate([piece.astype(np.int64), np.full(len(bare), n)])
+        place = end - first[of[start]]
+        order = np.lexsort((start, end, place))
+        start, end, piece, place = start[order], end[order], piece[order], place[order]
+        # places of a stretch and the one after its last have slots of their own
+        slot = lambda at, owner: at + owner
+        owner = of[start]
+        from_, to = slot(start, owner), slot(end, owner)
+        weight = np.full(len(text) + len(sizes), _INF)
+        weight[slot(first, np.arange(len(sizes)))] = 0.0
+        state, back = np.full(len(weight), -1, np.int64), np.full(len(weight), -1, np.int64)
+        bounds = np.flatnonzero(np.diff(place, prepend=0, append=place[-1] + 1))
+        for a, b in zip(bounds, bounds[1:]):  # noqa: B905
+            f, t, p = from_[a:b], to[a:b], piece[a:b]
+            own = weight[f] + self.weight[p]
+            if self.bpe:
+                left = state[f]
+                both = np.flatnonzero((left >= 0) & (p < n) & (own < _INF))
+                own[both[~self._fits(left[both] * n + p[both])]] = _INF
+            new = np.flatnonzero(np.diff(t, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(own, new), np.diff(new, append=len(t)))
+            best = np.flatnonzero((own == least) & (own < _INF))
+            best = best[np.flatnonzero(np.diff(t[best], prepend=-1))]  # of equal weights the first, which is the longest piece
+            weight[t[best]], back[t[best]] = own[best], f[best]
+            state[t[best]] = np.where(p[best] < n, p[best], -1)
+        last = slot(ends, np.arange(len(sizes)))
+        if (weight[last] == _INF).any():
+            raise AssertionError("a stretch has no path")
+        # back from the ends, all stretches at a time
+        at, parts = last, []
+        live = np.arange(len(sizes))
+        while len(live):
+            parts.append((live, at))
+            at = back[at]
+            on = back[at] >= 0
+            live, at = live[on], at[on]
+        owner, at = (np.concatenate(x) for x in zip(*reversed(parts), strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, at = owner[order], at[order]
+        raw, chars = self.raw, "".join(stretches)
+        ids = [raw[i] if i >= 0 else self._bytes(chars[k]) for i, k in zip(state[at].tolist(), (at - owner - 1).tolist(), strict=True)]
+        cuts = np.searchsorted(owner, np.arange(len(sizes) + 1)).tolist()
+        return {s: b"".join(ids[cuts[k] : cuts[k + 1]]) for k, s in enumerate(stretches)}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        cut = [self.stretches(self.prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
+        cut = [self.stretches(self.normalise(t)) if t else [] for t in texts]
         memo, new = self.memo, set()
         for c in cut:
             new.update(c)
         new.difference_update(memo)
-        fresh = self._paths(sorted(new))
+        fresh = self._paths(list(new))
         found = memo | fresh
         if len(memo) < self.remembered:  # those that occur again in these texts
             seen: set[str] = set()
@@ -224,7 +325,15 @@ class Transducer:
                             memo[s] = fresh[s]
                         else:
                             again(s)
-        return [b"".join([found[s] for s in c]) for c in cut]
+        rows = [b"".join([found[s] for s in c]) for c in cut]
+        return rows if min(self.byte_ids) >= 0 else [self._merged(r) for r in rows]
+
+    def _merged(self, row: bytes) -> bytes:
+        """Neighbouring unknown characters are one."""
+        ids = np.frombuffer(row, np.int32)
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
