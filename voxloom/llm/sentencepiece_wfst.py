@@ -19,8 +19,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")
 _SLICE = 2 << 20  # characters whose stretches are composed together
-#: Pairs that the pair transducer remembers.
-PAIRS = 300_000
+#: The pair transducer remembers up to 2 ** PAIR_BITS pairs.
+PAIR_BITS = 20
 
 
 class Normaliser:
@@ -78,10 +78,45 @@ class Normaliser:
         return self.prefix + text.replace(" ", BLANK) if text else ""
 
 
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Table:
+    """Numbers by key, in open addressing, so that many keys are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(int(4 * len(keys)).bit_length(), 4)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        place = _place(keys, self.bits)
+        while len(keys):
+            free = self.keys[place] < 0
+            _, first = np.unique(np.where(free, place, -1 - np.arange(len(place))), return_index=True)
+            put = first[free[first]]
+            self.keys[place[put]], self.values[place[put]] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, place = keys[left], values[left], (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for unknown keys."""
+        place = _place(keys, self.bits)
+        here = self.keys[place]
+        out = np.where(here == keys, self.values[place], -1)
+        open_ = np.flatnonzero((here != keys) & (here >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+            here = self.keys[place[open_]]
+            hit = here == keys[open_]
+            out[open_[hit]] = self.values[place[open_[hit]]]
+            open_ = open_[~hit & (here >= 0)]
+        return out
+
+
 class Pieces:
     """The pieces' transducer: states of a trie, arcs from state to state by character, and the piece that a state ends.
 
-    Arcs are sorted by state and character, so that many places of an input take their arcs in one look-up.
+    Arcs are in a table by state and character, so that many places of an input take their arcs in one look-up.
     """
 
     def __init__(self, ids: dict[str, int]):
@@ -97,8 +132,7 @@ class Pieces:
                     states[piece[:k]] = len(states)
                     arcs.append((states[piece[: k - 1]] * len(points) + self.symbol[piece[k - 1]], states[piece[:k]]))
             final[states[piece]] = i
-        arcs.sort()
-        self.keys, self.to = (np.array(x, np.int64) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int64),) * 2
+        self.arcs = Table(*np.array(arcs, np.int64).reshape(-1, 2).T.copy())
         self.piece = np.full(len(states), -1, np.int32)
         self.piece[list(final)] = list(final.values())
 
@@ -108,18 +142,18 @@ class Pieces:
         start = np.flatnonzero(symbols >= 0)
         state, at = np.zeros(len(start), np.int64), start
         found = []
-        while len(start) and len(self.keys):
-            key = state * len(self.symbol) + symbols[at]
-            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            on = self.keys[arc] == key
-            start, at, state = start[on], at[on] + 1, self.to[arc[on]]
+        while len(start):
+            state = self.arcs(state * len(self.symbol) + symbols[at])
+            on = state >= 0
+            start, at, state = start[on], at[on] + 1, state[on]
             piece = self.piece[state]
             use = piece >= 0
             found.append((start[use], at[use], piece[use]))
             on = at < ends[start]
             on[on] = symbols[at[on]] >= 0
             start, at, state = start[on], at[on], state[on]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        # the longest first
+        return tuple(np.concatenate(x) for x in zip(*reversed(found), strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 class Transducer:
@@ -178,7 +212,7 @@ class Transducer:
         for piece, i in self.ids.items():
             self.weight[i] = -self.score[piece]
         self.weight[-1] = -self.fallback
-        self.known, self.fit = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs: left id * number of pieces + right id
+        self.known, self.fit = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)  # pairs by their place
         self._spines = lru_cache(maxsize=20_000)(self._derive)
 
     # -- the pair transducer of a BPE model
@@ -223,19 +257,19 @@ class Transducer:
 
     def _fits(self, keys: np.ndarray) -> np.ndarray:
         """Which pairs (left id * number of pieces + right id) the pair transducer lets through."""
-        new = np.unique(keys)
-        if len(self.known):
-            new = new[self.known[np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)] != new]
-        if len(new):
-            if len(self.known) > PAIRS:
-                self.known, self.fit = self.known[:0], self.fit[:0]
-                new = np.unique(keys)
+        place = _place(keys, PAIR_BITS)
+        fit = self.fit[place]
+        missed = np.flatnonzero(self.known[place] != keys)
+        if len(missed):
+            new, where = np.unique(keys[missed], return_inverse=True)
             n = len(self.pieces)
-            fit = np.array([self._pair(self.pieces[k // n], self.pieces[k % n]) for k in new.tolist()], bool)
-            every = np.concatenate([self.known, new])
-            order = np.argsort(every)
-            self.known, self.fit = every[order], np.concatenate([self.fit, fit])[order]
-        return self.fit[np.searchsorted(self.known, keys)]
+            own = np.array([self._pair(self.pieces[k // n], self.pieces[k % n]) for k in new.tolist()], bool)
+            fit[missed] = own[where]
+            at = _place(new, PAIR_BITS)
+            self.known[at], self.fit[at] = -1, False  # of pairs with the same place the last stays
+            self.known[at] = new
+            self.fit[at[self.known[at] == new]] = own[self.known[at] == new]
+        return fit
 
     # -- the shortest path
 
@@ -263,9 +297,11 @@ class Transducer:
         bare, n = np.flatnonzero(~single), len(self.pieces)
         start, end = np.concatenate([start, bare]), np.concatenate([end, bare + 1])
         piece = np.concatenate([piece.astype(np.int64), np.full(len(bare), n)])
+        order = np.argsort(end, kind="stable")  # few runs, each in order
+        place = (end - first[of[start]])[order]
+        order = order[np.argsort(place.astype(np.uint16) if sizes.max() < 1 << 16 else place, kind="stable")]
+        start, end, piece = start[order], end[order], piece[order]
         place = end - first[of[start]]
-        order = np.lexsort((start, end, place))
-        start, end, piece, place = start[order], end[order], piece[order], place[order]
         # places of a stretch and the one after its last have slots of their own
         slot = lambda at, owner: at + owner
         owner = of[start]
