@@ -111,8 +111,8 @@ def test_lines(spark, seed):
 def test_line_bound_grows_with_the_line(spark, monkeypatch, few):
     """With keys of one line at most, all pairs come from the rarest tokens."""
     monkeypatch.setattr(line_dedup, "FEW", few)
-    monkeypatch.setattr(line_dedup, "BLOCK", 1024 if few > 1 else 4)
-    monkeypatch.setattr(line_dedup, "KEYS_HELD", 1 << 20 if few > 1 else 200)
+    monkeypatch.setattr(line_dedup, "BLOCK", 512 if few > 1 else 4)
+    monkeypatch.setattr(line_dedup, "KEYS_HELD", 1 << 19 if few > 1 else 200)
     rng = np.random.default_rng(5)
     rows, drop, earlier = [], [], []
     for n in (12, 29, 30, 44, 46, 75, 200, 4, 6, 8):

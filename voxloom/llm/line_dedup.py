@@ -18,11 +18,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: The bounds of the query and of the pipeline.
 WORDS_PER_EDIT, CHARS_PER_EDIT = 15, 20
 #: Lines of a key up to which all its pairs are made, and lines that are compared with others in one task.
-FEW, BLOCK = 64, 1024
+FEW, BLOCK = 64, 512
 #: A token is frequent if more than one in FREQUENT is it, so there are fewer than that.
 FREQUENT = 1 << 16
 #: Keys that a task holds before it deals them out or sifts them.
-KEYS_HELD = 1 << 20
+KEYS_HELD = 1 << 19
 
 
 def line_names(lines: list[bytes]) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, language_id, line_dedup, near_dedup, quality, toxicity
 from .common import fold, table
 from .exact_dedup import exact_dedup
-from .sentencepiece_wfst import decode, encode, read_model
+from .sentencepiece_wfst import encode_and_decode, read_model
 from .sharding import shard
 from .url_filter import PathRule, judge
 
@@ -64,9 +64,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = read_model(model_path)
-    both = decode(encode(docs, model), model)
-    return both.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = encode_and_decode(docs, read_model(model_path))
+    return both.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "round_trip")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .common import released, slices
@@ -18,7 +19,7 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")
-_SLICE = 2 << 20  # characters whose stretches are composed together
+_SLICE = 1 << 20  # characters whose stretches are composed together
 #: The pair transducer remembers up to 2 ** PAIR_BITS pairs.
 PAIR_BITS = 20
 
@@ -208,7 +209,7 @@ class Transducer:
         self.pieces = [p.piece for p in proto.pieces]
         self.raw = [np.int32(i).tobytes() for i in range(len(self.pieces))]
         self.arcs = Pieces(self.ids)
-        self.weight = np.zeros(len(self.pieces) + 1)  # the last is a character without a piece
+        self.weight = np.zeros(len(self.pieces) + 1, np.float32)  # as the library adds them; the last is a character without a piece
         for piece, i in self.ids.items():
             self.weight[i] = -self.score[piece]
         self.weight[-1] = -self.fallback
@@ -306,7 +307,7 @@ class Transducer:
         slot = lambda at, owner: at + owner
         owner = of[start]
         from_, to = slot(start, owner), slot(end, owner)
-        weight = np.full(len(text) + len(sizes), _INF)
+        weight = np.full(len(text) + len(sizes), _INF, np.float32)
         weight[slot(first, np.arange(len(sizes)))] = 0.0
         state, back = np.full(len(weight), -1, np.int64), np.full(len(weight), -1, np.int64)
         bounds = np.flatnonzero(np.diff(place, prepend=0, append=place[-1] + 1))
@@ -421,6 +422,7 @@ def _mapped(docs: DataFrame, model: bytes, added: str, kind: str, values: Callab
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text (array of int), as the SentencePiece library gives them.
 
+    Of paths of exactly equal weight (which only unigram models have) the one with the longest last piece is taken.
     Null counts as empty and has no ids. No piece stands for a control sign, whatever a text says. A column named
     ``ids_col`` is replaced.
     """
@@ -434,6 +436,22 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
     return _mapped(docs, model, ids_col, "array<int>", values)
 
 
+def encode_and_decode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
+    """encode(), and whether decoding gives the text again (null counts as empty), in one pass."""
+
+    def values(own: Transducer, batch: pa.RecordBatch):
+        for at, texts in slices(batch, text_col, _SLICE):
+            rows = [np.frombuffer(r, np.int32) for r in own.encode_all(texts)]
+            same = [own.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+            yield at, len(texts), pa.StructArray.from_arrays([ids, pa.array(same)], ["ids", "same"])
+
+    both = "__both"
+    out = _mapped(docs.drop(ids_col, same_col), model, both, "struct<ids: array<int>, same: boolean>", values)
+    return out.withColumns({ids_col: F.col(f"{both}.ids"), same_col: F.col(f"{both}.same")}).drop(both)
+
+
 def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text that the ids stand for; null ids give an empty text.
 
