@@ -19,7 +19,7 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")
-_SLICE = 1 << 20  # characters whose stretches are composed together
+_SLICE = 1 << 19  # characters whose stretches are composed together
 #: The pair transducer remembers up to 2 ** PAIR_BITS pairs.
 PAIR_BITS = 20
 
@@ -214,7 +214,7 @@ class Transducer:
             self.weight[i] = -self.score[piece]
         self.weight[-1] = -self.fallback
         self.known, self.fit = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)  # pairs by their place
-        self._spines = lru_cache(maxsize=20_000)(self._derive)
+        self._spines = lru_cache(maxsize=8_000)(self._derive)
 
     # -- the pair transducer of a BPE model
 
