@@ -247,7 +247,7 @@ def test_queries_take_all_gaussians(spark, tmp_path):
     df = gaussians(spark, str(tmp_path))
     pairs = {(r.gid_a, r.gid_b) for r in q["overlap_integrals"](spark, str(tmp_path)).select("gid_a", "gid_b").collect()}
     assert pairs == {(i * 7, (i + 1) % 600 * 7) for i in range(600)}
-    got = q["knn_all"](spark, str(tmp_path)).collect()
+    got = q["knn"](spark, str(tmp_path)).collect()
     x = np.array([[r.px, r.py, r.pz] for r in df.orderBy("gid").select(*splats.P).collect()])
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
