@@ -238,7 +238,7 @@ def test_view_colour_by_harmonics(spark):
 
 def test_queries_take_all_gaussians(spark, tmp_path):
     from voxloom.plans import catalog
-    from voxloom.plans.splat_queries import CAMERA, gaussians
+    from voxloom.plans.splat_queries import WIDE, gaussians
 
     rng = np.random.default_rng(9)
     rows = [(i * 7, [float(v) for v in rng.normal(0, 0.15, 64)]) for i in range(600)]  # ids with gaps, beyond 500
@@ -254,7 +254,7 @@ def test_queries_take_all_gaussians(spark, tmp_path):
     assert {(r.gid, r.other) for r in got} == {(i * 7, int(j) * 7) for i in range(600) for j in np.argsort(d[i], kind="stable")[:3]}
     # the image of all differs from that of a few, and is what render gives for all
     image = lambda f: {(r.x, r.y): (r.r, r.g, r.b) for r in f.collect()}
-    whole, few = image(q["render"](spark, str(tmp_path))), image(raster.render(df.filter("gid < 64"), CAMERA, (0.1, 0.2, 0.3)))
-    want = image(raster.render(df, CAMERA, (0.1, 0.2, 0.3)))
-    assert whole.keys() == want.keys() and all(np.allclose(whole[k], want[k]) for k in want)
+    whole, few = image(q["render"](spark, str(tmp_path))), image(raster.render(df.filter("gid < 64"), WIDE, (0.1, 0.2, 0.3)))
+    want = image(raster.render(df, WIDE, (0.1, 0.2, 0.3)))
+    assert whole.keys() == want.keys() and all(np.allclose(whole[k], want[k], atol=1e-6) for k in want)  # the query rounds
     assert not all(np.allclose(whole[k], few[k], atol=1e-3) for k in few)
