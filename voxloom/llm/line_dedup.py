@@ -624,8 +624,9 @@ class Bound:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
 
 
-def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
-    """(row, doc_id, lines): which lines of each row of ``docs`` (row, doc_id, text) have an earlier equal.
+def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, lines): which lines of each row of ``docs`` (row, doc_id, text) have an earlier equal; and (row, doc_id) of
+    rows with lines that ``docs`` holds more than once.
 
     ``row`` is a hash of the text, so with the id it names a row however often that is computed. Rows of the same id and
     text are one here; dedup_lines() tells them apart.
@@ -718,7 +719,8 @@ def repeated_lines(docs: DataFrame, least_words: int = 10, words_per_edit: int |
         compared = blocks(rows, "token", F.col("size"), BLOCK).select("token", "lo", "hi", "left", "node", "text", "open").mapInArrow(released(bound.compared), "id long")
         near = near.union(verified(enough(undone, F.col("less")).union(small).distinct())).union(compared)
     near = left.join(near.distinct(), "id").select("row", "doc_id", "line")
-    return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    again = prints.filter(F.size("line") > 0).groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return equal.union(near).distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")), again
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropped_col: str = "dropped_lines", least_words: int = 10, words_per_edit: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
@@ -730,9 +732,9 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     number, lost = "__row", "__lost"
     base = docs.drop(dropped_col).withColumn(number, F.xxhash64(F.col(text_col).cast("string")))
-    found = repeated_lines(base.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least_words, words_per_edit, chars_per_edit)
+    found, again = repeated_lines(base.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least_words, words_per_edit, chars_per_edit)
     found = found.select(F.col("row").alias(number), F.col("doc_id").alias(id_col), F.col("lines").alias(lost))
-    again = cut(base.filter(F.trim(F.col(text_col).cast("string")) != "").groupBy(number, id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
+    again = cut(again.select(F.col("row").alias(number), F.col("doc_id").alias(id_col), F.col("n").alias("__n")))
     joined = lookup(base, found, [number, id_col], "left")
     if again.limit(1).count():  # rows of the same id and text: written down with a number, all but the first lose every line
         marked = lookup(joined, again, [number, id_col], "left")
