@@ -109,3 +109,64 @@ def test_streaming(spark, tmp_path):
     q = streaming.for_each_batch(stream, lambda df: pool.voxelise(df, ["x"], ["f"], "max").df, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert {(r.b, r.x, r.f) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(0, 1, 3.0), (1, 4, 5.0)}
+
+
+def test_ssim_backward(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.uniform(size=(2, 6, 7, 3))
+    make = lambda i: spark.createDataFrame([(x, y, *map(float, i[y, x])) for y in range(6) for x in range(7)], "x int, y int, r double, g double, b double")
+    got = {(r.x, r.y): (r.gr, r.gg, r.gb) for r in raster.ssim_backward(make(a), make(b), 42).collect()}
+    assert len(got) == 42
+    for x, y, c in ((0, 0, 0), (3, 2, 1), (6, 5, 2)):
+        up, down = a.copy(), a.copy()
+        up[y, x, c] += 1e-5
+        down[y, x, c] -= 1e-5
+        want = (raster.ssim(make(up), make(b)).first()[0] - raster.ssim(make(down), make(b)).first()[0]) / 2e-5
+        assert got[x, y][c] == pytest.approx(want, rel=1e-4, abs=1e-9)
+
+
+def test_harmonics_backward(spark):
+    rng = np.random.default_rng(8)
+    rest = rng.normal(0, 0.2, size=(3, 15, 3))
+    rows = splats.deactivate(table(spark, crowd(3, seed=8))).drop("rest").orderBy("gid").collect()
+    schema = splats.deactivate(table(spark, crowd(3, seed=8))).schema
+    make = lambda r, k=None, c=0, by=0.0: spark.createDataFrame([tuple(row[f] if f != "rest" else [[v + (by if (i, j, m) == (0, k, c) else 0) for m, v in enumerate(t)] for j, t in enumerate(r[i].tolist())] for f in schema.names) for i, row in enumerate(rows)], schema)
+    raw = make(rest)
+    grads = raw.select("gid", *(F.lit(1.0 if n in ("gr", "gg", "gb") else 0.0).alias(n) for n in ("gu", "gv", "gka", "gkb", "gkc", "gdepth", "gopacity", "gr", "gg", "gb")))
+    got = training.project_backward(raw, grads, CAMERA, degree=2).filter("gid = 0").first()
+    assert len(got.g_rest) == 15 and all(v == 0 for k in got.g_rest[8:] for v in k)
+    shown = lambda df: splats.view_colour(df, CAMERA.position.tolist(), 2).filter("gid = 0").select(F.col("r") + F.col("g") + F.col("b")).first()[0]
+    for k, c in ((0, 0), (4, 1), (7, 2)):
+        assert got.g_rest[k][c] == pytest.approx((shown(make(rest, k, c, 1e-5)) - shown(make(rest, k, c, -1e-5))) / 2e-5, rel=1e-4, abs=1e-8)
+    for c in ("px", "pz"):
+        up, down = (shown(raw.withColumn(c, F.col(c) + s * 1e-5)) for s in (1, -1))
+        assert got[f"g_{c}"] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_schedule_and_harmonics_in_training(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = crowd(4, seed=9)
+    target = raster.render(table(spark, rows), CAMERA).cache()
+    start = splats.deactivate(table(spark, rows)).withColumns({"dc0": F.col("dc0") + 0.5, "rest": F.array_repeat(F.array_repeat(F.lit(0.0), 3), 3)})
+    t = training.SplatTrainer(start, extent=2.0, degree_every=0, most_degree=1, densify_after=1, densify_every=2, reset_every=3, densify_from=0.0, most_scale=100.0, most=8)
+    assert t.rate("px") == pytest.approx(2 * 1.6e-4) and t.rate("rest") == 1.25e-4
+    t.step(CAMERA, target)
+    assert t.raw.count() == 4 and t.raw.select(F.explode("rest").alias("k")).filter("k[0] <> 0").count() > 0
+    t.step(CAMERA, target)
+    assert t.raw.count() >= 4
+    t.step(CAMERA, target)
+    assert t.raw.agg(F.max("opacity_raw")).first()[0] <= np.log(0.01 / 0.99) + 1e-9
+    assert t.rate("px") < 2 * 1.6e-4
+
+
+def test_optimiser_of_activated_tables(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    opt = training.SplatOptimizer(table(spark, crowd(3)), 0.5)
+    grads = opt.gaussians.select("gid", F.lit(1.0).alias("g_sx"), F.lit(-1.0).alias("g_opacity"))
+    before = opt.gaussians.agg(F.sum("px")).first()[0]
+    for _ in range(2):
+        opt.step(grads)
+    r = opt.gaussians.agg(F.max("sx"), F.min("opacity"), F.sum("px"), F.count("*")).first()
+    assert r[0] == pytest.approx(1e-6) and r[1] == 1 and r[2] == pytest.approx(before) and r[3] == 3
+    with pytest.raises(ValueError):
+        training.SplatOptimizer(opt.gaussians.limit(0))

@@ -22,7 +22,12 @@ def coefficients(degree: int) -> int:
 
 def basis(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
     """The basis functions at a unit direction, in coefficient order."""
-    out = [F.lit(C0)]
+    return [F.lit(C0), *directed(x, y, z, degree)]
+
+
+def directed(x, y, z, degree: int) -> list:
+    """The basis functions after the constant one, for columns or NumPy arrays."""
+    out = []
     if degree >= 1:
         out += [-C1 * y, C1 * z, -C1 * x]
     if degree >= 2:
@@ -32,7 +37,7 @@ def basis(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
     if degree >= 3:
         polys = (y * (3 * xx - yy), x * y * z, y * (4 * zz - xx - yy), z * (2 * zz - 3 * xx - 3 * yy), x * (4 * zz - xx - yy), z * (xx - yy), x * (xx - 3 * yy))
         out += [c * p for c, p in zip(C3, polys, strict=True)]
-    return out[: coefficients(degree)]
+    return out[: coefficients(degree) - 1]
 
 
 def colour(sh: Sequence[Column], x: Column, y: Column, z: Column, degree: int) -> Column:

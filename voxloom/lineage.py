@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session has no such folder (a local test), one is made and set.
+    Only a session in local mode without one (a test) gets a folder of this machine; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-"))
+        if named is None and not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-"))
     return df.checkpoint(eager=True)

@@ -108,6 +108,13 @@ def prune(v: Voxels, mask: Column | DataFrame) -> Voxels:
     return v.with_df(kept, origin=f"{v.origin}/pruned")
 
 
+def prune_backward(v: Voxels, grad: Voxels) -> Voxels:
+    """The gradient of prune() for its input: that of the rows that stayed, 0 for those that went."""
+    mine = grad.df.select(*v.keys, *grad.feats, F.lit(True).alias("__kept"))
+    df = v.coords().join(mine, v.keys, "left").select(*v.keys, *(F.when(F.col("__kept"), F.col(f)).otherwise(F.lit(0)).alias(f) for f in grad.feats))
+    return v.with_df(df, grad.feats)
+
+
 def merge(*parts: Voxels) -> Voxels:
     """The union of sets of coordinates; the spacing is the least by axis."""
     first = parts[0]

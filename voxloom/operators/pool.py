@@ -81,6 +81,15 @@ def interpolation_map(v: Voxels, queries: Points) -> DataFrame:
     return _corners(queries, v.stride).select(queries.pid, *v.keys, "w").join(v.coords(), v.keys)
 
 
+def interpolate_backward(v: Voxels, grad: Points) -> Voxels:
+    """The gradient of interpolate() for ``v``: each query's gradient (the features of ``grad``) by the corners' weights.
+
+    Corners that ``v`` lacks get nothing; rows that no query reads have 0.
+    """
+    sums = _corners(grad, v.stride).groupBy(*v.keys).agg(*(F.sum(F.col(f) * F.col("w")).alias(f) for f in grad.feats))
+    return v.with_df(filled(v, sums, grad.feats), grad.feats)
+
+
 def slice_back(p: Points, v: Voxels) -> DataFrame:
     """(pid, features of the voxel that holds the point)."""
     return coords.field_map(p, v).join(v.df, v.keys).select(p.pid, *v.feats)

@@ -145,10 +145,11 @@ def l1(a: DataFrame, b: DataFrame) -> DataFrame:
     return _both(a, b).agg(F.avg(F.abs(F.col("p") - F.col("q"))).alias("l1"))
 
 
-def ssim(a: DataFrame, b: DataFrame, window: int = 11, sigma: float = 1.5) -> DataFrame:
-    """One row: the structural similarity, Gaussian window, zeros beyond the edges.
+def _blurred(df: DataFrame, names: Sequence[str], window: int, sigma: float, keep: Sequence[str] = ()) -> DataFrame:
+    """``names`` under a Gaussian window with zeros beyond the edges, and ``keep`` as they are, for each pixel and channel.
 
-    The window is separable: two passes of ``window`` taps each send weighted sums along an axis.
+    The window is separable: two passes of ``window`` taps each send weighted sums along an axis. What a pixel sends to
+    itself tells which pixels the image has, so that it isn't read again.
     """
     if window < 1 or window % 2 == 0:
         raise ValueError("the window must be odd")
@@ -156,15 +157,47 @@ def ssim(a: DataFrame, b: DataFrame, window: int = 11, sigma: float = 1.5) -> Da
     weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-half, half + 1)]
     weights = [w / sum(weights) for w in weights]
     taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-half, half + 1), weights, strict=True)))
-    df = _both(a, b).cache()
-    names = ["p", "q", "pp", "qq", "pq"]
-    sums = df.select("x", "y", "channel", "p", "q", (F.col("p") * F.col("p")).alias("pp"), (F.col("q") * F.col("q")).alias("qq"), (F.col("p") * F.col("q")).alias("pq"))
+    own = ["__in", *keep]
+    df = df.withColumn("__in", F.lit(1))
     for axis in ("x", "y"):
-        moved = sums.withColumn("__t", F.explode(taps)).withColumn(axis, F.col(axis) + F.col("__t.d"))
-        sums = moved.groupBy("x", "y", "channel").agg(*(F.sum(F.col(n) * F.col("__t.w")).alias(n) for n in names))
-    sums = sums.join(df.select("x", "y", "channel"), ["x", "y", "channel"], "left_semi")
+        moved = df.withColumn("__t", F.explode(taps)).withColumn(axis, F.col(axis) + F.col("__t.d"))
+        df = moved.groupBy("x", "y", "channel").agg(*(F.sum(F.col(n) * F.col("__t.w")).alias(n) for n in names), *(F.max(F.when(F.col("__t.d") == 0, F.col(k))).alias(k) for k in own))
+    return df.filter("__in = 1").drop("__in")
+
+
+def _structure(a: DataFrame, b: DataFrame, window: int, sigma: float) -> DataFrame:
+    """For each pixel and channel the four factors of the similarity, the blurred values m and n, and the own ones."""
+    p, q, m, n = (F.col(c) for c in "pqmn")
+    values = _both(a, b).select("x", "y", "channel", "p", "q", p.alias("m"), q.alias("n"), (p * p).alias("pp"), (q * q).alias("qq"), (p * q).alias("pq"))
     c1, c2 = 0.01**2, 0.03**2
-    p, q = F.col("p"), F.col("q")
-    top = (2 * p * q + c1) * (2 * (F.col("pq") - p * q) + c2)
-    bottom = (p * p + q * q + c1) * ((F.col("pp") - p * p) + (F.col("qq") - q * q) + c2)
-    return sums.agg(F.avg(top / bottom).alias("ssim"))
+    factors = {
+        "f_mean": 2 * m * n + c1,
+        "f_cov": 2 * (F.col("pq") - m * n) + c2,
+        "f_square": m * m + n * n + c1,
+        "f_var": (F.col("pp") - m * m) + (F.col("qq") - n * n) + c2,
+    }
+    return _blurred(values, ["m", "n", "pp", "qq", "pq"], window, sigma, ["p", "q"]).select("x", "y", "channel", "p", "q", "m", "n", *(c.alias(name) for name, c in factors.items()))
+
+
+_SIMILARITY = "f_mean * f_cov / (f_square * f_var)"
+
+
+def ssim(a: DataFrame, b: DataFrame, window: int = 11, sigma: float = 1.5) -> DataFrame:
+    """One row: the structural similarity, Gaussian window, zeros beyond the edges."""
+    return _structure(a, b, window, sigma).agg(F.avg(F.expr(_SIMILARITY)).alias("ssim"))
+
+
+def ssim_backward(a: DataFrame, b: DataFrame, pixels: int, window: int = 11, sigma: float = 1.5) -> DataFrame:
+    """(x, y, gr, gg, gb): the gradient of ssim() for the first image, which has ``pixels`` pixels.
+
+    Slopes by the blurred value, its square and the product go back through the same window, which is symmetric.
+    """
+    s = _structure(a, b, window, sigma).withColumn("s", F.expr(_SIMILARITY))
+    slopes = {
+        "by_mean": "2 * n * (f_cov - f_mean) / (f_square * f_var) + 2 * m * s * (1 / f_var - 1 / f_square)",
+        "by_square": "-s / f_var",
+        "by_product": "2 * f_mean / (f_square * f_var)",
+    }
+    back = _blurred(s.select("x", "y", "channel", "p", "q", *(F.expr(e).alias(n) for n, e in slopes.items())), list(slopes), window, sigma, ["p", "q"])
+    g = back.select("x", "y", "channel", ((F.col("by_mean") + 2 * F.col("p") * F.col("by_square") + F.col("q") * F.col("by_product")) / (3 * pixels)).alias("g"))
+    return g.groupBy("x", "y").agg(*(F.max(F.when(F.col("channel") == i, F.col("g"))).alias(f"g{c}") for i, c in enumerate(RGB)))
