@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.offsets import cube_first_axis_slowest
 from voxloom.model import Leaves, OctreeConfig, Points
 from voxloom.operators import octree, octree_conv, sphere
-from voxloom.operators.clips import clips, islands, radius_labels, sliding
+from voxloom.operators.clips import class_balance, clips, islands, radius_labels, recall, scaled, sliding
 from voxloom.sources.frames import leaves_json
 
 from .registry import Registry
@@ -105,9 +105,47 @@ def _(spark, d):
     return octree.revoxelise(_dense(spark, d)).df
 
 
-@query("octree_overlaps", f"WITH {_TREE} SELECT level, x, y, z FROM leaf WHERE false")
+def _overlapping(spark, d) -> Leaves:
+    """The leaves by density, with the cells of level 1 that hold points beside them."""
+    x = _dense(spark, d)
+    more = octree.from_points(_points(spark, d), CONFIG)
+    coarse = more.points.df.select(F.lit(1).alias("level"), *(octree.cell_at(CONFIG, i, F.col(a), 1).alias(a) for i, a in enumerate(XYZ)), F.lit(0).cast("long").alias("f")).distinct()
+    return x.with_df(x.df.select("level", *XYZ, "f").unionByName(coarse))
+
+
+_MIXED = f"{_TREE}, mixed AS (SELECT level, x, y, z FROM leaf UNION ALL SELECT DISTINCT CAST(1 AS INTEGER), {_cell(1)} FROM pts)"
+_COVERED = "SELECT DISTINCT m.level, m.x, m.y, m.z FROM mixed m JOIN mixed a ON a.level < m.level AND m.x >> (m.level - a.level) = a.x AND m.y >> (m.level - a.level) = a.y AND m.z >> (m.level - a.level) = a.z"
+query("octree_overlaps", f"WITH {_MIXED} {_COVERED}")(lambda s, d: octree.overlaps(_overlapping(s, d)))
+query("octree_violations", f"WITH {_MIXED} SELECT *, 'overlap' AS problem FROM ({_COVERED}) UNION ALL SELECT level, x, y, z, 'repeated' FROM mixed GROUP BY ALL HAVING count(*) > 1")(lambda s, d: octree.violations(_overlapping(s, d)))
+
+
+@query("octree_from_voxels", f"WITH {_PTS} SELECT CAST(2 AS INTEGER) AS level, {_cell(2)}, max(f) AS f FROM pts GROUP BY 2, 3, 4")
 def _(spark, d):
-    return octree.overlaps(_dense(spark, d))
+    p = _points(spark, d).df.select(F.lit(2).alias("level"), *(octree.cell_at(CONFIG, i, F.col(a), 2).alias(a) for i, a in enumerate(XYZ)), "f")
+    return octree.from_voxels(p.groupBy("level", *XYZ).agg(F.max("f").alias("f")), CONFIG, XYZ, ["f"]).df
+
+
+_KEYS = "level, x, y, z"
+query("octree_parents", f"WITH {_TREE} SELECT DISTINCT CAST(level - 1 AS INTEGER) AS level, x // 2 AS x, y // 2 AS y, z // 2 AS z FROM leaf WHERE level > 0")(lambda s, d: octree.parents(_dense(s, d)))
+
+
+@query("octree_children", f"WITH {_TREE} SELECT CAST(level + 1 AS INTEGER) AS level, x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z FROM leaf, kid")
+def _(spark, d):
+    x = _dense(spark, d)
+    return x.df.select(F.explode(octree.children_of(x)).alias("c")).select("c.*")
+
+
+@query("octree_index_of", f"WITH {_TREE}, q AS (SELECT DISTINCT CAST(1 AS INTEGER) AS level, {_cell(1)} FROM pts) SELECT {_KEYS}, coalesce(l.f, -1) AS id FROM q LEFT JOIN leaf l USING (level, x, y, z)")
+def _(spark, d):
+    x = _dense(spark, d)
+    q = x.points.df.select(F.lit(1).alias("level"), *(octree.cell_at(CONFIG, i, F.col(a), 1).alias(a) for i, a in enumerate(XYZ))).distinct()
+    return octree.index_of(x, q, x.df.withColumnRenamed("f", "id")).select("level", *XYZ, "id")
+
+
+@query("octree_with_features", f"WITH {_TREE} SELECT {_KEYS}, x + 10 * y + 100 * z AS g FROM leaf")
+def _(spark, d):
+    x = _dense(spark, d)
+    return octree.with_features(x, x.df.withColumn("g", F.col("x") + 10 * F.col("y") + 100 * F.col("z")), ["g"]).df
 
 
 _STATS = ", ".join(f"v{l} AS (SELECT {_cell(l)}, CAST(sum(CAST(f AS DOUBLE) * f) AS DOUBLE) / count(*) - pow(CAST(sum(f) AS DOUBLE) / count(*), 2) > 5e11 AS hot FROM pts GROUP BY 1, 2, 3)" for l in range(3))
@@ -248,3 +286,24 @@ def _(spark, d):
     t = cells(spark, d).filter("f > 9000000").select("b", *(F.col(a).alias(f"t{a}") for a in XYZ)).distinct()
     v = cells(spark, d).select("b", *XYZ).distinct()
     return radius_labels(v, t, 2.0, key=["b"]).select("b", *XYZ, F.col("label").cast("int").alias("label"))
+
+
+_LABELLED = "hit AS (SELECT CAST(f > 5000000 AS INTEGER) AS label, CAST(x > 20 AS INTEGER) AS predicted FROM cells)"
+
+
+def _hits(spark, d):
+    return cells(spark, d).select((F.col("f") > 5000000).cast("int").alias("label"), (F.col("x") > 20).cast("int").alias("predicted"))
+
+
+query("class_balance", f"WITH {CELLS}, {_LABELLED} SELECT CAST(sum(label) AS BIGINT) AS positives, count(*) AS n, CAST(count(*) - sum(label) AS DOUBLE) / sum(label) AS pos_weight FROM hit")(lambda s, d: class_balance(_hits(s, d)))
+query("recall", f"WITH {CELLS}, {_LABELLED} SELECT CAST(sum(label * predicted) AS DOUBLE) / sum(label) AS recall FROM hit")(lambda s, d: recall(_hits(s, d)))
+
+
+@query(
+    "clip_features",
+    f"""WITH {CELLS}, pts AS (SELECT DISTINCT pid, b, x, y, f FROM cells) SELECT pid, round((f - avg(f) OVER (PARTITION BY b)) / stddev_pop(f) OVER (PARTITION BY b), 6) + 0.0::DOUBLE AS f0,
+    CAST(least(x, 10) AS DOUBLE) / 10 AS f1, CAST(y AS DOUBLE) / 9 AS f2 FROM pts""",
+)
+def _(spark, d):
+    rows = cells(spark, d).select("pid", "b", "x", "y", "f").distinct()
+    return scaled(rows, "b", "f", "x", "y").select("pid", F.round("f0", 6).alias("f0"), "f1", "f2")

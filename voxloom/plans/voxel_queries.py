@@ -10,6 +10,7 @@ from voxloom.functions.offsets import Kernel
 from voxloom.model import Points, Voxels
 from voxloom.operators import conv, coords, norm, pool, setops
 
+from . import blocks
 from .registry import Registry
 from .views import CELLS, POINTS, VOX, XYZ, cells, points, table, taps_sql, voxels, weight
 
@@ -106,6 +107,12 @@ def _(spark, d):
     return coords.prune(voxels(spark, d), F.col("f") > 5000000).df
 
 
+@query("prune_backward", f"WITH {VOX} SELECT b, x, y, z, CASE WHEN f > 5000000 THEN f % 7 ELSE 0 END AS f FROM vox")
+def _(spark, d):
+    v = voxels(spark, d)
+    return coords.prune_backward(v, coords.prune(v, F.col("f") > 5000000).map(lambda c: c % 7)).df
+
+
 @query("prune_by_set", f"WITH {VOX} SELECT * FROM vox WHERE (b, x, y, z) IN (SELECT (b, x, y, z) FROM cells WHERE l_returnflag = 'R')")
 def _(spark, d):
     return coords.prune(voxels(spark, d), cells(spark, d).filter("l_returnflag = 'R'")).df
@@ -547,7 +554,62 @@ def _(spark, d):
     return pool.interpolate(voxels(spark, d).cast("double"), points(spark, d))
 
 
+@query("interp_backward", f"WITH {VOX}, pts AS (SELECT DISTINCT pid, b, x, y, z, f FROM cells), {_EIGHT}, sent AS (SELECT b, x + ox AS x, y + oy AS y, z + oz AS z, CAST(sum(f) AS DOUBLE) / 8 AS f FROM pts, corner GROUP BY 1, 2, 3, 4) SELECT v.b, v.x, v.y, v.z, coalesce(s.f, 0) AS f FROM vox v LEFT JOIN sent s USING (b, x, y, z)")
+def _(spark, d):
+    """Each point's price as the gradient of what was interpolated at it."""
+    return pool.interpolate_backward(voxels(spark, d), points(spark, d)).df
+
+
 @query("interp_map", f"WITH {VOX}, pts AS (SELECT DISTINCT pid, b, x, y, z, f FROM cells), {_EIGHT} SELECT c.pid, c.b, c.x, c.y, c.z, CAST(0.125 AS DOUBLE) AS w FROM (SELECT pid, b, x + ox AS x, y + oy AS y, z + oz AS z FROM pts, corner) c JOIN vox USING (b, x, y, z)")
 def _(spark, d):
     p = points(spark, d)
     return pool.interpolation_map(voxels(spark, d), Points(p.df.drop("f"), p.axes, ()))
+
+
+# -- blocks
+
+
+def _two(spark, d) -> Voxels:
+    """Two channels of small halves, so that products and sums stay exact."""
+    v = voxels(spark, d)
+    return v.with_df(v.df.select("b", *XYZ, ((F.col("f") % 7) / 2.0).alias("f0"), ((F.col("f") % 5 - 2) / 2.0).alias("f1")), ("f0", "f1"))
+
+
+_TWO = f"{VOX}, two AS (SELECT b, x, y, z, CAST(f % 7 AS DOUBLE) / 2 AS f0, CAST(f % 5 - 2 AS DOUBLE) / 2 AS f1 FROM vox)"
+
+
+@query(
+    "squeeze_excite",
+    f"""WITH {_TWO}, gate AS (SELECT b, greatest(avg(f0) - 0.5 * avg(f1), 0) AS h FROM two GROUP BY b)
+    SELECT b, x, y, z, round(f0 / (1 + exp(-2 * h)), 6) AS f0, round(f1 / (1 + exp(h)), 6) AS f1 FROM two JOIN gate USING (b)""",
+)
+def _(spark, d):
+    v = blocks.squeeze_excite(_two(spark, d), np.array([[1.0], [-0.5]]), np.array([[2.0, -1.0]]))
+    return v.df.select("b", *XYZ, *(F.round(f, 6).alias(f) for f in v.feats))
+
+
+_BLOCK = blocks.Conv(1, 1, seed=3)
+
+
+def _block_sql() -> str:
+    """A convolution with the block's weights, batch norm over all rows, relu."""
+    taps = ", ".join(f"({k}, {', '.join(map(str, o))}, {float(_BLOCK.weight[k, 0, 0])!r}::DOUBLE)" for k, o in enumerate(CUBE3.taps(3)))
+    return f"""WITH {_TWO}, taps(k, ox, oy, oz, w) AS (VALUES {taps}),
+    y AS (SELECT o.b, o.x, o.y, o.z, sum(w * i.f0) AS f FROM (SELECT b, x, y, z, w, x + ox AS nx, y + oy AS ny, z + oz AS nz FROM two, taps) o JOIN two i ON i.b = o.b AND i.x = nx AND i.y = ny AND i.z = nz GROUP BY 1, 2, 3, 4),
+    s AS (SELECT avg(f) AS m, var_pop(f) AS v FROM y) SELECT b, x, y, z, round(greatest((f - m) / sqrt(v + 1e-5), 0), 5) + 0.0::DOUBLE AS f FROM y, s"""
+
+
+@query("conv_block", _block_sql())
+def _(spark, d):
+    v = _two(spark, d)
+    return _BLOCK(v.with_df(v.df, ("f0",))).df.select("b", *XYZ, F.round("f0", 5).alias("f"))
+
+
+@query("classify", f"WITH {_TWO} SELECT b, max(f0) * 2 - max(f1) + 1 AS score0, max(f0) * -0.5 + max(f1) * 4 - 2 AS score1 FROM two GROUP BY b")
+def _(spark, d):
+    return blocks.classify(_two(spark, d), [], np.array([[2.0, -0.5], [-1.0, 4.0]]), [1.0, -2.0])
+
+
+query("residual")(lambda s, d: blocks.Residual(2, 2, excite=2)(_two(s, d)).df)
+query("residual_bottleneck")(lambda s, d: blocks.Residual(2, 1, stride=2, bottleneck=True, expansion=2)(_two(s, d)).df)
+query("unet")(lambda s, d: blocks.UNet(2, 2, (2, 2))(_two(s, d)).df)
