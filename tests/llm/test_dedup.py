@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,26 @@ def test_line_bound_grows_with_the_line(spark, monkeypatch, few):
     assert sum(drop) > sum(old.values()) + 10
 
 
+def test_settled_lines_of_a_token_do_not_meet(spark):
+    """Each open line meets each line of its token in one pair of blocks; lines are not copied for lines that are settled."""
+    rows = [(t, i, i % 50 == t) for t in (1, 2) for i in range(300)] + [(3, i, False) for i in range(300)]
+    dealt = line_dedup.against(spark.createDataFrame(rows, "token long, node long, open boolean"), 10).collect()
+    met = Counter()
+    for t, lo, hi in {(r.token, r.lo, r.hi) for r in dealt}:
+        own = [r for r in dealt if (r.token, r.lo, r.hi) == (t, lo, hi)]
+        met.update((t, a.node, b.node) for a in own if a.left for b in own if not b.left)
+    assert met == Counter((t, i, j) for t, i, open_ in rows if open_ for j in range(300))
+    assert len(dealt) == 2 * (300 + 6 * 30)  # with all pairs of blocks it would be 30 times 900
+
+
+def test_places_of_equal_lines(spark):
+    """Rows are numbered in the order of their ids whatever the type, and of equal lines the earliest place stays."""
+    rows = [("b", "x y\nz"), ("a", "z\nx y\nz"), (None, "z"), ("c", "q\nx y\n\nq"), ("a", "z\nx y\nz")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    want = [(None, "z", 0), ("a", "", 3), ("a", "x y", 2), ("b", "", 2), ("c", "q\n", 2)]
+    assert sorted((r.doc_id or "", r.text, r.dropped_lines) for r in got) == sorted((i or "", t, n) for i, t, n in want)
+
+
 def test_line_odd_rows(spark):
     rows = [r for r in ODD if r[0] is not None] + [(7, "a\n\nx\n", "en"), (8, "one two three four five six seven eight nine ten", "en"), (9, "one two three four FIVE six seven eight nine ten", "en"), (10, "one two three four six seven eight nine ten eleven twelve", "en")]
     got = dedup_lines(docs(spark, rows).withColumns({c: F.lit(0) for c in ("row", "line", "lines", "wanted")})).collect()
