@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm import language_id, quality, toxicity
-from voxloom.llm.common import LETTERS, SPACES, word_hashes
+from voxloom.llm.common import LETTERS, SPACES, logistic, word_hashes
 
 ODD = [(1, None), (2, ""), (3, "\n\t "), (4, "ab " * 300000), (5, "ab"), (5, "ab"), (None, "¡¿ 12 ?")]
 
@@ -75,6 +75,35 @@ def test_kneser_ney_is_a_distribution():
     assert v == 3
 
 
+def test_toxicity_counts_all_labelled_texts(spark):
+    """3,000 toxic and 4,500 plain texts, one word in 600 of the toxic ones; copies count once."""
+    rows = [(i, "common " + "vile " * (i % 5 == 0) + f"x{i}", 1) for i in range(3000)] + [(i, f"common y{i}", 0) for i in range(3000, 7500)]
+    rows += [(i + 10000, *r) for i, (_, *r) in enumerate(rows[:40])] + [rows[0]]
+    every = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(every.select("doc_id", "text"), every.select("doc_id", "toxic"))
+    assert model.share == 3000 / 7500
+    own = np.array([600 - 0.75, 3000 - 0.75]) / 3600
+    np.testing.assert_allclose(sorted(model.unigram[0, :2]), own + (1 - own.sum()) * 1.5 / 3.5, rtol=1e-12)
+
+
+def test_toxicity_calibration_is_a_logistic_over_all_rows(spark):
+    rng = np.random.default_rng(1)
+    zones = len(toxicity._ZONES)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = rng.normal(size=(400, zones, 2)) * [3, 0.2] + y[:, None, None] * np.linspace(0, 1, zones)[None, :, None]
+    packed = [(bytearray(np.concatenate([y[at : at + 90, None], x[at : at + 90].reshape(len(y[at : at + 90]), -1)], 1).tobytes()),) for at in range(0, 400, 90)]
+    model = toxicity.KneserNey(*[np.zeros(0)] * 6)
+    toxicity._calibrate(model, spark.createDataFrame(packed, "rows binary"))
+    losses = []
+    for k in range(zones):
+        z = np.concatenate([x[:, k], np.ones((400, 1))], 1)
+        w = logistic(z, y)
+        losses.append((np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).mean(), k, w))
+    _, best, w = min(losses, key=lambda v: v[:2])
+    assert model.zone == toxicity._ZONES[best] and model.share == y.mean()
+    np.testing.assert_allclose(model.weights, w, rtol=1e-6)
+
+
 def test_languages(spark):
     rng = np.random.default_rng(0)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "er"], "cc": ["eau", "oi", "é"]}
