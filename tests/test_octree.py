@@ -59,6 +59,15 @@ def test_fallback_to_the_finest_cell_with_data(spark):
     np.testing.assert_allclose([(r.f, r.g) for r in got], [(v, -v) for v in (1, 2, 10, 10, 100, 0, 0)])
 
 
+@pytest.mark.parametrize("mode", ["nearest", "multilinear"])
+def test_points_that_share_an_id_or_lack_one_keep_their_values(spark, mode):
+    x = leaves(spark, [(0, 0, 0, 0, 1.0), (1, 4, 0, 0, 5.0)])
+    rows = [(7, 0, 4.0, 4.0, 4.0), (7, 0, 17.0, 1.0, 1.0), (7, 0, 22.0, 6.0, 6.0), (None, 0, 4.0, 4.0, 4.0), (None, 0, 50.0, 1.0, 1.0)]
+    q = Points(spark.createDataFrame(rows, "pid long, b int, x double, y double, z double"), XYZ, ())
+    got = octree_conv.interpolate(x, q, mode, coarser_ancestor=True).collect()
+    assert sorted((r.pid or 0, r.f) for r in got) == [(0, 0.0), (0, 1.0), (7, 1.0), (7, 5.0), (7, 5.0)]
+
+
 @pytest.mark.parametrize("bad", [[(0, 0, 0, 0, 1.0), (1, 1, 1, 1, 1.0)], [(1, 0, 0, 0, 1.0), (1, 0, 0, 0, 2.0)], [(4, 0, 0, 0, 1.0)], [(-1, 0, 0, 0, 1.0)]])
 def test_broken_sets_are_rejected(spark, bad):
     with pytest.raises(ValueError):

@@ -103,54 +103,56 @@ def convolve_transpose(x: Leaves, weights: np.ndarray, reference: Leaves, size:
     return _on(reference, _sums(pairs, x, weights, "out", "in", x.keys, bias), weights.shape[2], bias)
 
 
-def fallback(x: Leaves, missed: DataFrame, pid: str, axes: Sequence[str]) -> DataFrame:
-    """(pid, features): for points outside all leaves, the volume-weighted mean of the leaves in the finest cell around
-    the point that holds a strictly finer leaf."""
+def fallback(x: Leaves, missed: DataFrame, spots: Sequence[str]) -> DataFrame:
+    """(spots, features): for places outside all leaves, the volume-weighted mean of the leaves in the finest cell around
+    the place that holds a strictly finer leaf."""
     w = F.pow(F.lit(2.0), -F.col("__level") * x.config.dim)
     lifted = ancestors(x.df.withColumn("__level", F.col(x.level)), x)
     means = lifted.groupBy(*x.keys).agg(*((F.sum(F.col(f) * w) / F.sum(w)).alias(f) for f in x.feats))
-    cells = missed.select(pid, F.explode(F.sequence(F.lit(0), F.lit(x.config.depth))).alias(x.level), *(F.col(a).alias(f"__p{i}") for i, a in enumerate(axes)))
-    cells = cells.select(pid, x.level, *(cell_at(x.config, i, F.col(f"__p{i}"), F.col(x.level)).alias(a) for i, a in enumerate(x.axes)))
+    cells = missed.select(*spots, F.explode(F.sequence(F.lit(0), F.lit(x.config.depth))).alias(x.level))
+    cells = cells.select(*spots, x.level, *(cell_at(x.config, i, F.col(s), F.col(x.level)).alias(a) for i, (a, s) in enumerate(zip(x.axes, spots, strict=True))))
     found = cells.join(means, x.keys)
-    return found.groupBy(pid).agg(*(F.max_by(f, x.level).alias(f) for f in x.feats))
+    return found.groupBy(*spots).agg(*(F.max_by(f, x.level).alias(f) for f in x.feats))
 
 
 def interpolate(x: Leaves, p: Points, mode: str = "nearest", coarser_ancestor: bool = False) -> DataFrame:
     """(pid, features) at points.
 
     ``nearest`` takes the containing leaf. ``multilinear`` lays a box of that leaf's size around the point and
-    weighs the leaves that it meets by overlap. Points outside all leaves give 0, or fallback() does.
+    weighs the leaves that it meets by overlap. Points outside all leaves give 0, or fallback() does. Values are found
+    once for each place, and points meet them by their place: ids may repeat or be null.
     """
-    points = p.df.select(p.pid, *p.axes)
-    levels = present_levels(x)
-    at = locate(points, x, p.axes, levels)
+    spots = [f"at__{i}" for i in range(len(p.axes))]
+    points = p.df.select(p.pid, *(F.col(a).alias(s) for a, s in zip(p.axes, spots, strict=True)))
+    places = points.select(*spots).distinct()
+    at = locate(places, x, spots, present_levels(x))
     if mode == "nearest":
-        keyed = at.select(p.pid, *(F.col(f"leaf_{k}").alias(k) for k in x.keys))
-        found = keyed.join(x.df, x.keys).select(p.pid, *x.feats)
+        keyed = at.select(*spots, *(F.col(f"leaf_{k}").alias(k) for k in x.keys))
+        found = keyed.join(x.df, x.keys).select(*spots, *x.feats)
     elif mode == "multilinear":
-        found = _multilinear(x, at, p)
+        found = _multilinear(x, at, spots)
     else:
         raise ValueError("the mode is nearest or multilinear")
     if coarser_ancestor:
-        missed = points.join(at.select(p.pid), p.pid, "left_anti")
-        found = found.unionByName(fallback(x, missed, p.pid, p.axes))
+        missed = places.join(at.select(*spots), spots, "left_anti")
+        found = found.unionByName(fallback(x, missed, spots))
     zeros = [F.coalesce(f, F.lit(0.0)).alias(f) for f in x.feats]
-    return p.df.select(p.pid).join(found, p.pid, "left").select(p.pid, *zeros)
+    return points.join(found, spots, "left").select(p.pid, *zeros)
 
 
-def _multilinear(x: Leaves, at: DataFrame, p: Points) -> DataFrame:
+def _multilinear(x: Leaves, at: DataFrame, spots: Sequence[str]) -> DataFrame:
     size = x.config.size(F.col(f"leaf_{x.level}"))
-    box = at.select(p.pid, F.col(f"leaf_{x.level}").alias(x.level), *(c for i, a in enumerate(p.axes) for c in ((F.col(a) - size / 2).alias(f"__lo{i}"), (F.col(a) + size / 2).alias(f"__hi{i}"))))
+    box = at.select(*spots, F.col(f"leaf_{x.level}").alias(x.level), *(c for i, a in enumerate(spots) for c in ((F.col(a) - size / 2).alias(f"__lo{i}"), (F.col(a) + size / 2).alias(f"__hi{i}"))))
     # the box meets up to 2 cells of its own level along each axis
     off = F.explode(taps_column(corners(x.config.dim)))
     cells = box.withColumn("__c", off)
-    cells = cells.select(p.pid, x.level, *(c for c in box.columns if c.startswith("__")), *((cell_at(x.config, i, F.col(f"__lo{i}"), F.col(x.level)) + F.col(f"__c.o{i}")).alias(a) for i, a in enumerate(x.axes)))
+    cells = cells.select(*spots, x.level, *(c for c in box.columns if c.startswith("__")), *((cell_at(x.config, i, F.col(f"__lo{i}"), F.col(x.level)) + F.col(f"__c.o{i}")).alias(a) for i, a in enumerate(x.axes)))
     edges = [c for c in box.columns if c.startswith("__")]
     mine = x.df.select(*x.keys, *(F.col(k).alias(f"in_{k}") for k in x.keys), *x.feats)
     # leaves that cover a cell, once each; and finer leaves inside it
-    covering = ancestors(cells, x, own=True).dropDuplicates([p.pid, *x.keys]).join(mine, x.keys)
+    covering = ancestors(cells, x, own=True).dropDuplicates([*spots, *x.keys]).join(mine, x.keys)
     finer = ancestors(mine, x).join(cells, x.keys)
-    names = [p.pid, *edges, *(f"in_{k}" for k in x.keys), *x.feats]
+    names = [*spots, *edges, *(f"in_{k}" for k in x.keys), *x.feats]
     hits = covering.select(*names).unionByName(finer.select(*names))
     leaf = Leaves(hits, x.config, tuple(f"in_{a}" for a in x.axes), x.feats, level=f"in_{x.level}")
     overlap = F.lit(1.0)
@@ -159,4 +161,4 @@ def _multilinear(x: Leaves, at: DataFrame, p: Points) -> DataFrame:
         own = F.least(F.col(f"__hi{i}"), hi) - F.greatest(F.col(f"__lo{i}"), lo)
         overlap = overlap * F.when(own > 1e-9 * (hi - lo), own).otherwise(F.lit(0.0))
     hits = hits.withColumn("__w", overlap).filter("__w > 0")
-    return hits.groupBy(p.pid).agg(*((F.sum(F.col(f) * F.col("__w")) / F.sum("__w")).alias(f) for f in x.feats))
+    return hits.groupBy(*spots).agg(*((F.sum(F.col(f) * F.col("__w")) / F.sum("__w")).alias(f) for f in x.feats))
