@@ -117,6 +117,16 @@ def test_refine_by_density_stops_at_the_bound(spark):
     assert all(r["count"] <= 20 or r.leaf_level == 3 for r in n)
 
 
+def test_refine_by_variance_of_large_whole_numbers(spark):
+    """Sums of squares beyond the largest long."""
+    big = 3_000_000_000
+    rows = [(i, 0, 1.0 + 6 * (i % 2), 1.0, 1.0, big if i % 2 else 0) for i in range(4)] + [(i, 0, 9.0, 1.0, 1.0, big) for i in range(4, 8)]
+    p = Points(spark.createDataFrame(rows, "pid long, b int, x double, y double, z double, f long"), XYZ, ("f",))
+    x = octree.Leaves(spark.createDataFrame([(0, 0, 0, 0, 1), (0, 1, 0, 0, 2)], "level int, x long, y long, z long, f long"), CONFIG, XYZ, ("f",), p)
+    got = table(octree.refine_by_variance(x, 1e18))
+    assert {k[0] for k in got if got[k] == [1]} == {1} and {k for k in got if got[k] == [2]} == {(0, 1, 0, 0)}
+
+
 def test_resample_to(spark):
     x = mixed(spark, 1, 3)
     fine, coarse = octree.refine(x, 2), leaves(spark, [(0, 0, 0, 0, 0.0), (0, 1, 0, 0, 0.0), (0, 5, 0, 0, 0.0)])

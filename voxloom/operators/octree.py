@@ -188,11 +188,12 @@ def locate(points: DataFrame, x: Leaves, axes: Sequence[str], levels: Sequence[i
 def cell_statistics(p: Points, config: OctreeConfig, first: int = 0) -> DataFrame:
     """For every cell of every level that holds a point: n, and sum and sum of squares of each feature.
 
-    One pass: points are exploded over the levels and partial sums form before the shuffle.
+    One pass: points are exploded over the levels and partial sums form before the shuffle. Squares are summed as doubles,
+    since those of whole numbers soon pass the largest long.
     """
     levelled = p.df.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(config.depth))))
     cells = [cell_at(config, i, F.col(a), F.col("level")).alias(a) for i, a in enumerate(p.axes)]
-    sums = [s for f in p.feats for s in (F.sum(f).alias(f"sum_{f}"), F.sum(F.col(f) * F.col(f)).alias(f"sq_{f}"))]
+    sums = [s for f in p.feats for s in (F.sum(f).alias(f"sum_{f}"), F.sum(F.col(f).cast("double") * F.col(f)).alias(f"sq_{f}"))]
     return levelled.select("level", *cells, *p.feats).groupBy("level", *p.axes).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
