@@ -92,6 +92,40 @@ def test_knn_is_exact_for_any_cell(spark):
         assert {(r.gid, r.other) for r in splats.knn(df, 3, cell).collect()} == want
 
 
+def shuffled(df):
+    """Rows of each exchange of what was run last on ``df``."""
+    rows, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        if "Exchange" in node.nodeName() and node.metrics().contains("shuffleRecordsWritten"):
+            rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_knn_shuffles_no_pairs(spark):
+    """Over many blocks, with repeated places, equal distances and far points; rows that any step reads stay near the number of points."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.floor(rng.normal(0, 0.12, (5000, 3)) * 64) / 64, np.zeros((50, 3)), rng.uniform(-9, 9, (50, 3))])
+    gid = rng.permutation(len(x)) * 3
+    df = spark.createDataFrame([(int(g), *map(float, p)) for g, p in zip(gid, x, strict=True)], "gid long, px double, py double, pz double")
+    off = x[:, None] - x[None]
+    d = off[..., 0] * off[..., 0] + off[..., 1] * off[..., 1] + off[..., 2] * off[..., 2]
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(gid)
+    want = {(int(gid[i]), int(gid[order[j]])) for i in range(len(x)) for j in np.argsort(d[i, order], kind="stable")[:3]}
+    near = splats.knn(df, 3, 0.1)
+    assert {(r.gid, r.other) for r in near.collect()} == want
+    rows = shuffled(near)
+    assert rows and max(rows) < 5 * len(x)
+
+
 def reference_image(rows, camera, background):
     w, t = camera.rotation, camera.translation
     items = []

@@ -13,11 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voxloom.functions import spherical
 from voxloom.functions.channels import sigmoid
 
+from .neighbours import with_nearest
+
 P, Q, S, RGB, V = ("px", "py", "pz"), ("qw", "qx", "qy", "qz"), ("sx", "sy", "sz"), ("r", "g", "b"), ("vx", "vy", "vz")
 LEAST_SCALE = 1e-6
 Matrix = list[list[Column]]
@@ -204,42 +205,12 @@ def deactivate(df: DataFrame) -> DataFrame:
 
 
 def knn(points: DataFrame, k: int, cell: float, key: str = "gid", axes: Sequence[str] = P) -> DataFrame:
-    """(key, other, d2): the ``k`` nearest other points of each point.
+    """(key, other, d2): the ``k`` nearest other points of each point, the smaller key first where they are as near.
 
-    Points are filed by grid cell of side ``cell``. A point looks into the 27 cells around it; if the k-th found is
-    farther than the nearest cell that it did not look into, its search is repeated on cells twice as large, with the points that
-    are left. So the result is exact, whatever the cell.
+    The search goes by blocks that follow the points (see with_nearest()), so ``cell`` doesn't bear on it.
     """
-    found: DataFrame | None = None
-    left = points.select(key, *axes)
-    base = points.select(F.col(key).alias("other"), *(F.col(a).alias(f"o_{a}") for a in axes))
-    n = base.count()
-    want = min(k, max(n - 1, 0))
-    if not want:
-        return points.select(key, F.col(key).alias("other"), F.lit(0.0).alias("d2")).limit(0)
-    spread = points.agg(*(F.max(a) - F.min(a) for a in axes)).first()
-    whole = max(x or 0.0 for x in spread)
-    around = F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"d{i}") for i, d in enumerate((x, y, z)[: len(axes)]))) for x in (-1, 0, 1) for y in ((-1, 0, 1) if len(axes) > 1 else (0,)) for z in ((-1, 0, 1) if len(axes) > 2 else (0,))))
-    while True:
-        cells = base.withColumns({f"c{i}": F.floor(F.col(f"o_{a}") / cell).cast("long") for i, a in enumerate(axes)})
-        look = left.withColumn("__d", F.explode(around)).select(key, *axes, *((F.floor(F.col(a) / cell).cast("long") + F.col(f"__d.d{i}")).alias(f"c{i}") for i, a in enumerate(axes)))
-        pairs = look.join(cells, [f"c{i}" for i in range(len(axes))]).filter(F.col(key) != F.col("other"))
-        d2 = _total([(F.col(a) - F.col(f"o_{a}")) * (F.col(a) - F.col(f"o_{a}")) for a in axes])
-        # everything within this distance has been seen
-        seen = F.least(*(c for a in axes for c in (F.col(a) - (F.floor(F.col(a) / cell) - 1) * cell, (F.floor(F.col(a) / cell) + 2) * cell - F.col(a))))
-        near = pairs.select(key, "other", d2.alias("d2"), (seen * seen).alias("__safe"))
-        ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("d2", "other"))).filter(F.col("__r") <= want)
-        full = ranked.groupBy(key).agg(F.max("d2").alias("__far"), F.count(F.lit(1)).alias("__n"), F.first("__safe").alias("__safe"))
-        last = cell > whole
-        ok = full if last else full.filter((F.col("__n") == want) & (F.col("__far") <= F.col("__safe")))
-        part = ranked.join(ok.select(key), key, "left_semi").select(key, "other", "d2")
-        found = part if found is None else found.unionByName(part)
-        if last:
-            return found
-        left = left.join(ok.select(key), key, "left_anti").cache()
-        if not left.limit(1).count():
-            return found
-        cell *= 2
+    near = with_nearest(points.select(key, *axes), k, key, axes, "__near").select(key, F.explode("__near").alias("__n"))
+    return near.select(key, F.col("__n.other").alias("other"), F.col("__n.d2").alias("d2"))
 
 
 def from_points(points: DataFrame, cell: float = 1.0) -> DataFrame:
