@@ -126,6 +126,20 @@ def test_knn_shuffles_no_pairs(spark):
     assert rows and max(rows) < 5 * len(x)
 
 
+def test_gaussians_from_points_shuffle_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(0, 0.12, (3000, 3)) * 64) / 64
+    df = spark.createDataFrame([(i, *map(float, p), 0.5, 0.5, 0.5) for i, p in enumerate(x)], "gid long, px double, py double, pz double, r double, g double, b double")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    made = splats.from_points(df, 0.1)
+    got = {r.gid: r.sx for r in made.collect()}
+    want = 0.5 * np.log(np.maximum(np.sort(d, 1)[:, :3].mean(1), 1e-7))
+    np.testing.assert_allclose([got[i] for i in range(len(x))], want, rtol=1e-9)
+    rows = shuffled(made)
+    assert rows and max(rows) < 5 * len(x)
+
+
 def reference_image(rows, camera, background):
     w, t = camera.rotation, camera.translation
     items = []

@@ -215,8 +215,9 @@ def knn(points: DataFrame, k: int, cell: float, key: str = "gid", axes: Sequence
 
 def from_points(points: DataFrame, cell: float = 1.0) -> DataFrame:
     """A raw table of coloured points: scale from the mean squared distance of the three nearest others, no rotation."""
-    d = knn(points, 3, cell).groupBy("gid").agg(F.avg("d2").alias("__d2"))
-    df = points.join(d, "gid", "left").withColumn("__s", 0.5 * F.log(F.greatest(F.coalesce("__d2", F.lit(1e-7)), F.lit(1e-7))))
+    near = with_nearest(points, 3, "gid", P, "__near")
+    d2 = F.when(F.size("__near") > 0, F.aggregate("__near", F.lit(0.0), lambda s, e: s + e["d2"]) / F.size("__near"))
+    df = near.withColumn("__s", 0.5 * F.log(F.greatest(F.coalesce(d2, F.lit(1e-7)), F.lit(1e-7))))
     return _clean(df.withColumns({s: F.col("__s") for s in S} | {q: F.lit(1.0 if q == "qw" else 0.0) for q in Q} | {"opacity_raw": F.lit(math.log(0.1 / 0.9))} | {f"dc{i}": (F.col(c) - 0.5) / spherical.C0 for i, c in enumerate(RGB)} | {"rest": F.array().cast("array<array<double>>")}).drop(*RGB))
 
 
