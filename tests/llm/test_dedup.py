@@ -277,3 +277,12 @@ def test_shared_sizes():
     sets = [np.unique(rng.integers(0, 50, 30).astype(np.uint64)) for _ in range(7)]
     got = near_dedup._shared(sets)
     assert (got == [[len(np.intersect1d(a, b)) if a is not b else got[i, i] for b in sets] for i, a in enumerate(sets)]).all()
+
+
+def test_run_keys_are_made_of_long_lines_alone(monkeypatch):
+    asked, real = [], line_dedup.run_keys
+    monkeypatch.setattr(line_dedup, "run_keys", lambda codes, offsets, *a: asked.extend(np.diff(offsets).tolist()) or real(codes, offsets, *a))
+    text = "\n".join(" ".join(f"w{i}" for i in range(n)) for n in (12, 29, 30, 45))
+    made = list(line_dedup._keys(10, 15, None, 4)(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])])))
+    keys = np.concatenate([line_dedup.entries(b, "keys") for b in made])
+    assert sorted(asked) == [30, 45] and (keys & 1 == 0).sum() == 16 and (keys & 1 == 1).any()
